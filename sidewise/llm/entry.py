@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, token_files
+from . import fingerprints, line_dedup, mixing, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
     "op3_token_files": token_files.op3_token_files,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op7_source_mixing": mixing.op7_source_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.OP4_SQL}
