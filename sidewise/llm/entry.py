@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, line_dedup, mixing, packing, token_files
+from . import fingerprints, line_dedup, mixing, near_dedup, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op9_near_duplicates": near_dedup.op9_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.OP4_SQL}
