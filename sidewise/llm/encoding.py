@@ -8,17 +8,18 @@ library and then looked up. Tests hold the result against encoding whole texts.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Letters that are one code point in normal form C and have one lower-case code point.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SIMPLE = re.compile(rf"( ?)([{_LETTERS}]+)([.,!?;:]*)")
-#: A space before a character that no library counts as white space.
-_CUT = re.compile(r" (?=\S)")
-_UNEVEN = re.compile(r" (?!\S)")
+#: A single space or newline between characters that no library counts as white space.
+_CUT = re.compile(r"(?<=\S)([ \n])(?=\S)")
+#: White space of any other kind.
+_UNEVEN = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
 
 
 def _visible_bytes() -> dict[int, str]:
@@ -36,80 +37,83 @@ _SHOWN = _visible_bytes()
 _TO_SHOWN = {i: _SHOWN[i] for i in range(256)}
 
 
+class Memo(dict):
+    """Ids by piece in two generations of about ``limit`` pieces; those in use move to the
+    younger one."""
+
+    def __init__(self, learn: Callable[[str], bytes], limit: int) -> None:
+        self.learn, self.limit, self.old = learn, limit, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.old.pop(piece, None)
+        if got is None:
+            got = self.learn(piece)
+        self[piece] = got
+        return got
+
+    def trim(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+
 class CachedEncoder:
     """Token ids of texts, as little-endian unsigned 32-bit integers.
 
     ``spaces`` says what the tokenizer does with a single space: "lead" (the space starts
-    the next piece) or "drop" (white space only separates). The memo has two generations of
-    about ``limit`` pieces; those in use move to the younger one.
+    the next piece) or "drop" (white space only separates).
     """
 
-    def __init__(self, name: str, spaces: str, limit: int = 600_000) -> None:
+    def __init__(self, name: str, spaces: str, limit: int = 400_000) -> None:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # the memo below takes its place
         self.lower = spaces == "drop"
         self.lead = spaces == "lead"
-        self.limit = limit
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.parts: dict[str, bytes] = {}
+        self.parts = Memo(self._part, limit // 2)
+        self.plain = Memo(self._piece, limit)
+        self.spaced = Memo(lambda piece: self._piece(" " + piece), limit)
 
-    def _model(self, shown: str) -> bytes:
+    def _part(self, shown: str) -> bytes:
         """Ids of one pre-token, by the library's merge model."""
-        got = self.parts.get(shown)
-        if got is None:
-            ids = self.id_bytes
-            got = b"".join([ids[t.id] for t in self.tokenizer.model.tokenize(shown)])
-            if len(self.parts) > self.limit // 4:
-                self.parts.clear()
-            self.parts[shown] = got
-        return got
+        ids = self.id_bytes
+        return b"".join([ids[t.id] for t in self.model.tokenize(shown)])
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        out, hard = {}, []
-        for piece in pieces:
-            m = _SIMPLE.fullmatch(piece)
-            if m is None:
-                hard.append(piece)
-                continue
-            word = m[2].lower() if self.lower else m[1] + m[2]
-            if word.isascii():
-                shown = word.replace(" ", _SHOWN[32])
-            else:
-                shown = word.encode().decode("latin-1").translate(_TO_SHOWN)
-            out[piece] = self._model(shown) + (self._model(m[3]) if m[3] else b"")
-        for i in range(0, len(hard), 1000):
-            some = hard[i : i + 1000]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                out[piece] = np.array(e.ids, "<u4").tobytes()
-        return out
-
-    def _pieces(self, text: str) -> list[str]:
-        if self.lead:
-            if _UNEVEN.search(text) is None:
-                first, *rest = text.split(" ")
-                return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-            cuts = [m.start() for m in _CUT.finditer(text)]
-            ends = [*cuts, len(text)]
-            return [text[a:b] for a, b in zip([0, *cuts], ends, strict=True) if b > a]
-        return text.replace("\n", " ").split(" ")
+    def _piece(self, piece: str) -> bytes:
+        m = _SIMPLE.fullmatch(piece)
+        if m is None:
+            ids = self.id_bytes
+            return b"".join([ids[i] for i in self.tokenizer.encode(piece, add_special_tokens=False).ids])
+        word = m[2].lower() if self.lower else m[1] + m[2]
+        if word.isascii():
+            shown = word.replace(" ", _SHOWN[32])
+        else:
+            shown = word.encode().decode("latin-1").translate(_TO_SHOWN)
+        return self.parts[shown] + (self.parts[m[3]] if m[3] else b"")
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, without special tokens; empty for null."""
         if not text:
             return b""
-        memo, pieces = self.memo, self._pieces(text)
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            missing = {p for p in pieces if p not in memo}
-            known = {p: self.old[p] for p in missing if p in self.old}
-            memo.update(known)
-            memo.update(self._learn(missing - known.keys()))
-            out = b"".join(map(memo.__getitem__, pieces))
-            if len(memo) > self.limit:
-                self.memo, self.old = {}, memo
-            return out
+        plain, spaced = self.plain, self.spaced
+        if not self.lead:
+            out = b"".join(map(plain.__getitem__, text.replace("\n", " ").split(" ")))
+        elif _UNEVEN.search(text) is None:
+            newline, found = plain["\n"], []
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                found.append(plain[first] + b"".join(map(spaced.__getitem__, rest)))
+            out = newline.join(found)
+        else:
+            first, *rest = _CUT.split(text)
+            found = [plain[first]]
+            for sep, piece in zip(rest[::2], rest[1::2], strict=True):
+                found.append(spaced[piece] if sep == " " else plain["\n"] + plain[piece])
+            out = b"".join(found)
+        for memo in (plain, spaced, self.parts):
+            memo.trim()
+        return out
 
 
 _encoders: dict[tuple[str, str], CachedEncoder] = {}
