@@ -14,12 +14,14 @@ from . import (
     near_dedup,
     packing,
     substring_dedup,
+    token_counts,
     token_files,
     top_k,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_token_files": token_files.op3_token_files,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,

@@ -31,6 +31,8 @@ SMOOTHING = 0.2
 RUN_BYTES = 40
 LEAST_P = 1e-7
 CACHED = 400_000
+#: Texts scored below this have no language that stands out.
+LEAST_SCORE = 0.35
 _SLOTS = 20
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -260,6 +262,22 @@ class Scorer:
         return out, n
 
 
+def _letters(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
+def _best(scorer: Scorer, texts: pa.Array, letters: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Each text's language, its number (-1: unknown) and its score."""
+    languages, told = scorer.model.languages, letters.to_numpy(zero_copy_only=False).astype(bool)
+    if not languages:
+        return [UNKNOWN] * len(texts), np.full(len(texts), -1), np.zeros(len(texts))
+    logs, n = scorer.score(texts)
+    logs = (logs + scorer.model.prior) / np.sqrt(np.maximum(n, 1))[:, None]
+    best, share = logs.argmax(axis=1), 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+    best = np.where(told, best, -1)
+    return [languages[i] if i >= 0 else UNKNOWN for i in best.tolist()], best, np.where(told, share, 0.0)
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row ``doc_id, lang_pred, score``. The score is the best language's share when log
     probabilities are divided by the root of the number of words. A null text, one without a
@@ -271,29 +289,40 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         scorer = None
         for batch in batches:
             scorer = scorer or Scorer(shared.value)
-            m = scorer.model
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                letters = some.column("letters").to_numpy(zero_copy_only=False).astype(bool)
-                if m.languages:
-                    logs, n = scorer.score(some.column("text"))
-                    logs = (logs + m.prior) / np.sqrt(np.maximum(n, 1))[:, None]
-                    odds = np.exp(logs - logs.max(axis=1, keepdims=True))
-                    best, share = odds.argmax(axis=1), 1 / odds.sum(axis=1)
-                else:
-                    letters = np.zeros(len(letters), bool)
-                    best, share = np.zeros(len(letters), int), np.zeros(len(letters))
-                names = [m.languages[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), letters, strict=True)]
+                names, _, share = _best(scorer, some.column("text"), some.column("letters"))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(letters, share, 0.0))],
+                    [some.column("doc_id"), pa.array(names, pa.string()), pa.array(share)],
                     names=["doc_id", "lang_pred", "score"],
                 )
 
-    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), letters.alias("letters"))
+    source = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _letters(text_col).alias("letters")
+    )
     return source.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows whose language is told with a score of at least ``least``, all columns
+    unchanged. Null texts and texts without a letter go."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = None
+        for batch in batches:
+            scorer = scorer or Scorer(shared.value)
+            for k in range(0, batch.num_rows, 512):
+                some = batch.slice(k, 512)
+                _, best, share = _best(scorer, some.column(at), some.column(batch.num_columns - 1))
+                kept = some.filter(pa.array((share >= least) & (best >= 0)))
+                yield kept.select(range(batch.num_columns - 1))
+
+    # By position, so that a clashing name does no harm; rows without a letter are marked last.
+    marked = docs.withColumn("__letters", _letters(text_col))
+    return marked.mapInArrow(run, docs.schema)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = predict(docs, train(docs))
