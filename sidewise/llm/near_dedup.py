@@ -20,11 +20,15 @@ WORDS = 5
 LEAST = 75
 #: A pair of likeness 0.75 shares no band with a chance of (1 - 0.75^4)^32 = 5e-6.
 BANDS, ROWS = 32, 4
-HASHES = BANDS * ROWS
-BITS = 4
+#: All minima give low bits to the packed signature, the first BANDS * ROWS also form bands.
+HASHES, BITS = 512, 2
+#: Estimates have a deviation of 0.023 at 0.75; pairs four of them below aren't confirmed.
+LEAST_ESTIMATE = 0.66
+#: Rows of a bucket that are compared in one task; larger buckets are dealt by pairs of blocks.
+BLOCK = 2000
 PLANES = BITS * HASHES // 64
-#: Estimates have a deviation of 0.04 at 0.75; pairs five of them below aren't confirmed.
-LEAST_ESTIMATE = 0.55
+#: Shingle sets that a task keeps while it compares a bucket.
+SET_BYTES = 64 << 20
 
 _rng = np.random.default_rng(977)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,7 +48,7 @@ def minima(runs: np.ndarray, step: int = 512) -> np.ndarray:
 
 def signature(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows of minima: a hash of each band, and the low bits packed by bit plane."""
-    bands = least.reshape(len(least), BANDS, ROWS)
+    bands = least[:, : BANDS * ROWS].reshape(len(least), BANDS, ROWS)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(least), BANDS))
     for r in range(ROWS):
         key = hashing.mix64(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, r])
@@ -116,7 +120,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(pairs: DataFrame, described: DataFrame) -> DataFrame:
-    """Links among ``pairs`` (a, b): estimated from signatures first, then on full sets."""
+    """Links among ``pairs`` (a, b): near by signature first, then on full sets."""
     of = lambda x: described.select(
         F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("planes").alias(f"planes_{x}")
     )
@@ -132,6 +136,115 @@ def _confirmed(pairs: DataFrame, described: DataFrame) -> DataFrame:
     return stored(both.mapInArrow(_confirm, "a long, b long").distinct(), "links")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        key = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            own = tuple(key[a].tolist())
+            if last is not None and own != last:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(rows.slice(a, b - a))
+            last = own
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _near_pairs(group: pa.Table) -> list[tuple[float, int, int]]:
+    """Rows of a bucket that are near by signature and lie in different components, the nearest
+    first. A pair that shares an earlier band was seen there."""
+    component, block, n = (group.column(c).to_numpy() for c in ("component", "block", "n_shingles"))
+
+    def lists(name: str, width: int) -> np.ndarray:
+        x = group.column(name).combine_chunks()
+        return x.values.to_numpy()[x.offsets[0].as_py() : x.offsets[-1].as_py()].view(np.uint64).reshape(-1, width)
+
+    planes = lists("planes", PLANES).reshape(-1, BITS, HASHES // 64)
+    bands = lists("bands", BANDS)
+    at_band = int(np.flatnonzero(bands[0] == group.column("band")[:1].to_numpy().view(np.uint64)[0])[0])
+    within = len(set(block.tolist())) == 1
+    chance, found = 1 / (1 << BITS), []
+    for at in range(0, len(component), 64):
+        some = slice(at, at + 64)
+        differ = np.zeros((len(component[some]), len(component), HASHES // 64), np.uint64)
+        for p in range(BITS):
+            differ |= planes[some, None, p] ^ planes[None, :, p]
+        likeness = (1 - np.bitwise_count(differ).sum(axis=2, dtype=np.int64) / HASHES - chance) / (1 - chance)
+        fit = (likeness >= LEAST_ESTIMATE) & (component[some, None] < component[None, :])
+        if not within:
+            fit &= block[some, None] != block[None, :]
+        fit &= 100 * np.minimum(n[some, None], n[None, :]) >= LEAST * np.maximum(n[some, None], n[None, :])
+        i, j = np.nonzero(fit)
+        new = ~(bands[i + at, :at_band] == bands[j, :at_band]).any(axis=1)
+        i, j = i[new], j[new]
+        found += zip(likeness[i, j].tolist(), (i + at).tolist(), j.tolist(), strict=True)
+    return sorted(found, reverse=True)
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components within buckets. Pairs are confirmed on full sets from the
+    nearest on; those whose components a link has joined meanwhile need no test."""
+    unpack = zstandard.ZstdDecompressor()
+    for group in _groups(batches, ["band", "x", "y"]):
+        found = _near_pairs(group)
+        if not found:
+            continue
+        packed, ids, component = group.column("packed"), group.column("b").to_pylist(), group.column("component").to_pylist()
+        sets: dict[int, np.ndarray] = {}
+        top: dict[int, int] = {}
+
+        def set_of(k: int, packed: pa.ChunkedArray = packed, sets: dict[int, np.ndarray] = sets) -> np.ndarray:
+            if k not in sets:
+                if len(sets) % 256 == 255 and sum(x.nbytes for x in sets.values()) > SET_BYTES:
+                    sets.clear()
+                text = np.frombuffer(unpack.decompress(packed[k].as_py()), np.uint8)
+                sets[k] = next(hashing.sets_of_runs(text, np.array([0, len(text)]), WORDS))[1]
+            return sets[k]
+
+        def of(x: int, top: dict[int, int] = top) -> int:
+            while top.get(x, x) != x:
+                x = top[x]
+            return x
+
+        links = []
+        for _, i, j in found:
+            p, q = of(component[i]), of(component[j])
+            if p == q:
+                continue
+            one, two = set_of(i), set_of(j)
+            same = len(np.intersect1d(one, two, assume_unique=True))
+            if 100 * same >= LEAST * (len(one) + len(two) - same):
+                top[q] = p
+                links.append((ids[i], ids[j]))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+
+
+def _across(stars: DataFrame, heads: DataFrame, reached: DataFrame) -> DataFrame:
+    """Links (a, b) that join components within buckets."""
+    labelled = stars.select("band", "b").distinct().join(reached.toDF("b", "component"), "b", "left")
+    labelled = labelled.withColumn("component", F.coalesce("component", "b"))
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("n"))
+    mixed = mixed.where("p < q").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = stored(labelled.join(mixed, "band"), "mixed")
+    wanted = rows.select(F.col("b").alias("doc_id")).distinct()
+    about = stored(heads.join(wanted, "doc_id").select(F.col("doc_id").alias("b"), "n_shingles", "bands", "planes", "packed"), "about")
+    rows = rows.join(about, "b")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("other", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    rows = rows.select("band", "x", "y", "b", "component", "block", "n_shingles", "bands", "planes", "packed")
+    dealt = rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "b")
+    return stored(dealt.mapInArrow(_joining, "a long, b long").distinct(), "joining")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row ``doc_id, n_shingles, component_id, kept``.
 
@@ -142,9 +255,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored; an empty table gives an empty one.
 
     Equal sets are one class from the start, so copies never meet as pairs. In each band bucket
-    all classes are first paired with the smallest only. What those links don't join is then
-    paired across the components of a bucket, so every candidate pair is either confirmed,
-    refuted or within one component, whatever the size of a bucket.
+    all classes are first paired with the smallest only. Buckets that still hold several
+    components are then compared within themselves, block by block, by signature and on full
+    sets. So every candidate pair is confirmed, refuted or within one component, whatever the
+    size of a bucket, and no table of pairs grows with the square of one.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = stored(source.mapInArrow(_describe, _SEND), "described")
@@ -158,23 +272,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = rows.groupBy("band").agg(F.min("b").alias("a"), F.max("b").alias("z")).where("a < z").select("band", "a")
     stars = stored(rows.join(buckets, "band").select("band", "a", "b"), "stars")
     links = _confirmed(stars.where("a < b").select("a", "b").distinct(), heads)
-    reached = components(links, "a", "b")
-
-    label = lambda df, c: df.join(reached.withColumnRenamed("node", c), c, "left").withColumn(
-        "component", F.coalesce("component", c)
-    )
-    labelled = label(stars.select("band", "b"), "b")
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    open_rows = stored(labelled.join(mixed.select("band"), "band").distinct(), "open")
-    across = (
-        open_rows.alias("p").join(open_rows.alias("q"), F.expr("p.band = q.band AND p.component < q.component"))
-        .select(F.least("p.b", "q.b").alias("a"), F.greatest("p.b", "q.b").alias("b")).distinct()
-        .join(stars.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    )
-    more = _confirmed(across, heads)
-    if more.isEmpty():
-        final = reached
-    else:
+    final = components(links, "a", "b")
+    more = _across(stars, heads, final)
+    if not more.isEmpty():
         final = components(links.union(more), "a", "b")
     out = members.join(final.select(F.col("node").alias("head"), "component"), "head", "left")
     component = F.coalesce("component", "head", "doc_id")
