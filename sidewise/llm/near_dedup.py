@@ -57,7 +57,7 @@ def signature(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=6)
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             ids, texts = batch.column(0).slice(at, 256), batch.column(1).slice(at, 256)
@@ -82,6 +82,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Both sides grow with the input, so neither is ever broadcast: the plan is the same at all
+    sizes, and Spark can split it at hot keys."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def estimate(x: str, y: str) -> Column:
     """Likeness from two packed signatures: equal low bits by bit counts, less those that
     agree by chance."""
@@ -119,20 +125,18 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield some.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _confirmed(pairs: DataFrame, described: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, heads: DataFrame, texts: DataFrame) -> DataFrame:
     """Links among ``pairs`` (a, b): near by signature first, then on full sets."""
-    of = lambda x: described.select(
+    of = lambda x: heads.select(
         F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("planes").alias(f"planes_{x}")
     )
-    near = pairs.join(of("a"), "a").join(of("b"), "b").where(
+    near = _joined(_joined(pairs, of("a"), "a"), of("b"), "b").where(
         (estimate("planes_a", "planes_b") >= LEAST_ESTIMATE)
         & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * LEAST)
     )
-    near = stored(near.select("a", "b"), "pairs")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(described.select("doc_id", "packed").join(wanted, "doc_id"), "texts")
     text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("packed").alias(f"packed_{x}"))
-    both = near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "packed_a", "packed_b")
+    both = _joined(_joined(near.select("a", "b"), text("b"), "b"), text("a"), "a")
+    both = both.select("a", "b", "packed_a", "packed_b")
     return stored(both.mapInArrow(_confirm, "a long, b long").distinct(), "links")
 
 
@@ -227,16 +231,15 @@ def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
 
-def _across(stars: DataFrame, heads: DataFrame, reached: DataFrame) -> DataFrame:
+def _across(stars: DataFrame, heads: DataFrame, texts: DataFrame, reached: DataFrame) -> DataFrame:
     """Links (a, b) that join components within buckets."""
-    labelled = stars.select("band", "b").distinct().join(reached.toDF("b", "component"), "b", "left")
+    labelled = _joined(stars.select("band", "b").distinct(), reached.toDF("b", "component"), "b", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "b"))
     mixed = labelled.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("n"))
     mixed = mixed.where("p < q").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = stored(labelled.join(mixed, "band"), "mixed")
-    wanted = rows.select(F.col("b").alias("doc_id")).distinct()
-    about = stored(heads.join(wanted, "doc_id").select(F.col("doc_id").alias("b"), "n_shingles", "bands", "planes", "packed"), "about")
-    rows = rows.join(about, "b")
+    rows = _joined(labelled, mixed, "band")
+    rows = _joined(rows, heads.withColumnRenamed("doc_id", "b"), "b")
+    rows = _joined(rows, texts.withColumnRenamed("doc_id", "b"), "b")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
@@ -264,19 +267,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     described = stored(source.mapInArrow(_describe, _SEND), "described")
     sets = described.select("doc_id", "n_shingles", "s1", "s2")
     classes = sets.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("head"))
-    members = stored(sets.join(classes, ["s1", "s2", "n_shingles"], "left").drop("s1", "s2"), "members")
+    members = stored(_joined(sets, classes, ["s1", "s2", "n_shingles"], "left").drop("s1", "s2"), "members")
     heads = members.where("doc_id = head").select("doc_id").distinct()
-    heads = stored(described.drop("s1", "s2").join(heads, "doc_id").where("n_shingles > 0"), "heads")
+    signatures = described.where("n_shingles > 0").select("doc_id", "n_shingles", "bands", "planes")
+    heads = stored(_joined(signatures, heads, "doc_id"), "heads")
 
     rows = heads.select(F.col("doc_id").alias("b"), F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("b").alias("a"), F.max("b").alias("z")).where("a < z").select("band", "a")
-    stars = stored(rows.join(buckets, "band").select("band", "a", "b"), "stars")
-    links = _confirmed(stars.where("a < b").select("a", "b").distinct(), heads)
+    stars = stored(_joined(rows, buckets, "band").select("band", "a", "b"), "stars")
+    wanted = stars.select(F.col("b").alias("doc_id")).distinct()
+    texts = stored(_joined(described.select("doc_id", "packed"), wanted, "doc_id"), "texts")
+    links = _confirmed(stars.where("a < b").select("a", "b").distinct(), heads, texts)
     final = components(links, "a", "b")
-    more = _across(stars, heads, final)
+    more = _across(stars, heads, texts, final)
     if not more.isEmpty():
         final = components(links.union(more), "a", "b")
-    out = members.join(final.select(F.col("node").alias("head"), "component"), "head", "left")
+    out = _joined(members, final.select(F.col("node").alias("head"), "component"), "head", "left")
     component = F.coalesce("component", "head", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
