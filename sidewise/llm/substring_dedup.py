@@ -71,7 +71,7 @@ def _batches(size: int):
 
 
 def _filled(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    part, number, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
+    part, number, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=6)
     for batch in rows:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         order = np.argsort(ids, kind="stable")
