@@ -33,6 +33,16 @@ def atomic_sets(df: DataFrame, names: Sequence[str], id_col: str = "pid") -> Dat
     return out.withColumn("aid", F.row_number().over(Window.orderBy(*names)) - 1)
 
 
+def unique_rows(df: DataFrame, names: Sequence[str], id_col: str = "pid") -> DataFrame:
+    """Distinct rows with their number, the id of the first and, in its order, a number of their
+    own: ``membership`` gives the inverse."""
+    from pyspark.sql import Window
+
+    out = df.groupBy(*names).agg(F.count("*").alias("n"), F.min(id_col).alias("first_pid"))
+    # One row for each distinct row; numbering is global by definition.
+    return out.withColumn("aid", F.row_number().over(Window.orderBy("first_pid")) - 1)
+
+
 def membership(df: DataFrame, numbered: DataFrame, names: Sequence[str], id_col: str = "pid") -> DataFrame:
     """``id_col, aid``: the atom of each row."""
     same = reduce(Column.__and__, [F.col(f"d.{n}").eqNullSafe(F.col(f"a.{n}")) for n in names])

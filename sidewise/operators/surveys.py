@@ -367,6 +367,36 @@ class SurveyAccords:
             self.search.lower_agreement(agreement)
         self.agreement = agreement
 
+    def lower_bound(self) -> float:
+        """From above this agreement on the tree answers without a search."""
+        return self.search.tree.limit()
+
+    def save(self, folder: str) -> None:
+        """The tree, the features' columns and what they say."""
+        spark = self.survey.df.sparkSession
+        self.search.tree.save(spark, f"{folder}/tree")
+        self.search.df.write.mode("overwrite").parquet(f"{folder}/features")
+        rows = [(k, f.name, repr(f.info), float(self.agreement)) for k, f in enumerate(self.features)]
+        spark.createDataFrame(rows, "feature int, name string, info string, agreement double").write.mode("overwrite").parquet(f"{folder}/meta")
+
+    @staticmethod
+    def load(survey: Survey, folder: str) -> SurveyAccords:
+        """Saved accords of a survey; features keep their columns' values."""
+        from ast import literal_eval
+
+        from ..plans.search import Search
+        from ..plans.tree import AccordTree
+
+        spark = survey.df.sparkSession
+        out = SurveyAccords.__new__(SurveyAccords)
+        meta = spark.read.parquet(f"{folder}/meta").orderBy("feature").collect()
+        out.survey, out.agreement = survey, meta[0]["agreement"] if meta else 0
+        out.names = [f"f{r['feature']}" for r in meta]
+        out.features = [ft.Feature(r["name"], F.col(n), literal_eval(r["info"])) for r, n in zip(meta, out.names, strict=True)]
+        out.search = Search(spark.read.parquet(f"{folder}/features"), out.names)
+        out.search.sweep.tree = AccordTree.load(spark, f"{folder}/tree")
+        return out
+
     def matrix(self, remove_prefixes: bool = False) -> np.ndarray:
         from .analysis import without_prefixes
 

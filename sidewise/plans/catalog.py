@@ -148,6 +148,15 @@ def atomic_sets(spark, sf_dir):  # noqa: ANN001, ANN201
     return out.select(*[F.col(n).cast("int").alias(n) for n in NAMES], "w", "first_pid", F.col("aid").cast("long").alias("aid"))
 
 
+@query(
+    "unique_rows",
+    f"WITH {ITEMS} SELECT f1, f4, count(*) AS n, min(pid) AS first_pid, row_number() OVER (ORDER BY min(pid)) - 1 AS aid FROM f GROUP BY f1, f4",
+)
+def unique_rows(spark, sf_dir):  # noqa: ANN001, ANN201
+    out = counts.unique_rows(items(spark, sf_dir), ["f1", "f4"])
+    return out.select(F.col("f1").cast("int").alias("f1"), F.col("f4").cast("int").alias("f4"), "n", "first_pid", F.col("aid").cast("long").alias("aid"))
+
+
 @query("infimum", f"WITH {ITEMS} SELECT least(f0, -f2, f5) AS v, count(*) AS n FROM f GROUP BY 1")
 def infimum(spark, sf_dir):  # noqa: ANN001, ANN201
     v = counts.infimum([("f0", 1), ("f2", -1), ("f5", 1)]).cast("int")

@@ -7,6 +7,7 @@ few features let all triples be counted beforehand). The rest happens on the sma
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 from itertools import combinations
 
@@ -28,13 +29,21 @@ class Order:
         return a == b or self.table.get((a, b), False)
 
 
+log = logging.getLogger("sidewise")
+
+
+def log_progress(event: str, **what: object) -> None:
+    """The default listener: writes events to the log at level INFO."""
+    log.info("%s %s", event, what)
+
+
 class Sweep:
     """Appends features to a tree, keeping nodes below the bound as leaves so that a search can
     be resumed with a lower one. ``count`` counts rows on sets of sides, in batches through
     ``count.many`` if it has that; ``below`` compares oriented sides."""
 
-    def __init__(self, count: Callable[..., float], below: Callable[[Side, Side], bool], features: Sequence[int] = (), size: int = 3) -> None:
-        self.count, self.below, self.size = count, below, size
+    def __init__(self, count: Callable[..., float], below: Callable[[Side, Side], bool], features: Sequence[int] = (), size: int = 3, progress: Callable[..., None] = log_progress) -> None:
+        self.count, self.below, self.size, self.progress = count, below, size, progress
         self.tree = AccordTree(Node(count()), [])
         for f in features:
             self.append(f)
@@ -83,6 +92,7 @@ class Sweep:
         nodes = last[len(self.tree.features)] if len(last) > len(self.tree.features) else []
         self.tree.features.append(feature)
         made = self._grow([n for n in nodes if n.agreement >= bound], feature)
+        self.progress("append", feature=feature, level=len(self.tree.features), nodes=len(made))
         return sum(n.agreement >= bound for n in made)
 
     def insert(self, at: int, feature: int, bound: float = 1) -> int:
@@ -94,6 +104,7 @@ class Sweep:
             n.children.clear()
         self.tree.features.insert(at, feature)
         last = self._extend(nodes, at, bound)
+        self.progress("insert", feature=feature, level=at, nodes=len(last))
         return sum(n.agreement >= bound for n in last)
 
     def sweep_below(self, agreement: float) -> float:
@@ -101,7 +112,8 @@ class Sweep:
         total = self.tree.number_of_features
         for level in range(total):
             nodes = next((x for k, x in enumerate(self.tree.levels(level)) if k == level), [])
-            self._grow([n for n in nodes if not n.children and n.agreement >= agreement], self.tree.features[level])
+            made = self._grow([n for n in nodes if not n.children and n.agreement >= agreement], self.tree.features[level])
+            self.progress("sweep", level=level, agreement=agreement, nodes=len(made))
         return self.limit
 
     def sweep_one(self) -> float:
@@ -166,6 +178,11 @@ def search(
     return out
 
 
+def path_of(tree: AccordTree, matrix_row: Sequence[int]) -> Node:
+    """The node of a row of the accord matrix."""
+    return tree.by_path([int(s) for s in matrix_row if s])
+
+
 def guided(tree: AccordTree, df: DataFrame, names: Sequence[str], subset_col: str, min_agreement: float = 1) -> Node:
     """Follow the majority of a subset of rows, up to the first tie, as far as the tree goes."""
     from pyspark.sql import functions as F

@@ -156,6 +156,7 @@ class UncrossingSweep:
                 self.messages.append(f"features {pair} stay crossing")
                 return False
             best = max(new, key=self.system.smaller_side)
+            self.sweep.progress("uncross", crossing=pair, corner=best)
             self.sweep.insert(self.ranking.place(self.tree.features, best), best, self.agreement)
         return True
 

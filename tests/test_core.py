@@ -429,12 +429,15 @@ def test_features_mean_what_they_say(survey):
         features.binary_values("a", [1, 2, 3])
 
 
-def test_typical_answers(survey):
+def test_typical_answers(survey, tmp_path):
     found = surveys.SurveyAccords(survey, 5)
     assert found.typical_answers() and len(found.metadata()) == len(found.search.tree.features)
     before = len(found.matrix())
     found.change_agreement(3)
     assert len(found.matrix()) >= before and len(found.matrix(remove_prefixes=True)) <= len(found.matrix())
+    found.save(str(tmp_path / "accords"))
+    back = surveys.SurveyAccords.load(survey, str(tmp_path / "accords"))
+    assert back.typical_answers() == found.typical_answers() and back.metadata() == found.metadata()
     v = survey.variables
     assert surveys.possible_values(v["ord"], [(">=", 2), ("!=", 3)]) == {2, 4}
     assert surveys.possible_values(v["nom"], [("!=", "x"), ("==", "x")]) == {"x"}
