@@ -38,16 +38,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _remove_written() -> None:
     for spark, folder in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
         except Exception:  # noqa: BLE001  the session has ended; the shared folder's owner cleans up
             return
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote and that no later step reads."""
+    for df in tables:
+        _written.remove((df.sparkSession, df._stored_in))
+        _delete(df.sparkSession, df._stored_in)
+
+
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: lineage ends there,
     and a lost executor costs only the tasks it was running. Removed when the program ends."""
@@ -60,7 +70,9 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     for key, value in options.items():
         writer = writer.option(key.replace("__", "."), value)
     writer.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._stored_in = folder
+    return out
 
 
 def text_or_empty(col: str | Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 
 def _toward_least(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     edges = stored(_toward_least(links.select(F.col(a).alias("u"), F.col(b).alias("v"))), "edges")
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    seen = mark(edges)
+    seen, before = mark(edges), edges
     if not seen[0]:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
@@ -33,7 +33,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         edges = _toward_least(large)
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         small = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(_toward_least(small.union(least)), "edges")
+        new = stored(_toward_least(small.union(least)), "edges")
+        release(before)
+        edges = before = new
         now = mark(edges)
         if now == seen:
             break

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import stored, table
+from .common import release, stored, table
 from .graph import components
 
 WORDS = 5
@@ -282,6 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _across(stars, heads, texts, final)
     if not more.isEmpty():
         final = components(links.union(more), "a", "b")
+    release(described, heads, stars, texts, links, more)
     out = _joined(members, final.select(F.col("node").alias("head"), "component"), "head", "left")
     component = F.coalesce("component", "head", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
