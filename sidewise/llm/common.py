@@ -94,11 +94,12 @@ def hash128(col: Column) -> list[Column]:
     return [F.xxhash64(col), F.xxhash64(F.lit(0x5EED), F.reverse(col), col)]
 
 
-def before(df: DataFrame, part: str, order: list[str], value: str, out: str) -> DataFrame:
+def before(df: DataFrame, sizes: DataFrame, part: str, order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows that come before, in the order of
     ``part`` and then ``order``. ``part`` numbers ranges of rows; one row for each of them
-    meets in a single task, the rows themselves stay spread out."""
-    sums = df.groupBy(part).agg(F.sum(value).alias("__sum"))
+    meets in a single task, the rows themselves stay spread out. ``sizes`` has the same ``part``
+    and ``value`` from a cheaper place."""
+    sums = sizes.groupBy(part).agg(F.sum(value).alias("__sum"))
     sums = sums.select(
         F.col(part).alias("__part"),
         (F.sum("__sum").over(Window.orderBy(part)) - F.col("__sum")).alias("__base"),
