@@ -11,19 +11,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import WORD, table
+from .common import SPACE_CHARS, SPACE_CLASS, WORD, table
 
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = "und"
-#: Of each language about this many characters of labelled texts are looked at, drawn by a
-#: seeded hash of the id: the only bound, and for fitting alone.
+#: Of each language about this many characters of labelled texts are looked at, drawn in runs of
+#: ``RUN_CHARS`` by a seeded hash: the only bound, and for fitting alone.
 SAMPLE_CHARS = 1_500_000
+RUN_CHARS = 2048
 SEED = 41
 ROUNDS = 4
 SMOOTHING = 0.2
@@ -198,9 +200,40 @@ class Model:
         self.languages, self.p, self.prior, self.pieces = languages, p, prior, pieces
 
 
+def _run(at: Column) -> Column:
+    """Run number ``at`` of a text, with a space after the text's end."""
+    run = F.substring(F.col("text"), at * RUN_CHARS + 1, F.lit(RUN_CHARS))
+    return F.when(F.char_length(run) < RUN_CHARS, F.concat(run, F.lit(" "))).otherwise(run)
+
+
+def sample(usable: DataFrame, chars: dict[str, int]) -> DataFrame:
+    """``lang, part``: of each language's texts (columns ``id, text, lang``, ``chars`` in all)
+    about SAMPLE_CHARS characters, or all. Texts are drawn by runs, so it doesn't matter how long
+    they are. A word that begins in one run and ends in the next goes with the one it begins in;
+    only a word without end in the next run is cut."""
+    share = {k: min(1.0, SAMPLE_CHARS / max(1, n)) for k, n in chars.items()}
+    limit = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]
+    seeded = usable.select("lang", "text", F.xxhash64(F.lit(SEED), "id", "text").alias("seed"), limit.alias("limit"))
+
+    def drawn(k: Column) -> Column:
+        return F.pmod(F.xxhash64(F.col("seed"), k), F.lit(1 << 30)) / float(1 << 30) < F.col("limit")
+
+    runs = F.sequence(F.lit(0), F.floor(F.char_length("text") / RUN_CHARS).cast("int"))
+    found = seeded.select("lang", "text", F.explode(F.filter(runs, drawn)).alias("at"))
+    head = rf"^{WORD}(?=[{SPACE_CLASS}])"
+    own = F.when(F.col("at") > 0, F.regexp_replace(_run(F.col("at")), head, "")).otherwise(_run(F.col("at")))
+    return found.select("lang", F.concat(own, F.regexp_extract(_run(F.col("at") + 1), head, 0)).alias("part"))
+
+
+def _words(parts: DataFrame) -> pd.DataFrame:
+    words = parts.select("lang", F.explode(F.regexp_extract_all("part", F.lit(WORD), F.lit(0))).alias("word"))
+    return words.groupBy("lang", "word").agg(F.count("*").alias("n")).orderBy("lang", "word").toPandas()
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on rows that aren't held out and have a language and a text. A language's sample is
-    drawn by id; its share of all such rows is its prior."""
+    """Fit on rows that aren't held out and have a language and a text; rows with a null id are
+    not learned from. A language's sample is drawn by id, text and place; its share of all such
+    rows is its prior. Every language with a word is learned."""
     names = {"id": F.col(id_col), "text": F.col(text_col), "lang": F.col(lang_col)}
     usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     usable = usable.select(*[c.alias(n) for n, c in names.items()])
@@ -208,14 +241,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     pieces = public_pieces()
     if not sizes:
         return Model([], np.zeros((len(pieces), 0)), np.zeros(0), pieces)
-    draw = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 30)) / float(1 << 30)
-    share = {r["lang"]: min(1.0, SAMPLE_CHARS / max(1, r["chars"])) for r in sizes}
-    limit = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]
-    words = (
-        usable.where(draw < limit)
-        .select("lang", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
-        .groupBy("lang", "word").agg(F.count("*").alias("n")).orderBy("lang", "word").toPandas()
-    )
+    words = _words(sample(usable, {r["lang"]: r["chars"] for r in sizes}))
+    missed = [r["lang"] for r in sizes if r["lang"] not in set(words["lang"])]
+    if missed:
+        # Many copies of one row are drawn alike, mostly white space can hide words: one text each.
+        first = usable.where(F.col("lang").isin(missed) & F.col("text").rlike(WORD))
+        begun = F.left(F.ltrim("text", F.lit(SPACE_CHARS)), F.lit(SAMPLE_CHARS))
+        first = first.groupBy("lang").agg(F.min(F.struct(F.xxhash64(F.lit(SEED), "id", "text"), begun.alias("part"))).alias("m"))
+        words = pd.concat([words, _words(first.select("lang", "m.part"))])
     table_, found = Pieces(pieces), {k: g for k, g in words.groupby("lang")}
     languages = [r["lang"] for r in sizes if r["lang"] in found]
     p = np.stack([fit(table_, found[x]["word"].tolist(), found[x]["n"].to_numpy()) for x in languages], axis=1) if languages else np.zeros((len(pieces), 0))

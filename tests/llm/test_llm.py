@@ -439,6 +439,38 @@ def test_language_id_held_out(spark, sf_dir, empty):
     assert language_id.predict(empty, model).count() == 0
 
 
+def test_language_id_sample_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 30_000)
+    monkeypatch.setattr(language_id, "RUN_CHARS", 256, raising=False)
+    schema, out = "doc_id long, text string, lang string", []
+    for k in range(8):  # two long texts each: a share of 0.15, so whole documents are mostly not drawn
+        own = [f"{chr(97 + k) * 2}{i}{chr(105 + k)}" for i in range(300)]
+        r = random.Random(k)
+        out += [(i, " ".join(r.choices(own, k=20_000))[:100_000], f"l{k}") for i in [j for j in range(9 * k, 9 * k + 9) if zlib.crc32(str(j).encode()) % 4 != 2][:2]]
+    out += [(i, "solid" * 20_000, "solid") for i in (101, 102)]
+    out += [(103, "rare word", "copies")] * 9000
+    docs = spark.createDataFrame(out, schema)
+    docs = docs.where(~language_id.held_out("doc_id"))
+    sizes = Counter()
+    for _, text, lang in docs.collect():
+        sizes[lang] += len(text)
+    model = language_id.train(docs)
+    assert model.languages == sorted(sizes)
+    parts = language_id.sample(docs.withColumnRenamed("doc_id", "id"), dict(sizes)).collect()
+    drawn = Counter()
+    for row in parts:
+        drawn[row["lang"]] += len(row["part"])
+    for lang in sizes.keys() - {"copies"}:
+        assert 0.6 * 30_000 < drawn[lang] < 1.5 * 30_000
+    known = {lang: {w for _, text, x in docs.where(f"lang = '{lang}'").collect() for w in text.split()} for lang in sizes if lang != "solid"}
+    assert all(set(row["part"].split()) <= known[row["lang"]] for row in parts if row["lang"] != "solid")
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 10**9)  # everything: each character once
+    for lang in sizes.keys() - {"copies"}:
+        some = docs.where(f"lang = '{lang}'").withColumnRenamed("doc_id", "id")
+        whole = Counter("".join(row["part"] for row in language_id.sample(some, dict(sizes)).collect()))
+        assert whole - Counter({" ": whole[" "]}) == Counter(c for r in some.collect() for c in r["text"] if c != " ")
+
+
 # -- pipeline and entry ----------------------------------------------------------------------
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
