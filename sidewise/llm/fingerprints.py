@@ -21,8 +21,9 @@ from .common import NEWLINE, stored, table, text_or_empty
 
 LANES32 = 8
 LANES16 = 128
-#: Pieces start anew at each sentence and paragraph.
-PIECE = r"[^\n.!?]{8,16}"
+#: Pieces start anew at each sentence and paragraph. The last of a sentence may be short and has
+#: the marks that end it, so every character of a paragraph is in one piece.
+PIECE = r"[^\n.!?]{1,16}[.!?]*|[.!?]+"
 MOD32 = (1 << 32) - 1
 
 

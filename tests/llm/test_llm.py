@@ -111,6 +111,16 @@ def test_fingerprint_is_homomorphic(spark):
     assert found[0]["lanes"] == [sum(found[2 + k]["lanes"][i] for k in range(3)) for i in range(fingerprints.LANES16)]
 
 
+def test_fingerprint_pieces_cover_paragraphs(spark):
+    texts = ["That it.", "...", "One.\nTwo", "a sentence of more than sixteen characters! ok?\n\n.x", "é" * 19]
+    for text in texts:
+        assert "".join(re.findall(fingerprints.PIECE, text)) == text.replace("\n", "")
+    rows = [(k, t) for k, t in enumerate([*texts, "That it.\nThat it.", "This is."])]
+    found = [r["lanes"] for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert all(any(lanes) for lanes in found[: len(texts)])
+    assert found[-2] == [2 * x for x in found[0]] and found[-1] != found[0]
+
+
 # -- 2 ---------------------------------------------------------------------------------------
 def greedy(vocabulary, word):
     s, n, i = token_counts.START + word, 0, 0
