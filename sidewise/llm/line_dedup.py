@@ -23,19 +23,21 @@ def drop_shared_lines(
     A line's key is the line without white space at its ends, A-Z lower-cased. Keys of at least
     ``min_chars`` code points that are found in at least ``min_docs`` documents lose all their
     lines except in the largest document id that holds them. Null or empty: one empty line.
-    Repeated ids count as one document. Columns other than the two are carried in ``row``.
+    Repeated ids count as one document, but each row loses lines of its own text only. Rows with
+    a null id count as one document that keeps all its lines. Columns other than the two are
+    carried in ``row``.
 
     Lines travel as two 64-bit hashes. Documents are counted in two steps, so that a line found
     everywhere meets only as partial counts; the join back can be split by Spark at a hot key.
     """
     source = docs.select(
         F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), F.struct("*").alias("row")
-    )
-    lines = source.select("doc_id", F.posexplode(F.split("text", NEWLINE)).alias("pos", "line"))
-    keys = lines.select("doc_id", "pos", ascii_lower(F.btrim("line", F.lit(SPACE_CHARS))).alias("key"))
+    ).withColumn("of", F.xxhash64("text"))
+    lines = source.select("doc_id", "of", F.posexplode(F.split("text", NEWLINE)).alias("pos", "line"))
+    keys = lines.select("doc_id", "of", "pos", ascii_lower(F.btrim("line", F.lit(SPACE_CHARS))).alias("key"))
     keys = keys.where(F.char_length("key") >= min_chars)
     h1, h2 = hash128(F.col("key"))
-    keys = keys.select("doc_id", "pos", h1.alias("h1"), h2.alias("h2"))
+    keys = keys.select("doc_id", "of", "pos", h1.alias("h1"), h2.alias("h2"))
     shared = (
         keys.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         .groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
@@ -44,11 +46,11 @@ def drop_shared_lines(
     dropped = (
         keys.join(shared, ["h1", "h2"])
         .where(F.col("doc_id") != F.col("keeper"))
-        .groupBy("doc_id").agg(F.collect_set("pos").alias("drop"))
+        .groupBy("doc_id", "of").agg(F.collect_set("pos").alias("drop"))
     )
     none = F.expr("cast(array() as array<int>)")
     split = (
-        source.join(dropped, "doc_id", "left")
+        source.join(dropped, ["doc_id", "of"], "left")
         .withColumn("drop", F.coalesce("drop", none))
         .withColumn("lines", F.split("text", NEWLINE))
     )

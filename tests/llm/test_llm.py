@@ -201,6 +201,14 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.drop_shared_lines(empty).count() == 0
 
 
+def test_line_dedup_repeated_ids(spark):
+    shared, own = "a line that many documents share", "a line that no other document holds"
+    rows = [(1, f"{shared}\n{own}"), (1, f"{own} 2\n{shared}"), (2, shared), (3, shared), (None, shared)]
+    found = line_dedup.drop_shared_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, 1, own), (1, 1, f"{own} 2"), (2, 1, ""), (3, 0, shared), (None, 0, shared)]
+    assert sorted(((r["doc_id"], r["n_dropped"], r["kept"]) for r in found), key=str) == sorted(want, key=str)
+
+
 # -- 5 ---------------------------------------------------------------------------------------
 def test_packing(docs, rows, empty):
     found = packing.pack(docs).collect()
