@@ -27,15 +27,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
+    """One document of each group of near copies stays, the one with the smallest id. Rows with
+    a null id are documents of their own and stay."""
     kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows that share an id are taken alike."""
+    """Each document as often as the mix takes it. Rows that share an id, null too, are taken alike."""
     copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    repeated = docs.join(copies, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    copies = copies.withColumnRenamed("doc_id", "__id")
+    repeated = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return repeated.select(docs.columns)
 
 

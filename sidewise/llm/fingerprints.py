@@ -116,9 +116,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last third is the start of the
     next document, and how like they are. Of repeated ids the smallest start serves as the next
-    document. Texts are moved once, and only the starts that are wanted a second time."""
-    base = fingerprints(docs, id_col, text_col).repartition("doc_id")
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text_or_empty(text_col)).cast("long").alias("n_chars"))
+    document. A row with a null id is a document of its own, which is its own next and no
+    other's. Texts are moved once, and only the starts that are wanted a second time."""
+    named, nameless = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
+    base = fingerprints(named, id_col, text_col).repartition("doc_id")
+    sizes = named.select(F.col(id_col).alias("doc_id"), F.char_length(text_or_empty(text_col)).cast("long").alias("n_chars"))
     links = next_ids(sizes).select(
         F.col("doc_id").alias("before"), F.col("next_id"), F.floor(F.col("n_chars") / 3).cast("int").alias("want")
     )
@@ -138,7 +140,11 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("before", "next.*")
     )
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    joined = base.join(starts, F.col("doc_id") == F.col("before")).withColumn(
+    joined = base.join(starts, F.col("doc_id") == F.col("before")).drop("before", "next_n_chars")
+    alone = fingerprints(nameless, id_col, text_col).withColumns(
+        {"start": F.col("text"), "next_exact": F.col("exact"), "next_lanes": F.col("lanes")}
+    )
+    joined = joined.unionByName(alone).withColumn(
         "edited", F.concat(F.left("text", F.col("n_chars").cast("int") - third), F.left("start", third))
     )
     hashed = joined.withColumns(

@@ -254,8 +254,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A text's set holds its distinct runs of five words, A-Z lower-cased (of fewer words: the
     whole). Texts are linked from a likeness of 0.75; a component is what links reach and its
     smallest id is kept. Null, empty and blank texts have an empty set and stand alone. Rows of
-    one id count as one document that is linked to whatever any of them is linked to. Other
-    columns are ignored; an empty table gives an empty one.
+    one id count as one document that is linked to whatever any of them is linked to. A row with
+    a null id is a document of its own: it is linked to none, has a null component and is kept.
+    Other columns are ignored; an empty table gives an empty one.
 
     Equal sets are one class from the start, so copies never meet as pairs. In each band bucket
     all classes are first paired with the smallest only. Buckets that still hold several
@@ -264,9 +265,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size of a bucket, and no table of pairs grows with the square of one.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = stored(source.mapInArrow(_describe, _SEND), "described")
-    sets = described.select("doc_id", "n_shingles", "s1", "s2")
-    classes = sets.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("head"))
+    every = stored(source.mapInArrow(_describe, _SEND), "described")
+    described = every.where("doc_id is not null")
+    sets = every.select("doc_id", "n_shingles", "s1", "s2")
+    classes = sets.where("doc_id is not null and n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("head"))
     members = stored(_joined(sets, classes, ["s1", "s2", "n_shingles"], "left").drop("s1", "s2"), "members")
     heads = members.where("doc_id = head").select("doc_id").distinct()
     signatures = described.where("n_shingles > 0").select("doc_id", "n_shingles", "bands", "planes")
@@ -282,10 +284,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _across(stars, heads, texts, final)
     if not more.isEmpty():
         final = components(links.union(more), "a", "b")
-    release(described, heads, stars, texts, links, more)
+    release(every, heads, stars, texts, links, more)
     out = _joined(members, final.select(F.col("node").alias("head"), "component"), "head", "left")
-    component = F.coalesce("component", "head", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "head", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -517,6 +517,33 @@ def test_pipeline_stages(spark, sf_dir):
     assert five.where("piece = 0").count() == four.count()
 
 
+def test_null_ids(spark, sf_dir):
+    import corpus_pipeline
+
+    copy = " ".join(f"the word number{i}" for i in range(50))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, copy, "en", "a", len(copy)), (None, "another short text", "en", "a", 18), (1, copy, "en", "a", len(copy)), (2, copy, "en", "b", len(copy))]
+    docs = spark.createDataFrame(rows, schema)
+    near = near_dedup.near_duplicates(docs).collect()
+    assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near), key=str) == sorted(
+        [(None, None, True)] * 2 + [(1, 1, True), (2, 1, False)], key=str
+    )
+    assert sorted(r["n_shingles"] for r in near if r["doc_id"] is None) == [1, 146]
+    prints = fingerprints.edited_fingerprints(docs).collect()
+    assert len(prints) == 4 and sum(r["doc_id"] is None for r in prints) == 2
+    k = len("another short text") // 3
+    edited = "another short text"[: 18 - k] + "another short text"[:k]
+    assert hashlib.sha256(edited.encode()).hexdigest() in {r["edited_sha256"] for r in prints if r["doc_id"] is None}
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("language_id", "line_dedup", "near_dedup"):
+        some = spark.read.parquet(f"{sf_dir}/documents.parquet").select(docs.columns).union(docs) if name == "language_id" else docs
+        assert stages[name](spark, some, sf_dir).where("doc_id is null").count() == 2
+    copies = mixing.mix(docs).where("doc_id is null").selectExpr("max(copies) c").first()["c"]
+    assert stages["source_mixing"](spark, docs, sf_dir).where("doc_id is null").count() == 2 * copies > 0
+    packed = stages["best_fit_packing"](spark, docs, sf_dir).where("piece = 0")
+    assert packed.where("doc_id is null").count() == 2
+
+
 def test_run(spark, sf_dir):
     import corpus_pipeline
 
