@@ -285,15 +285,15 @@ def pca_features(df: DataFrame, columns: Sequence[str], k: int, id_col: str = "p
     return df.select(id_col, *[F.when(s >= 0, 1).otherwise(-1).cast("tinyint").alias(f"pc{i}") for i, s in enumerate(scores)])
 
 
-def minimize_order(edges: DataFrame, points: DataFrame, feature: str, max_steps: int = 1000, kind: str = "cut", id_col: str = "pid") -> DataFrame:
+def minimize_order(edges: DataFrame, points: DataFrame, feature: str, max_steps: int = int(1e8), kind: str = "cut", id_col: str = "pid") -> DataFrame:
     """Flip single rows, each time the one that lowers the order most (ties to the smaller id),
-    until none does. "cut" takes changes from one aggregation; the others evaluate the cut and
+    until none does; raises if that takes more than ``max_steps`` flips. "cut" takes changes from one aggregation; the others evaluate the cut and
     the side sizes for all rows at once."""
     from .orders import discrete_derivative
 
     current = points.select(id_col, F.col(feature).cast("int").alias(feature))
     degree = edges.groupBy(F.col("src").alias(id_col)).agg(F.sum("w").alias("deg"))
-    for _ in range(max_steps):
+    for step in range(max_steps + 1):
         change = discrete_derivative(edges, current, feature, id_col).join(current, id_col).join(degree, id_col, "left").fillna(0.0)
         stats = change.agg(
             (F.sum(-F.col("change") + F.col("deg")) / 4).alias("cut"), F.count("*").alias("n"), F.count_if(F.col(feature) > 0).alias("pos"),
@@ -316,6 +316,8 @@ def minimize_order(edges: DataFrame, points: DataFrame, feature: str, max_steps:
         best = change.select(id_col, value.alias("v")).agg(F.min(F.struct("v", id_col)).alias("b")).first()["b"]
         if best is None or best["v"] >= now - 1e-12:
             break
+        if step == max_steps:
+            raise RuntimeError(f"no local minimum after {max_steps} flips")
         flip = F.col(id_col) == best[id_col]
         current = _cut_lineage(current.select(id_col, F.when(flip, -F.col(feature)).otherwise(F.col(feature)).alias(feature)))
     return current

@@ -743,7 +743,7 @@ def pca_features(spark, sf_dir):  # noqa: ANN001, ANN201
 @query("minimize_cut")
 def minimize_cut(spark, sf_dir):  # noqa: ANN001, ANN201
     edges, points = nation_graph(spark, sf_dir)
-    return graphs.minimize_order(edges, points, "n1", 20)
+    return graphs.minimize_order(edges, points, "n1")
 
 
 @query("typical_answers")

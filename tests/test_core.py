@@ -475,3 +475,15 @@ def test_catalog_sql(spark, sf_dir, name):
 def test_driver_contract(spark):
     assert driver.entry(spark).count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def test_minimize_order_limit(spark):
+    from sidewise.operators import graphs
+
+    pairs = [(i, j) for i in range(5) for j in range(5) if i != j]
+    edges = spark.createDataFrame([(i, j, 1.0) for i, j in pairs], "src long, dst long, w double")
+    points = spark.createDataFrame([(i, 1 if i < 3 else -1) for i in range(5)], "pid long, c int")
+    with pytest.raises(RuntimeError, match="1 flips"):  # two are needed
+        graphs.minimize_order(edges, points, "c", 1)
+    for limit in ({"max_steps": 2}, {}):
+        assert {r["c"] for r in graphs.minimize_order(edges, points, "c", **limit).collect()} == {1}
