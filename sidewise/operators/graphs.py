@@ -136,14 +136,25 @@ def normalized_laplacian(edges: DataFrame) -> DataFrame:
 
 
 def modularity(edges: DataFrame) -> DataFrame:
-    """Entries of A - d d' / sum(d) at the places of edges; elsewhere it is -d d' / sum(d), which
-    ``degrees`` gives."""
+    """Entries of A - d d' / sum(d) at the places of edges only; ``modularity_at`` gives any."""
     d = degrees(edges)
     total = d.agg(F.sum("deg").alias("t"))
     joined = edges.join(d.toDF("src", "d1"), "src").join(d.toDF("dst", "d2"), "dst").join(F.broadcast(total))  # one row
     return joined.select("src", "dst", (F.col("w") - F.col("d1") * F.col("d2") / F.col("t")).alias("w"))
 
 
+def modularity_at(edges: DataFrame, places: DataFrame) -> DataFrame:
+    """Entries of A - d d' / sum(d) at all ``places`` (``src, dst``), with or without an edge. A
+    node without edges has degree 0."""
+    d = degrees(edges)
+    total = d.agg(F.sum("deg").alias("t"))
+    joined = places.select("src", "dst").join(edges.groupBy("src", "dst").agg(F.sum("w").alias("a")), ["src", "dst"], "left")
+    joined = joined.join(d.toDF("src", "d1"), "src", "left").join(d.toDF("dst", "d2"), "dst", "left").join(F.broadcast(total))  # one row
+    joined = joined.fillna(0.0, ["a", "d1", "d2"])
+    expected = F.when(F.col("t") != 0, F.col("d1") * F.col("d2") / F.col("t")).otherwise(0.0)
+    return joined.select("src", "dst", (F.col("a") - expected).alias("w"))
+
+
 def contract(edges: DataFrame, bags: DataFrame) -> DataFrame:
     """Edges between bags (``node, bag``), weights added up; those within a bag go."""
     joined = edges.join(bags.toDF("src", "x"), "src").join(bags.toDF("dst", "y"), "dst").where("x <> y")

@@ -487,3 +487,14 @@ def test_minimize_order_limit(spark):
         graphs.minimize_order(edges, points, "c", 1)
     for limit in ({"max_steps": 2}, {}):
         assert {r["c"] for r in graphs.minimize_order(edges, points, "c", **limit).collect()} == {1}
+
+
+def test_modularity_everywhere(spark):
+    from sidewise.operators import graphs
+
+    a = np.array([[0, 1, 2, 0], [1, 0, 0, 0], [2, 0, 0, 0], [0, 0, 0, 0]], float)
+    edges = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(4) for j in range(4) if a[i, j]], "src long, dst long, w double")
+    places = spark.createDataFrame([(i, j) for i in range(4) for j in range(4)], "src long, dst long")
+    want = a - np.outer(a.sum(axis=1), a.sum(axis=1)) / a.sum()
+    found = {(r["src"], r["dst"]): r["w"] for r in graphs.modularity_at(edges, places).collect()}
+    assert len(found) == 16 and all(found[i, j] == pytest.approx(want[i, j]) for i, j in found)
