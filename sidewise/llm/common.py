@@ -17,6 +17,10 @@ WORD = rf"[^{SPACE_CLASS}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NEWLINE = "\n"
 
+#: Bytes of an Arrow batch.
+ARROW_BYTES = 8 << 20
+_ARROW_KEY, _NO_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 28
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -58,18 +62,24 @@ def release(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._stored_in)
 
 
-def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
+def bounded_batches(spark: SparkSession, most: int = ARROW_BYTES) -> None:
+    """From now on what Spark hands to Python at once is bounded by bytes too, where the session
+    leaves that open."""
+    if int(spark.conf.get(_ARROW_KEY, str(_NO_BOUND))) >= _NO_BOUND:
+        spark.conf.set(_ARROW_KEY, str(most))
+
+
+def stored(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: lineage ends there,
-    and a lost executor costs only the tasks it was running. Removed when the program ends."""
+    and a lost executor costs only the tasks it was running. Removed when the program ends.
+    ``options`` go to the writer."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_remove_written)
     _written.append((spark, folder))
     writer = df.write.option("compression", "zstd")
-    for key, value in options.items():
-        writer = writer.option(key.replace("__", "."), value)
-    writer.parquet(folder)
+    writer.options(**(options or {})).parquet(folder)
     out = spark.read.schema(df.schema).parquet(folder)
     out._stored_in = folder
     return out
@@ -90,8 +100,9 @@ def ascii_lower(col: Column) -> Column:
 
 
 def hash128(col: Column) -> list[Column]:
-    """Two independent 64-bit hashes of a string column."""
-    return [F.xxhash64(col), F.xxhash64(F.lit(0x5EED), F.reverse(col), col)]
+    """Two 64-bit hashes of a string column. The second goes through the text from a seed of its
+    own, so texts that collide in one don't in the other."""
+    return [F.xxhash64(col), F.xxhash64(F.lit(0x5EED), col)]
 
 
 def before(df: DataFrame, sizes: DataFrame, part: str, order: list[str], value: str, out: str) -> DataFrame:

@@ -1,25 +1,36 @@
 """Public tokenizers with a bounded memo of what words become.
 
 A library call for each word costs far more than the merges inside it, and most words recur.
-Texts are cut where the tokenizer cuts them in any case, each piece is encoded once by the
-library and then looked up. Tests hold the result against encoding whole texts.
+Texts are cut where the tokenizer cuts them in any case, each distinct piece is encoded once by
+the library and then looked up. Tests hold the result against encoding whole texts.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from .hashing import chunks
+
 #: Letters that are one code point in normal form C and have one lower-case code point.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_SIMPLE = re.compile(rf"( ?)([{_LETTERS}]+)([.,!?;:]*)")
+#: One line for each piece: the letters and the marks after them, or nothing.
+_SIMPLE = re.compile(rf"^([{_LETTERS}]+)([.,!?;:]*)$|^.*$", re.MULTILINE)
 #: A single space or newline between characters that no library counts as white space.
 _CUT = re.compile(r"(?<=\S)([ \n])(?=\S)")
-#: White space of any other kind.
-_UNEVEN = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
+_SPACE = re.compile(r"\s|\A\Z")
+#: Bytes of memory that the memos of a tokenizer take, and those of an entry.
+MEMO_BYTES = 96 << 20
+ENTRY_BYTES = 250
+#: Bytes of text that are encoded together.
+SLICE_BYTES = 8 << 20
 
 
 def _visible_bytes() -> dict[int, str]:
@@ -38,89 +49,184 @@ _TO_SHOWN = {i: _SHOWN[i] for i in range(256)}
 
 
 class Memo(dict):
-    """Ids by piece in two generations of about ``limit`` pieces; those in use move to the
-    younger one."""
-
-    def __init__(self, learn: Callable[[str], bytes], limit: int) -> None:
-        self.learn, self.limit, self.old = learn, limit, {}
+    """What pieces become, in two generations of about ``most`` bytes together; pieces in use
+    move to the younger one."""
 
-    def __missing__(self, piece: str) -> bytes:
-        got = self.old.pop(piece, None)
-        if got is None:
-            got = self.learn(piece)
-        self[piece] = got
-        return got
+    def __init__(self, most: int) -> None:
+        self.limit, self.old = max(1, most // (2 * ENTRY_BYTES)), {}
 
-    def trim(self) -> None:
+    def values_of(self, pieces: list[str], learn: Callable[[list[str]], list]) -> list:
+        """The values of distinct pieces; those not known yet are learned together."""
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
+        missing = [x for x in pieces if x not in self]
+        if self.old:
+            known = [x for x in missing if x in self.old]
+            self.update(zip(known, map(self.old.__getitem__, known), strict=True))
+            missing = [x for x in missing if x not in self]
+        self.update(zip(missing, learn(missing), strict=True))
+        return list(map(self.__getitem__, pieces))
+
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
 
 
 class CachedEncoder:
     """Token ids of texts, as little-endian unsigned 32-bit integers.
 
     ``spaces`` says what the tokenizer does with a single space: "lead" (the space starts
-    the next piece) or "drop" (white space only separates).
+    the next piece) or "drop" (white space only separates). Texts are encoded many at a time: the
+    distinct pieces that aren't known yet are learned together, and all others looked up.
     """
 
-    def __init__(self, name: str, spaces: str, limit: int = 400_000) -> None:
+    def __init__(self, name: str, spaces: str, memo_bytes: int = MEMO_BYTES) -> None:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.model = self.tokenizer.model
-        self.model._resize_cache(0)  # the memo below takes its place
         self.lower = spaces == "drop"
         self.lead = spaces == "lead"
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.parts = Memo(self._part, limit // 2)
-        self.plain = Memo(self._piece, limit)
-        self.spaced = Memo(lambda piece: self._piece(" " + piece), limit)
+        self.marks, self.plain, self.spaced = {"": b""}, Memo(memo_bytes // 4), Memo(memo_bytes * 3 // 4)
+        if self.lower:
+            self.plain = Memo(memo_bytes)
+        self.newline = self._by_library(["\n"])[0]
+
+    def forget(self) -> None:
+        """Give up what was learned, as a task does at its end."""
+        self.plain.forget()
+        self.spaced.forget()
 
-    def _part(self, shown: str) -> bytes:
-        """Ids of one pre-token, by the library's merge model."""
+    def _by_library(self, pieces: list[str]) -> list[bytes]:
         ids = self.id_bytes
-        return b"".join([ids[t.id] for t in self.model.tokenize(shown)])
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False) if pieces else []
+        return [b"".join([ids[i] for i in x.ids]) for x in found]
 
-    def _piece(self, piece: str) -> bytes:
-        m = _SIMPLE.fullmatch(piece)
-        if m is None:
+    def _marks(self, marks: str) -> bytes:
+        """Ids of a run of marks; short runs are few and stay known."""
+        got = self.marks.get(marks)
+        if got is None:
             ids = self.id_bytes
-            return b"".join([ids[i] for i in self.tokenizer.encode(piece, add_special_tokens=False).ids])
-        word = m[2].lower() if self.lower else m[1] + m[2]
-        if word.isascii():
-            shown = word.replace(" ", _SHOWN[32])
+            got = b"".join([ids[t.id] for t in self.model.tokenize(marks)])
+            if len(marks) <= 3:
+                self.marks[marks] = got
+        return got
+
+    def _learn(self, pieces: list[str], space: str = "") -> list[bytes | None]:
+        """Ids of pieces, after ``space``; None for a piece that white space may join to its
+        neighbours. Letters and the marks after them are pre-tokens, which go to the library's
+        merge model; other pieces go to the whole library."""
+        ids, tokenize, first, out, other = self.id_bytes, self.model.tokenize, _SHOWN[32] if space else "", [], []
+        for word, marks in _SIMPLE.findall("\n".join(pieces)) if pieces else ():
+            if not word:
+                other.append(len(out))
+                out.append(None)
+                continue
+            if self.lower:
+                word = word.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(_TO_SHOWN)
+            found = tokenize(first + word)
+            got = ids[found[0].id] if len(found) == 1 else b"".join([ids[t.id] for t in found])
+            out.append(got + self._marks(marks) if marks else got)
+        if self.lead:
+            other = [k for k in other if pieces[k] and pieces[k].strip() == pieces[k]]
+        for k, got in zip(other, self._by_library([space + pieces[k] for k in other]), strict=True):
+            out[k] = got
+        return out
+
+    def _learn_spaced(self, pieces: list[str]) -> list[bytes | None]:
+        return self._learn(pieces, " ")
+
+    def _uneven(self, text: str) -> bytes:
+        """A text with white space other than single spaces and newlines: cut where one stands
+        alone, all else by the library."""
+        first, *rest = _CUT.split(text)
+        pieces = [("", first), *zip(rest[::2], rest[1::2], strict=True)]
+        found: dict[tuple[bool, str], bytes] = {}
+        for led, memo, learn in ((False, self.plain, self._learn), (True, self.spaced, self._learn_spaced)):
+            own = dict.fromkeys(p for sep, p in pieces if (sep == " ") == led)
+            bare = [p for p in own if not _SPACE.search(p)]
+            odd = [p for p in own if _SPACE.search(p)]
+            found |= {(led, p): x for p, x in zip(bare, memo.values_of(bare, learn), strict=True)}
+            found |= {(led, p): x for p, x in zip(odd, self._by_library([" " * led + p for p in odd]), strict=True)}
+        return b"".join([(self.newline if sep == "\n" else b"") + found[sep == " ", p] for sep, p in pieces])
+
+    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts without special tokens, one after another, and where each text's
+        begin and the last ends. Null: none."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        parted = pc.replace_substring(texts, "\n", " \n " if self.lead else " ")
+        lists = pc.split_pattern(parted, " ")
+        words = lists.flatten().dictionary_encode()
+        code, names = words.indices.to_numpy(), words.dictionary.to_pylist()
+        first = lists.offsets.to_numpy()
+        first = first - first[0]
+        empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
+        if self.lead:
+            # Pieces at the start of a text or line have no space before them.
+            newline = names.index("\n") if "\n" in names else -1
+            plain = np.concatenate([[False], code[:-1] == newline])
+            plain[first[:-1]] = True
+            plain &= code != newline
+            some, at = np.unique(code[plain], return_inverse=True)
+            code = code.copy()
+            code[plain] = len(names) + at
+            if newline >= 0:
+                names[newline] = ""
+            values = self.spaced.values_of(names, self._learn_spaced)
+            if newline >= 0:
+                values[newline] = self.newline
+            values += self.plain.values_of([names[k] for k in some], self._learn)
         else:
-            shown = word.encode().decode("latin-1").translate(_TO_SHOWN)
-        return self.parts[shown] + (self.parts[m[3]] if m[3] else b"")
+            values = self.plain.values_of(names, self._learn)
+        bad = np.flatnonzero([x is None for x in values])
+        if len(bad):
+            values = [b"" if x is None else x for x in values]
+        size = np.array(list(map(len, values)), np.int64) // 4
+        flat, begin = np.frombuffer(b"".join(values), "<u4"), np.cumsum(size) - size
+        n = size[code]
+        end = np.cumsum(n)
+        out = flat[np.repeat(begin[code] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+        offsets = np.concatenate([[0], end])[first]
+        if len(bad):
+            uneven = np.add.reduceat(np.isin(code, bad), first[:-1]) > 0 if len(texts) else np.zeros(0, bool)
+            parts = [out[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            for k in np.flatnonzero(uneven & ~empty):
+                parts[k] = np.frombuffer(self._uneven(texts[int(k)].as_py()), "<u4")
+            out = np.concatenate(parts) if parts else out
+            offsets = np.cumsum([0, *map(len, parts)])
+        return out, offsets
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text, without special tokens; empty for null."""
-        if not text:
-            return b""
-        plain, spaced = self.plain, self.spaced
-        if not self.lead:
-            out = b"".join(map(plain.__getitem__, text.replace("\n", " ").split(" ")))
-        elif _UNEVEN.search(text) is None:
-            newline, found = plain["\n"], []
-            for line in text.split("\n"):
-                first, *rest = line.split(" ")
-                found.append(plain[first] + b"".join(map(spaced.__getitem__, rest)))
-            out = newline.join(found)
-        else:
-            first, *rest = _CUT.split(text)
-            found = [plain[first]]
-            for sep, piece in zip(rest[::2], rest[1::2], strict=True):
-                found.append(spaced[piece] if sep == " " else plain["\n"] + plain[piece])
-            out = b"".join(found)
-        for memo in (plain, spaced, self.parts):
-            memo.trim()
-        return out
+        return self.encode_many(pa.array([text], pa.string()))[0].tobytes()
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most ``most`` bytes together, or a single longer one."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    yield from chunks(np.concatenate([[0], np.cumsum(sizes + 16)]), most)
 
 
 _encoders: dict[tuple[str, str], CachedEncoder] = {}
 
 
-def encoder(name: str, spaces: str) -> CachedEncoder:
-    """One for each worker process."""
+@contextmanager
+def encoder(name: str, spaces: str) -> Iterator[CachedEncoder]:
+    """One tokenizer for each worker process; what it learned goes at the end of a task."""
     if (name, spaces) not in _encoders:
         _encoders[name, spaces] = CachedEncoder(name, spaces)
-    return _encoders[name, spaces]
+    try:
+        yield _encoders[name, spaces]
+    finally:
+        _encoders[name, spaces].forget()
+
+
+def with_end(flat: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same ids with ``end_id`` after each text's."""
+    n = len(offsets) - 1
+    out, at = np.full(len(flat) + n, end_id, "<u4"), offsets + np.arange(n + 1)
+    own = np.ones(len(out), bool)
+    own[at[1:] - 1] = False
+    out[own] = flat
+    return out, at

@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import before, stored, table
+from .common import before, bounded_batches, stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -23,54 +23,87 @@ PAGE_BYTES = 256 << 10
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from .encoding import encoder
-
-    enc, part, place = encoder(TOKENIZER, "lead"), TaskContext.get().partitionId(), 0
-    end = END_ID.to_bytes(4, "little")
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        for at in range(0, batch.num_rows, 512):
-            some = [enc.encode(t) + end for t in texts.slice(at, 512).to_pylist()]
-            ends = np.cumsum([0, *[len(x) // 4 for x in some]]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(some), "<u4").astype(np.int32))
-            n = len(some)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, part, np.int32)),
-                    pa.array(np.arange(place, place + n, dtype=np.int64)),
-                    ids.slice(at, 512),
-                    pa.array(np.diff(ends).astype(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends), flat),
-                ],
-                names=["part", "place", "doc_id", "n_tokens", "ids"],
-            )
-            place += n
-
-
-def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    from .encoding import encoder, slices, with_end
+
+    part, place = TaskContext.get().partitionId(), 0
+    with encoder(TOKENIZER, "lead") as enc:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            for a, b in slices(texts):
+                n = b - a
+                flat, ends = with_end(*enc.encode_many(texts.slice(a, n)), END_ID)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n, part, np.int32)),
+                        pa.array(np.arange(place, place + n, dtype=np.int64)),
+                        ids.slice(a, n),
+                        pa.array(np.diff(ends).astype(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32))),
+                    ],
+                    names=["part", "place", "doc_id", "n_tokens", "ids"],
+                )
+                place += n
+
+
+def write_tokens(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    row_group_bytes: int = ROW_GROUP_BYTES,
+    page_bytes: int = PAGE_BYTES,
+) -> DataFrame:
     """Encode every whole text (null: empty), end each with ``END_ID``, write the ids as Parquet
     in ascending order of the id and return a reader of the files: ``part`` (number of the range
     of ids), ``place`` (row within it), ``doc_id``, ``n_tokens``, ``ids array<int>``.
 
-    The files have dictionary and delta encodings, row groups of ``ROW_GROUP_BYTES`` and page
-    indexes over sorted ids: a reader of a range of documents, or of ``n_tokens`` alone, touches
-    only those pages. Repeated ids are all kept, in the order of their texts. Other columns are
-    ignored. An empty table gives an empty one.
+    Ids have a dictionary, the sorted numbers are delta-encoded, row groups end near
+    ``row_group_bytes`` and pages near ``page_bytes``, with page indexes: ``read_documents`` and
+    ``read_positions`` touch only the pages they want, and sums read ``n_tokens`` alone. Repeated
+    ids are all kept, in the order of their texts; null ids come first. Very long texts are
+    encoded whole. Other columns are ignored. An empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
     rows = ordered.mapInArrow(_encode, "part int, place long, doc_id long, n_tokens long, ids array<int>")
-    return stored(
-        rows,
-        "tokens",
-        parquet__block__size=str(ROW_GROUP_BYTES),
-        parquet__page__size=str(PAGE_BYTES),
-        parquet__writer__version="PARQUET_2_0",
-        parquet__enable__dictionary="true",
-    )
+    options = {
+        "parquet.block.size": row_group_bytes,
+        "parquet.page.size": page_bytes,
+        "parquet.writer.version": "PARQUET_2_0",
+        "parquet.enable.dictionary": "true",
+        **{f"parquet.enable.dictionary#{c}": "false" for c in ("place", "doc_id", "n_tokens")},
+    }
+    return stored(rows, "tokens", {k: str(v) for k, v in options.items()})
+
+
+def read_documents(files: DataFrame, first: int, last: int) -> DataFrame:
+    """``doc_id, ids`` of the documents with ids from ``first`` to ``last``. Spark hands the
+    bounds to the files' readers, which skip row groups and pages by their least and largest id."""
+    return files.where(F.col("doc_id").between(first, last)).select("doc_id", "ids")
+
+
+def read_positions(files: DataFrame, start: int, stop: int) -> DataFrame:
+    """``doc_id, start, ids``: the ids at places ``start`` to ``stop`` (not included) of all ids
+    in order, by document. Lengths are read first (one small column); the driver gets one range
+    of rows for each file that holds wanted ids, and only pages with those rows are read."""
+    numbers = files.select("part", "place", "doc_id", "n_tokens")
+    at = before(numbers, numbers, "part", ["place"], "n_tokens", "start")
+    wanted = at.where((F.col("start") < stop) & (F.col("start") + F.col("n_tokens") > start))
+    ranges = wanted.groupBy("part").agg(F.min("place").alias("a"), F.max("place").alias("z"), F.min("start").alias("base"))
+    found = None
+    for r in sorted(ranges.collect()):
+        rows = files.where((F.col("part") == r["part"]) & F.col("place").between(r["a"], r["z"]))
+        inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("start", F.lit(r["base"]) + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+        skip = F.greatest(F.lit(start) - F.col("start"), F.lit(0))
+        n = F.least(F.lit(stop) - F.col("start"), F.col("n_tokens")) - skip
+        rows = rows.select("doc_id", (F.col("start") + skip).alias("start"), F.slice("ids", (skip + 1).cast("int"), n.cast("int")).alias("ids"))
+        found = rows if found is None else found.union(rows)
+    none = files.select("doc_id", F.lit(0).cast("long").alias("start"), "ids").limit(0)
+    return none if found is None else found
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
