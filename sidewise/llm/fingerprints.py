@@ -21,6 +21,8 @@ from .common import NEWLINE, stored, table, text_or_empty
 
 LANES32 = 8
 LANES16 = 128
+#: Markers that are looked up together.
+STEP = 16
 #: Pieces start anew at each sentence and paragraph. The last of a sentence may be short and has
 #: the marks that end it, so every character of a paragraph is in one piece.
 PIECE = r"[^\n.!?]{1,16}[.!?]*|[.!?]+"
@@ -28,11 +30,12 @@ MOD32 = (1 << 32) - 1
 
 
 def exact_lanes(text: Column) -> Column:
-    """Sums modulo 2^32 of the hashes of all paragraphs."""
+    """Sums modulo 2^32 of the hashes of all paragraphs. Each pair of lanes is one pass over the
+    paragraph from a seed of its own, so what collides in one pair doesn't in the others."""
     zero = F.array(*[F.lit(0).cast("long")] * LANES32)
 
     def add(acc: Column, paragraph: Column) -> Column:
-        hashed = [F.xxhash64(paragraph, F.lit(i)) for i in range(LANES32 // 2)]
+        hashed = [F.xxhash64(F.lit(i), paragraph) for i in range(LANES32 // 2)]
         lanes = [x for h in hashed for x in (h.bitwiseAND(MOD32), F.shiftrightunsigned(h, 32))]
         return F.array(*[(acc[i] + lane).bitwiseAND(MOD32) for i, lane in enumerate(lanes)])
 
@@ -46,17 +49,33 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def piece_lanes(text: Column) -> Column:
     """Signed counts of pieces by lane. The codes of all pieces (lane and sign) are sorted
-    together with a marker for each code; the markers' places give the counts."""
+    together with a marker for each code; the markers' places give the counts. They are looked
+    up in two steps: every ``STEP``th marker among all, the others between those."""
     codes = F.transform(
         F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)),
         lambda p: F.pmod(F.xxhash64(p), F.lit(2 * LANES16)).cast("int"),
     )
     marks = F.sequence(F.lit(0), F.lit(2 * LANES16))
+    groups, steps = F.sequence(F.lit(0), F.lit(2 * LANES16 // STEP)), F.sequence(F.lit(0), F.lit(STEP - 1))
     lanes = F.sequence(F.lit(0), F.lit(LANES16 - 1))
+
+    def within(s: Column, tops: Column, g: Column) -> Column:
+        part = F.slice(s, F.get(tops, g), F.get(tops, g + 1) - F.get(tops, g))
+        return _let(part, lambda x: F.transform(steps, lambda k: F.array_position(x, g * STEP + k).cast("int") + F.get(tops, g)))
+
+    def places(s: Column) -> Column:
+        return _let(
+            F.transform(groups, lambda g: F.array_position(s, g * STEP).cast("int")),
+            lambda tops: F.concat(
+                F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2 * LANES16 // STEP - 1)), lambda g: within(s, tops, g))),
+                F.array(F.get(tops, F.lit(2 * LANES16 // STEP)) + 1),
+            ),
+        )
+
     return _let(
-        F.array_sort(F.concat(codes, marks)),
+        F.sort_array(F.concat(codes, marks)),
         lambda s: _let(
-            F.transform(marks, lambda i: F.array_position(s, i).cast("int")),
+            places(s),
             lambda at: F.transform(lanes, lambda k: F.get(at, 2 * k + 1) * 2 - F.get(at, 2 * k) - F.get(at, 2 * k + 2)),
         ),
     )
@@ -117,37 +136,38 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Fingerprints of every text and of its edited text, whose last third is the start of the
     next document, and how like they are. Of repeated ids the smallest start serves as the next
     document. A row with a null id is a document of its own, which is its own next and no
-    other's. Texts are moved once, and only the starts that are wanted a second time."""
-    named, nameless = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
-    base = fingerprints(named, id_col, text_col).repartition("doc_id")
-    sizes = named.select(F.col(id_col).alias("doc_id"), F.char_length(text_or_empty(text_col)).cast("long").alias("n_chars"))
-    links = next_ids(sizes).select(
-        F.col("doc_id").alias("before"), F.col("next_id"), F.floor(F.col("n_chars") / 3).cast("int").alias("want")
-    )
+    other's. Null and empty texts are alike; very long ones are hashed whole. Other columns are
+    ignored, whatever their names; an empty table gives an empty one.
+
+    Texts are moved once, and only the starts that are wanted a second time: both uses of ``base``
+    ask for the same two columns without a filter, so Spark makes one exchange of them.
+    """
+    prints = fingerprints(docs, id_col, text_col)
+    # Nameless rows are dealt by their text.
+    base = prints.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), F.array(F.struct("*")).alias("rows")
+    ).repartition("key")
+    row = F.get("rows", F.lit(0))
+    text = text_or_empty(text_col)
+    sizes = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(text).cast("long").alias("n_chars"))
+    links = next_ids(sizes).select("doc_id", "next_id", F.floor(F.col("n_chars") / 3).cast("int").alias("want"))
+
+    def next_of(r: Column) -> Column:
+        found = F.struct(F.left(r["text"], F.col("want")).alias("start"), r["exact"].alias("exact"), r["lanes"].alias("lanes"))
+        return F.when(r["doc_id"].isNotNull(), found)
+
+    # Within a lambda, so that whole rows are asked for and the exchange stays the same.
+    next_ = F.get(F.transform("rows", next_of), F.lit(0))
     starts = (
-        links.join(base, F.col("next_id") == F.col("doc_id"))
-        .groupBy("before")
-        .agg(
-            F.min(
-                F.struct(
-                    F.left("text", F.col("want")).alias("start"),
-                    F.col("exact").alias("next_exact"),
-                    F.col("lanes").alias("next_lanes"),
-                    F.col("n_chars").alias("next_n_chars"),  # so both uses of base are one shuffle
-                )
-            ).alias("next")
-        )
-        .select("before", "next.*")
-    )
+        links.withColumnRenamed("doc_id", "before").join(base, F.col("next_id") == F.col("key"))
+        .groupBy("before").agg(F.min(next_).alias("next"))
+    )
+    joined = base.join(starts, F.col("key") == F.col("before"), "left").select(row.alias("own"), "next")
+    alone = F.struct(F.col("own.text").alias("start"), "own.exact", "own.lanes")
+    joined = joined.select("own.*", F.when(F.col("own.doc_id").isNull(), alone).otherwise(F.col("next")).alias("next"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    joined = base.join(starts, F.col("doc_id") == F.col("before")).drop("before", "next_n_chars")
-    alone = fingerprints(nameless, id_col, text_col).withColumns(
-        {"start": F.col("text"), "next_exact": F.col("exact"), "next_lanes": F.col("lanes")}
-    )
-    joined = joined.unionByName(alone).withColumn(
-        "edited", F.concat(F.left("text", F.col("n_chars").cast("int") - third), F.left("start", third))
-    )
-    hashed = joined.withColumns(
+    edited = F.concat(F.left("text", F.col("n_chars").cast("int") - third), F.left("next.start", third))
+    hashed = joined.withColumn("edited", edited).withColumns(
         {"edited_exact": exact_lanes(F.col("edited")), "edited_lanes": piece_lanes(F.col("edited"))}
     )
     own = F.col("exact"), F.col("lanes")
@@ -158,7 +178,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         as_hex(*own).alias("fingerprint"),
         as_hex(F.col("edited_exact"), F.col("edited_lanes")).alias("edited_fingerprint"),
         likeness(*own, F.col("edited_exact"), F.col("edited_lanes")).alias("near_edited"),
-        likeness(*own, F.col("next_exact"), F.col("next_lanes")).alias("near_next"),
+        likeness(*own, F.col("next.exact"), F.col("next.lanes")).alias("near_next"),
     )
 
 
