@@ -12,7 +12,10 @@ from .common import SPACE_BYTES
 U = np.uint64
 _MULT = U(0x9E3779B97F4A7C15)
 _MULT2 = U(0xC2B2AE3D27D4EB4F)
-_TABLE = 1 << 12
+#: Places of a word that have random values of their own for each byte.
+_PLACES = 64
+#: Bytes of words that are hashed together.
+_SLICE = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACE_BYTES)] = True
@@ -21,16 +24,6 @@ _LOWER = _SAME.copy()
 _LOWER[0x41:0x5B] += 0x20
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWERS = _powers(_MULT, _TABLE)
-_FAR = U(pow(int(_MULT), _TABLE, 1 << 64))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spread every bit of a 64-bit value over all others."""
     x = x ^ (x >> U(30))
@@ -40,6 +33,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def _random(n: int, seed: int) -> np.ndarray:
+    return mix64(mix64(np.arange(1, n + 1, dtype=U) * _MULT) ^ mix64(np.full(n, seed, U) * _MULT2))
+
+
+_VALUES = _random(_PLACES * 256, 1)
+_FACTORS = _random(1 << 12, 2) | U(1)
+_ROUNDS = _random(1 << 12, 3)
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, and where each begins and the last ends. Null: empty."""
     texts = texts.fill_null("").cast(pa.large_string())
@@ -70,33 +72,41 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes modulo 2^64, then mixed."""
-    if not len(starts):
-        return np.zeros(0, U)
+def _hash_slice(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, bytes_: np.ndarray) -> np.ndarray:
     sizes = ends - starts
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    inside = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-    values = (_LOWER if lower else _SAME)[raw[np.repeat(starts, sizes) + inside]].astype(U) + U(1)
-    if int(sizes.max()) <= _TABLE:
-        values *= _POWERS[inside]
-    else:
-        values *= _POWERS[inside % _TABLE]
-        values *= _powers(_FAR, int(sizes.max()) // _TABLE + 1)[inside // _TABLE]
+    inside = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(first, sizes).astype(np.int32)
+    at = inside + np.repeat(starts, sizes)
+    values = _VALUES[(inside % _PLACES) * 256 + bytes_[raw[at]]]
+    if int(sizes.max()) > _PLACES:  # each stretch of places has a factor of its own
+        block = inside // _PLACES
+        far = np.flatnonzero(block)
+        values[far] = mix64(values[far] + mix64(block[far].astype(U) * _MULT2))
     return mix64(np.add.reduceat(values, first) + sizes.astype(U) * _MULT2)
 
 
-def hash_runs(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of ``n`` consecutive words; shorter than ``words`` by n - 1."""
+def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word: the sum of random values for each byte at each place, then
+    mixed. A slice of words at a time, so that little memory is taken besides the result."""
+    bytes_ = (_LOWER if lower else _SAME).astype(np.int32)
+    out = np.zeros(len(starts), U)
+    before = np.concatenate([[0], np.cumsum(ends - starts)])
+    for a, b in chunks(before, _SLICE):
+        out[a:b] = _hash_slice(raw, starts[a:b], ends[a:b], bytes_)
+    return out
+
+
+def hash_runs(words: np.ndarray, n: int, kind: int = 0) -> np.ndarray:
+    """Hash of each run of ``n`` consecutive words; shorter than ``words`` by n - 1. Each place
+    has a random odd factor; ``kind`` chooses the factors."""
     m = len(words) - n + 1
     if m <= 0:
         return np.zeros(0, U)
-    total = words[:m].copy()
-    power = U(1)
-    for k in range(1, n):
-        power = U((int(power) * int(_MULT)) & 0xFFFFFFFFFFFFFFFF)
-        total += words[k : k + m] * power
-    return mix64(total + U(n * int(_MULT2) & 0xFFFFFFFFFFFFFFFF))
+    total = np.full(m, n, U) * _MULT2
+    for k in range(n):
+        j = (k + 64 * kind) % len(_FACTORS)
+        total += (words[k : k + m] ^ _ROUNDS[j]) * _FACTORS[j]
+    return mix64(total)
 
 
 def chunks(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
