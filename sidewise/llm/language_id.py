@@ -29,10 +29,13 @@ RUN_CHARS = 2048
 SEED = 41
 ROUNDS = 4
 SMOOTHING = 0.2
-#: Longer words are scored in runs of so many bytes, so that products stay above 1e-300.
-RUN_BYTES = 40
 LEAST_P = 1e-7
-CACHED = 400_000
+#: Places after which sums are scaled: LEAST_P to that power is far above 1e-300.
+RESCALE = 16
+#: Bytes of words that go through the forward algorithm together.
+BLOCK_BYTES = 1 << 16
+#: Words that a worker remembers.
+CACHED = 200_000
 #: Texts scored below this have no language that stands out.
 LEAST_SCORE = 0.35
 _SLOTS = 20
@@ -105,47 +108,106 @@ def public_pieces(name: str = VOCABULARY) -> list[bytes]:
 def _matrix(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Rows of bytes that begin with a space, filled up with zeros."""
     sizes = ends - starts
-    out = np.zeros((len(starts), int(sizes.max(initial=0)) + 1), np.uint64)
+    out = np.zeros((len(starts), int(sizes.max(initial=0)) + 1), np.uint8)
     out[:, 0] = 0x20
-    cols = np.arange(out.shape[1] - 1)
-    inside = cols[None, :] < sizes[:, None]
-    at = np.minimum(starts[:, None] + cols[None, :], max(len(raw) - 1, 0))
-    out[:, 1:] = np.where(inside, raw[at], 0)
+    first = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(starts)), sizes)
+    inside = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    out[row, inside + 1] = raw[np.repeat(starts, sizes) + inside]
     return out
 
 
-def edges(pieces: Pieces, bytes_: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from, to, rows, piece numbers): all places where a piece fits, by where it begins."""
-    for i in range(bytes_.shape[1]):
-        rows = np.flatnonzero(sizes > i)
-        h = np.zeros(len(rows), np.uint64)
-        for j in range(i + 1, min(bytes_.shape[1], i + pieces.longest) + 1):
-            fit = sizes[rows] >= j
+def _blocks(sizes: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[np.ndarray]:
+    """Words of like length whose rows take at most ``most`` bytes together, or a single longer
+    one."""
+    order, at = np.argsort(sizes, kind="stable"), 0
+    while at < len(order):
+        # Sorted, so the last word of a block is its longest.
+        width = sizes[order[at:]] * np.arange(1, len(order) - at + 1)
+        n = max(1, int(np.searchsorted(width, most, side="right")))
+        yield order[at : at + n]
+        at += n
+
+
+def edges(pieces: Pieces, bytes_: np.ndarray, sizes: np.ndarray, i: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(to, rows, piece numbers): where pieces that begin at place ``i`` end."""
+    rows = np.flatnonzero(sizes > i)
+    h = np.zeros(len(rows), np.uint64)
+    for j in range(i + 1, min(bytes_.shape[1], i + pieces.longest) + 1):
+        fit = sizes[rows] >= j
+        if not fit.all():
             rows, h = rows[fit], h[fit]
-            if not len(rows):
-                break
-            h = h * _K + bytes_[rows, j - 1] + np.uint64(1)
-            found = pieces.find(h)
-            whole = found >= 0
-            if whole.any():
-                yield i, j, rows[whole], found[whole]
-            alive = found > -2
-            rows, h = rows[alive], h[alive]
+        if not len(rows):
+            break
+        h = h * _K + bytes_[rows, j - 1].astype(np.uint64) + np.uint64(1)
+        found = pieces.find(h)
+        whole = found >= 0
+        if whole.any():
+            yield j, rows[whole], found[whole]
+        alive = found > -2
+        rows, h = rows[alive], h[alive]
 
 
 def log_words(pieces: Pieces, p: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Log probability of each word under each language (columns of ``p``), by the forward
-    algorithm."""
+    algorithm over the whole word. Only the places that a piece can still reach are held, and
+    they are scaled as it goes on, so a word may be of any length."""
     out = np.zeros((len(starts), p.shape[1]))
-    order = np.argsort(ends - starts, kind="stable")
-    for at in range(0, len(order), 4096):
-        some = order[at : at + 4096]
+    for some in _blocks(ends - starts):
         rows, sizes = _matrix(raw, starts[some], ends[some]), ends[some] - starts[some] + 1
-        alpha = np.zeros((rows.shape[1] + 1, len(some), p.shape[1]))
+        span = min(rows.shape[1], pieces.longest) + 1
+        alpha, scale = np.zeros((span, len(some), p.shape[1])), np.zeros((len(some), p.shape[1]))
         alpha[0] = 1
-        for i, j, which, found in edges(pieces, rows, sizes):
-            alpha[j, which] += alpha[i, which] * p[found]
-        out[some] = np.log(np.maximum(alpha[sizes, np.arange(len(some))], 1e-300))
+        for i in range(rows.shape[1] + 1):
+            now = alpha[i % span]
+            done = np.flatnonzero(sizes == i)
+            if len(done):
+                out[some[done]] = np.log(np.maximum(now[done], 1e-300)) + scale[done]
+            if i and i % RESCALE == 0:
+                top = alpha.max(axis=0)
+                top[top == 0] = 1  # words that have ended
+                alpha /= top
+                scale += np.log(top)
+            for j, which, found in edges(pieces, rows, sizes, i):
+                alpha[j % span, which] += now[which] * p[found]
+            now[:] = 0
+    return out
+
+
+def _expected(pieces: Pieces, p: np.ndarray, rows: np.ndarray, sizes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in words: forward and backward, each scaled."""
+    width, n, out = rows.shape[1], len(rows), np.zeros(pieces.size)
+    steps = [list(edges(pieces, rows, sizes, i)) for i in range(width)]
+    forward, backward = np.zeros((width + 1, n)), np.zeros((width + 1, n))
+    a, b = np.zeros((width + 1, n)), np.zeros((width + 1, n))  # logs of the scales
+    forward[0] = 1
+    backward[sizes, np.arange(n)] = 1
+
+    def rescale(values: np.ndarray, ahead: slice, logs: np.ndarray, rest: slice) -> None:
+        top = values[ahead].max(axis=0)
+        top[top == 0] = 1
+        values[ahead] /= top
+        logs[rest] += np.log(top)
+
+    for i in range(width):
+        if i and i % RESCALE == 0:
+            rescale(forward, slice(i, i + pieces.longest + 1), a, slice(i, None))
+        for j, which, found in steps[i]:
+            forward[j, which] += forward[i, which] * p[found]
+    for i in range(width - 1, -1, -1):
+        for j, which, found in steps[i]:
+            backward[i, which] += backward[j, which] * p[found]
+        if i and i % RESCALE == 0:
+            # Words that end further on have nothing here yet.
+            rescale(backward, slice(max(0, i - pieces.longest), i + pieces.longest + 1), b, slice(0, i + pieces.longest + 1))
+    last = np.arange(n)
+    total = np.log(np.maximum(forward[sizes, last], 1e-300)) + a[sizes, last]
+    for i in range(width):
+        for j, which, found in steps[i]:
+            logs = a[i, which] + b[j, which] - total[which]
+            with np.errstate(divide="ignore"):
+                logs += np.log(forward[i, which]) + np.log(p[found]) + np.log(backward[j, which])
+            out += np.bincount(found, weight[which] * np.exp(logs), pieces.size)
     return out
 
 
@@ -154,42 +216,18 @@ def fit(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: int = ROUN
     raw = np.frombuffer("".join(words).encode(), np.uint8)
     ends = np.cumsum([len(w.encode()) for w in words])
     starts = np.concatenate([[0], ends[:-1]])
-    starts, ends, owner = cut_long(starts, ends)
-    weight = np.asarray(counts, float)[owner]
-    order = np.argsort(ends - starts, kind="stable")
+    weight = np.asarray(counts, float)
     p = np.full(pieces.size, 1 / pieces.size)
     for _ in range(rounds):
         expected = np.zeros(pieces.size)
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
+        for some in _blocks(ends - starts):
             rows, sizes = _matrix(raw, starts[some], ends[some]), ends[some] - starts[some] + 1
-            steps = list(edges(pieces, rows, sizes))
-            alpha = np.zeros((rows.shape[1] + 1, len(some)))
-            beta = np.zeros_like(alpha)
-            alpha[0] = 1
-            beta[sizes, np.arange(len(some))] = 1
-            for i, j, which, found in steps:
-                alpha[j, which] += alpha[i, which] * p[found]
-            for i, j, which, found in reversed(steps):
-                beta[i, which] += beta[j, which] * p[found]
-            z = np.maximum(beta[0], 1e-300)
-            for i, j, which, found in steps:
-                share = weight[some][which] * alpha[i, which] * p[found] * beta[j, which] / z[which]
-                expected += np.bincount(found, share, pieces.size)
+            expected += _expected(pieces, p, rows, sizes, weight[some])
         p = expected + SMOOTHING
         p = np.maximum(p / p.sum(), LEAST_P)
     return p
 
 
-def cut_long(starts: np.ndarray, ends: np.ndarray, most: int = RUN_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words in runs of at most ``most`` bytes, and the word that each run is of."""
-    n = np.maximum(1, -(-(ends - starts) // most))
-    owner = np.repeat(np.arange(len(starts)), n)
-    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    begin = starts[owner] + k * most
-    return begin, np.minimum(begin + most, ends[owner]), owner
-
-
 def held_out(id_col: str) -> Column:
     """Rows that are never learned from: crc32 of the id as text is 2 modulo 4."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
@@ -264,15 +302,6 @@ class Scorer:
         self.known: dict[int, int] = {}
         self.values = np.zeros((0, len(model.languages)))
 
-    def _log(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        begin, stop, owner = cut_long(starts, ends)
-        each = log_words(self.pieces, self.model.p, raw, begin, stop)
-        if len(begin) == len(starts):
-            return each
-        out = np.zeros((len(starts), each.shape[1]))
-        np.add.at(out, owner, each)
-        return out
-
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each text under each language, and its number of words."""
         raw, offsets = hashing.buffers(texts)
@@ -288,7 +317,7 @@ class Scorer:
             if len(new):
                 at[new] = len(self.values) + np.arange(len(new))
                 self.known.update(zip(h[new].tolist(), at[new].tolist(), strict=True))
-                self.values = np.concatenate([self.values, self._log(part, starts[first[new]], ends[first[new]])])
+                self.values = np.concatenate([self.values, log_words(self.pieces, self.model.p, part, starts[first[new]], ends[first[new]])])
             sums = np.concatenate([np.zeros((1, out.shape[1])), np.cumsum(self.values[at[inverse]], axis=0)])
             out[a:b] = sums[counts[1:]] - sums[counts[:-1]]
             n[a:b] = np.diff(counts)
