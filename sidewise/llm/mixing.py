@@ -14,10 +14,11 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 SEED = 20240607
-#: Ranges of the seeded hash that split a (source, length) group.
-SPANS = 1024
-#: Length counts that the knapsack looks at, and the largest sum it fits.
-ITEMS, LIMIT = 512, 1 << 18
+#: Rows of a range of the seeded hash, by which (source, length) groups are split, and the
+#: number of ranges at least.
+SPAN_ROWS, SPANS = 100_000, 1024
+#: The sum that is left to the knapsack at first, and at most: four bytes each.
+LIMIT, MOST_SUM = 1 << 18, 1 << 26
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -40,53 +41,69 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
     return out.tolist()
 
 
-def choose(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, so that the sum comes as near ``budget`` as
-    can be from below or above. The same fraction of each length first; then a bounded knapsack
-    over the counts that are left fits what remains exactly if it can."""
-    order = np.argsort(length, kind="stable")
-    length, count = length[order], count[order]
-    total = int((length * count).sum())
-    budget = max(0, min(int(budget), total))
-    base = np.zeros(len(length), np.int64)
-    if total:
-        base = np.minimum(count, (count.astype(object) * budget // total).astype(np.int64))
-    rest = budget - int((length * base).sum())
-    for i in range(len(length) - 1, -1, -1):
-        if rest <= LIMIT or not length[i]:
-            break
-        k = min(int(count[i] - base[i]), (rest - LIMIT) // int(length[i]) + 1, rest // int(length[i]))
-        base[i] += k
-        rest -= k * int(length[i])
-    # Bits of ``reach``: sums that can be made. Counts are split into powers of two.
-    left = count - base
-    usable = np.flatnonzero((left > 0) & (length > 0) & (length <= 2 * max(rest, 1)))
-    usable = usable[np.linspace(0, len(usable) - 1, min(len(usable), ITEMS)).astype(int)] if len(usable) else usable
-    longest = int(length[usable].max()) if len(usable) else 0
-    mask, reach, steps = (1 << (rest + longest + 1)) - 1, 1, []
+def subset(length: np.ndarray, count: np.ndarray, budget: int) -> tuple[np.ndarray, int]:
+    """Documents of each length whose sum is nearest to ``budget``, and that sum: a bounded
+    knapsack over all lengths. Counts go by powers of two. For each sum only the step that first
+    reaches it is kept, so going back from the best sum uses each step once."""
+    out = np.zeros(len(length), np.int64)
+    usable = np.flatnonzero((count > 0) & (length > 0) & (length <= 2 * max(budget, 1)))
+    top = budget + int(length[usable].max(initial=0)) + 1
+    step, steps = np.full(top, -1, np.int32), []
+    step[0] = 0
     for i in usable:
-        n, k = min(int(left[i]), rest // int(length[i]) + 1), 1
-        while n > 0:
+        n, k = min(int(count[i]), budget // int(length[i]) + 1), 1
+        while n > 0 and step[budget] < 0:
             k = min(k, n)
             n -= k
-            steps.append((i, k, reach))
-            reach |= (reach << (k * int(length[i]))) & mask
+            w = k * int(length[i])
+            if w < top:
+                steps.append((i, k))
+                new = np.flatnonzero((step[:-w] >= 0) & (step[w:] < 0)) + w
+                step[new] = len(steps)
             k *= 2
-            if reach >> rest & 1:
-                break
-        if reach >> rest & 1:
+        if step[budget] >= 0:
             break
-    low = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
-    high = reach >> rest
-    high = rest + (high & -high).bit_length() - 1 if high else None
-    at = low if high is None or rest - low <= high - rest else high
-    for i, k, had in reversed(steps):
-        if not had >> at & 1:
+    reached = np.flatnonzero(step >= 0)
+    best = int(reached[np.argmin(np.abs(reached - budget))])
+    at = best
+    while at:
+        i, k = steps[step[at] - 1]
+        out[i] += k
+        at -= k * int(length[i])
+    return out, best
+
+
+def choose(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each length to take, so that the sum is nearest to ``budget``.
+
+    The same fraction of each length first, then the longest while more than ``LIMIT`` is left;
+    the rest is a bounded knapsack over all lengths. If the sum is as near as the lengths' common
+    divisor allows, nothing is nearer. Else more and more of the budget goes to the knapsack, in
+    the end all of it, up to sums of ``MOST_SUM``; beyond that the nearest sum found stands."""
+    length, count = np.asarray(length, np.int64), np.asarray(count, np.int64)
+    total = int((length * count).sum())
+    budget = max(0, min(int(budget), total))
+    divisor = int(np.gcd.reduce(length)) or 1
+    off = min(budget % divisor, -budget % divisor)
+    found, gap = np.zeros(len(length), np.int64), None
+    limit = LIMIT
+    while True:
+        base = np.zeros(len(length), np.int64)
+        if total and limit < budget:
+            base = np.minimum(count, (count.astype(object) * budget // total).astype(np.int64))
+        rest = budget - int((length * base).sum())
+        for i in np.argsort(-length, kind="stable"):
+            if rest <= limit or not length[i]:
+                break
+            k = min(int(count[i] - base[i]), (rest - limit) // int(length[i]) + 1, rest // int(length[i]))
             base[i] += k
-            at -= k * int(length[i])
-    out = np.zeros(len(length), np.int64)
-    out[order] = base
-    return out
+            rest -= k * int(length[i])
+        more, reached = subset(length, count - base, rest)
+        if gap is None or abs(reached - rest) < gap:
+            found, gap = base + more, abs(reached - rest)
+        if gap <= off or limit >= budget or limit >= MOST_SUM:
+            return found
+        limit *= 16
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -103,15 +120,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """Per document ``doc_id, source, size, source_size, target, copies, taken``.
 
     ``copies`` (0, 1 or 2) is how often the mix takes the document and ``taken`` the words of
-    that. A source's taken words come as near its target as a subset of lengths allows. Which
-    documents of a length are taken is settled by a seeded hash of the id, so reruns agree.
-    Null and empty texts have size 0 and add nothing; a null source is one source, the last.
-    Repeated ids are documents of their own and share their place in the seeded order. Other
-    columns are ignored; an empty table gives an empty one. The driver sees one row for each
-    source; a source's task sees one count for each document length, not the documents.
+    that. A source's taken words come as near its target as ``choose`` says. Which documents of a
+    length are taken is settled by a seeded hash of id and text, so reruns agree. Null and empty
+    texts have size 0 and add nothing; very long ones count whole. A null source is one source,
+    the last. Rows with one id, null too, are documents of their own; equal rows share their
+    place in the seeded order. Other columns are ignored, whatever their names; an empty table gives an
+    empty one. The driver sees one row for each source; a source's task sees one count for each
+    document length, not the documents.
+
+    A (source, length) group is split by ranges of the seeded hash, as many as keep each near
+    ``SPAN_ROWS`` rows.
     """
     spark = docs.sparkSession
-    place = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col)), F.lit(1 << 40))
+    place = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col)), F.lit(1 << 40))
     sized = stored(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
@@ -119,7 +140,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         ),
         "sizes",
     )
-    spans = sized.withColumn("span", F.expr(f"order div {(1 << 40) // SPANS}").cast("int"))
+    n_spans = max(SPANS, sized.count() // SPAN_ROWS)
+    spans = sized.withColumn("span", F.expr(f"order div {(1 << 40) // n_spans}").cast("int"))
     # Counts by (source, size, span) say how many come before a span in the seeded order.
     counts = spans.groupBy("source", "size", "span").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source", "size").orderBy("span")
