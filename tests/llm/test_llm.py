@@ -356,10 +356,41 @@ def test_search_prunes_without_loss():
     ids = np.arange(500)
     full = q @ c.T
     floor = np.sort(full, axis=1)[:, -5].astype(float)
-    qi, ci, s = top_k.search(np.arange(1000, 1020), q, floor, ids, c, 5)
-    for k in range(20):
-        want = sorted((-x, i) for i, x in enumerate(full[k]))[:5]
-        assert sorted((-int(x), int(i)) for a, i, x in zip(qi, ci, s, strict=True) if a == 1000 + k) == want
+    for least in (0.0, 0.5, 2.0):  # all by coordinates, some, none
+        top_k_least, top_k.COORDINATE_COSINE = top_k.COORDINATE_COSINE, least
+        qi, ci, s = top_k.search(np.arange(1000, 1020), q, floor, ids, ids, c, 5)
+        top_k.COORDINATE_COSINE = top_k_least
+        for k in range(20):
+            want = sorted((-x, i) for i, x in enumerate(full[k]))[:5]
+            assert sorted((-int(x), int(i)) for a, i, x in zip(qi, ci, s, strict=True) if a == k) == want
+
+
+def test_top_k_repeated_ids_and_large_values(spark):
+    r = np.random.default_rng(8)
+    rows = [(0, [1.0, 2.0]), (0, [2.0, 1.0]), (0, [1.0, 2.0]), (None, [1.0, 1.0]), (7, [0.0, 0.0])]
+    vectors = top_k.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    found = top_k.top_k(vectors.where("vec_id = 0"), vectors, 2).collect()
+    unit = 256 * 256
+    assert sorted((x["rank"], x["vec_id"], x["score"] // unit) for x in found) == [(1, 0, 4), (1, 0, 5), (1, 0, 5), (2, 0, 4), (2, 0, 4), (2, 0, 4)]
+    huge = [(i, [float(x) * 1e12 for x in r.integers(-9, 9, 3)]) for i in range(40)]
+    vectors = top_k.integer_vectors(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    found = top_k.top_k(vectors.where("vec_id % 10 = 0"), vectors, 3).collect()
+    whole = {i: [int(256 * x) for x in v] for i, v in huge}
+    for q in (0, 10, 20, 30):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:3]
+        own = sorted((x["rank"], x["vec_id"], x["score"]) for x in found if x["query_id"] == q)
+        assert own == [(n, i, min(max(-s, top_k.LEAST), top_k.MOST)) for n, (s, i) in enumerate(want, 1)]
+
+
+def test_top_k_of_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(top_k, "QUERY_ROWS", 4)
+    monkeypatch.setattr(top_k, "SPREAD", 2)
+    r = np.random.default_rng(9)
+    rows = [(i, (r.normal(size=24) * 2.0 ** r.integers(-6, 7)).astype(np.float32).tolist()) for i in range(700)]
+    vectors = top_k.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    found = sorted(tuple(x) for x in top_k.top_k(vectors.where("vec_id % 50 = 0"), vectors).collect())
+    assert found == brute_top(rows, 50, 5)
 
 
 # -- 9 ---------------------------------------------------------------------------------------
