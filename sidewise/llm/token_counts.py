@@ -12,11 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .encoding import Memo
+from .common import bounded_batches, table
+from .encoding import MEMO_BYTES, Memo, slices
 
 VOCABULARY = "piece_bpe_32k.model"
 START = "▁"
@@ -85,22 +86,31 @@ class Automaton:
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Per row ``doc_id, n_words, n_tokens``: maximal runs of non-space characters and their
-    word pieces. Null and empty texts have none. Repeated rows are kept, other columns ignored;
-    an empty table gives an empty one. Words already counted in a worker are looked up."""
+    word pieces. Null and empty texts have none; very long ones are counted whole. Repeated rows
+    and null ids are kept, other columns ignored, whatever their names; an empty table gives an
+    empty one. A task counts each distinct word of a slice of texts once and remembers words
+    within ``MEMO_BYTES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(public_vocabulary(vocabulary))
-        memo = Memo(lambda word: automaton.count(word.decode()), 500_000)
+        memo = Memo(MEMO_BYTES)
+        learn = lambda words: list(map(automaton.count, words))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                n = np.zeros((2, some.num_rows), np.int64)
-                for k, text in enumerate(some.column(1).fill_null("").cast(pa.binary()).to_pylist()):
-                    words = text.split()  # bytes part at ASCII white space only
-                    n[:, k] = len(words), sum(map(memo.__getitem__, words))
-                    memo.trim()
-                yield pa.RecordBatch.from_arrays([some.column(0), *map(pa.array, n)], names=["doc_id", "n_words", "n_tokens"])
-
+            ids, texts = batch.column(0), batch.column(1)
+            for a, b in slices(texts):
+                some = texts.slice(a, b - a).fill_null("").cast(pa.large_string())
+                lists = pc.ascii_split_whitespace(some)
+                words = lists.flatten().dictionary_encode()
+                counts = np.array(memo.values_of(words.dictionary.to_pylist(), learn), np.int64)
+                code = words.indices.to_numpy()
+                real = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False).astype(np.int64)
+                first = lists.offsets.to_numpy()
+                sums = [np.concatenate([[0], np.cumsum(x[code])])[first - first[0]] for x in (real, counts)]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(a, b - a), *[pa.array(np.diff(x).astype(np.int64)) for x in sums]], names=["doc_id", "n_words", "n_tokens"]
+                )
+
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, n_words long, n_tokens long")
 

@@ -145,10 +145,26 @@ def test_automaton_small_vocabularies():
             assert automaton.count(word) == greedy(vocabulary, word), (vocabulary, word)
 
 
-def test_token_counts(docs, rows, empty):
+def test_token_counts(spark, docs, rows, empty):
     vocabulary = set(token_counts.public_vocabulary())
-    want = sorted((i, len(WORDS.findall(t or "")), sum(greedy(vocabulary, w) for w in WORDS.findall((t or "")[:60_000]))) for i, t, *_ in rows if len(t or "") < 60_000)
-    assert sorted(tuple(r) for r in token_counts.count_tokens(docs).collect() if r["doc_id"] in {w[0] for w in want}) == want
+    longest = max(map(len, vocabulary))
+
+    def pieces(word):  # greedy, but looks no further than the longest piece
+        s, n, i = token_counts.START + word, 0, 0
+        while i < len(s):
+            j = min(len(s), i + longest)
+            while j > i and s[i:j] not in vocabulary:
+                j -= 1
+            if j == i:
+                return 1
+            n, i = n + 1, j
+        return n
+
+    want = sorted((i, len(WORDS.findall(t or "")), sum(map(pieces, WORDS.findall(t or "")))) for i, t, *_ in rows)
+    assert sorted(tuple(r) for r in token_counts.count_tokens(docs).collect()) == want
+    odd = [" a", "a \x1c b\x0b\x0cc\u00a0d", "\r\n", "e\tf  ", None]
+    found = token_counts.count_tokens(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")).collect()
+    assert [(r["n_words"], r["n_tokens"]) for r in sorted(found)] == [(len(w), sum(map(pieces, w))) for w in (WORDS.findall(t or "") for t in odd)]
     assert token_counts.count_tokens(empty).count() == 0
 
 
