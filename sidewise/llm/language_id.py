@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import SPACE_CHARS, SPACE_CLASS, WORD, table
+from .common import SPACE_CHARS, SPACE_CLASS, WORD, bounded_batches, table
 
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = "und"
@@ -343,8 +343,10 @@ def _best(scorer: Scorer, texts: pa.Array, letters: pa.Array) -> tuple[list[str]
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row ``doc_id, lang_pred, score``. The score is the best language's share when log
     probabilities are divided by the root of the number of words. A null text, one without a
-    letter, and any text if no language was learned: ``und`` with score 0. Repeated rows are
-    kept, other columns ignored; an empty table gives an empty one."""
+    letter, and any text if no language was learned: ``und`` with score 0. Very long texts are
+    scored whole. Ties go to the language that comes first. Repeated rows and null ids are kept,
+    other columns ignored, whatever their names; an empty table gives an empty one."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,6 +370,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """The rows whose language is told with a score of at least ``least``, all columns
     unchanged. Null texts and texts without a letter go."""
+    bounded_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import release, stored, table
+from .common import bounded_batches, release, stored, table
 from .graph import components
 
 WORDS = 5
@@ -256,7 +256,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id is kept. Null, empty and blank texts have an empty set and stand alone. Rows of
     one id count as one document that is linked to whatever any of them is linked to. A row with
     a null id is a document of its own: it is linked to none, has a null component and is kept.
-    Other columns are ignored; an empty table gives an empty one.
+    Very long texts are shingled whole. Other columns are ignored, whatever their names; an empty
+    table gives an empty one. A set is one of 64-bit hashes of its runs; equal sets are known by
+    their size and two 64-bit sums.
 
     Equal sets are one class from the start, so copies never meet as pairs. In each band bucket
     all classes are first paired with the smallest only. Buckets that still hold several
@@ -264,11 +266,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets. So every candidate pair is confirmed, refuted or within one component, whatever the
     size of a bucket, and no table of pairs grows with the square of one.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = stored(source.mapInArrow(_describe, _SEND), "described")
     described = every.where("doc_id is not null")
     sets = every.select("doc_id", "n_shingles", "s1", "s2")
     classes = sets.where("doc_id is not null and n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("head"))
+    classes = stored(classes, "classes")  # so that Spark can split the part of a class with many members
     members = stored(_joined(sets, classes, ["s1", "s2", "n_shingles"], "left").drop("s1", "s2"), "members")
     heads = members.where("doc_id = head").select("doc_id").distinct()
     signatures = described.where("n_shingles > 0").select("doc_id", "n_shingles", "bands", "planes")
@@ -284,7 +288,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _across(stars, heads, texts, final)
     if not more.isEmpty():
         final = components(links.union(more), "a", "b")
-    release(every, heads, stars, texts, links, more)
+    release(every, classes, heads, stars, texts, links, more)
     out = _joined(members, final.select(F.col("node").alias("head"), "component"), "head", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "head", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
