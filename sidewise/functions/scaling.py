@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import quantiles
+
 
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - mean) / population deviation; a deviation of 0 counts as 1."""
@@ -18,8 +20,8 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def balance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """x less the column's median."""
-    medians = df.agg(*[F.expr(f"percentile(`{c}`, 0.5)").alias(f"m_{i}") for i, c in enumerate(columns)])
-    return df.join(F.broadcast(medians)).withColumns({c: F.col(c) - F.col(f"m_{i}") for i, c in enumerate(columns)}).select(df.columns)  # one row
+    medians = quantiles(df, columns)
+    return df.withColumns({c: F.col(c) - F.lit(medians[c]) for c in columns})
 
 
 def unit_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,16 +24,24 @@ def accord_scores(
         if not 0 <= r["feature"] < len(names):
             raise ValueError(f"accords refer to feature {r['feature']}; there are {len(names)}")
         by_accord.setdefault(r["accord"], []).append((r["feature"], r["side"]))
-    each = F.array(*[
-        F.struct(F.lit(a).alias("accord"), sum((F.col(names[f]) * s for f, s in sides), F.lit(0)).cast("double").alias("score"))
-        for a, sides in sorted(by_accord.items())
-    ])
-    out = df.select(id_col, F.explode(each).alias("s")).select(id_col, "s.accord", "s.score")
-    for on, key in ((normalize_rows, id_col), (normalize_cols, "accord")):
-        if on:
-            w = Window.partitionBy(key)
-            out = out.withColumn("score", F.col("score") - F.min("score").over(w))
-            out = out.withColumn("score", F.col("score") / F.when(F.sum("score").over(w) > 0, F.sum("score").over(w)).otherwise(1.0))
+    if not by_accord:
+        return df.select(id_col, F.lit(0).alias("accord"), F.lit(0.0).alias("score")).limit(0)
+    accord = sorted(by_accord)
+    scores = F.array(*[sum((F.col(names[f]) * s for f, s in by_accord[a]), F.lit(0)).cast("double") for a in accord])
+    # All scores of a row are in one array, so rows are normalised where they are.
+    out = df.select(id_col, scores.alias("s"))
+    if normalize_rows:
+        out = out.withColumn("s", F.transform("s", lambda x: x - F.array_min("s")))
+        total = F.aggregate("s", F.lit(0.0), lambda t, x: t + x)
+        out = out.withColumn("t", F.when(total > 0, total).otherwise(1.0)).withColumn("s", F.transform("s", lambda x: x / F.col("t")))
+    number = F.get(F.array(*[F.lit(a) for a in accord]), F.col("k"))
+    out = out.select(id_col, F.posexplode("s").alias("k", "score")).select(id_col, number.alias("accord"), "score")
+    if normalize_cols:
+        stats = out.groupBy("accord").agg(F.min("score").alias("lo"), (F.sum("score") - F.count("*") * F.min("score")).alias("t"))
+        # One row for each accord.
+        out = out.join(F.broadcast(stats), "accord")
+        score = (F.col("score") - F.col("lo")) / F.when(F.col("t") > 0, F.col("t")).otherwise(1.0)
+        out = out.select(id_col, "accord", score.alias("score"))
     return out
 
 
@@ -72,28 +80,30 @@ def _splits(matrix: np.ndarray, rows: np.ndarray, path: list[tuple[int, int, lis
 
 
 def hard_clusters(matrix: np.ndarray, names: Sequence[str]) -> list[Column]:
-    """For each accord 1 for rows that are on its side at every split, else 0."""
+    """For each accord 1 for rows that are on its side at every split, else 0. A row on both sides
+    of a split (0) counts as on the negative one."""
     out: dict[int, list] = {}
     _splits(matrix, np.arange(len(matrix)), [], out)
     columns = []
     for k in range(len(matrix)):
         inside = F.lit(True)
         for c, s, _ in out[k]:
-            inside = inside & (F.col(names[c]) == s)
+            inside = inside & (F.col(names[c]) > 0 if s > 0 else F.col(names[c]) <= 0)
         columns.append(inside.cast("double").alias(f"accord_{k}"))
     return columns
 
 
 def soft_clusters(matrix: np.ndarray, names: Sequence[str]) -> list[Column]:
     """For each accord the product over its splits of the share of columns that all accords of
-    either part decide oppositely, and that agree with the row."""
+    either part decide oppositely, and that agree with the row; a row on both sides of a column
+    (0) agrees by half."""
     out: dict[int, list] = {}
     _splits(matrix, np.arange(len(matrix)), [], out)
     columns = []
     for k in range(len(matrix)):
         p = F.lit(1.0)
         for _, _, sides in out[k]:
-            p = p * (sum((F.when(F.col(names[c]) == s, 1.0).otherwise(0.0) for c, s in sides), F.lit(0.0)) / len(sides))
+            p = p * (sum(((F.col(names[c]) * s + 1) / 2 for c, s in sides), F.lit(0.0)) / len(sides))
         columns.append(p.alias(f"accord_{k}"))
     return columns
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered
+
 Oriented = tuple[str, int]
 
 
@@ -26,21 +28,13 @@ def atoms(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def atomic_sets(df: DataFrame, names: Sequence[str], id_col: str = "pid") -> DataFrame:
     """Distinct rows with ``w``, their least id and a dense number in the order of values."""
-    from pyspark.sql import Window
-
-    out = df.groupBy(*names).agg(F.count("*").alias("w"), F.min(id_col).alias("first_pid"))
-    # One row for each atom; numbering is global by definition.
-    return out.withColumn("aid", F.row_number().over(Window.orderBy(*names)) - 1)
+    return numbered(df.groupBy(*names).agg(F.count("*").alias("w"), F.min(id_col).alias("first_pid")), names, "aid")
 
 
 def unique_rows(df: DataFrame, names: Sequence[str], id_col: str = "pid") -> DataFrame:
     """Distinct rows with their number, the id of the first and, in its order, a number of their
     own: ``membership`` gives the inverse."""
-    from pyspark.sql import Window
-
-    out = df.groupBy(*names).agg(F.count("*").alias("n"), F.min(id_col).alias("first_pid"))
-    # One row for each distinct row; numbering is global by definition.
-    return out.withColumn("aid", F.row_number().over(Window.orderBy("first_pid")) - 1)
+    return numbered(df.groupBy(*names).agg(F.count("*").alias("n"), F.min(id_col).alias("first_pid")), ["first_pid"], "aid")
 
 
 def membership(df: DataFrame, numbered: DataFrame, names: Sequence[str], id_col: str = "pid") -> DataFrame:
@@ -140,6 +134,27 @@ def comparable(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return each.groupBy("i", "j", "oi", "oj").agg((F.coalesce(F.sum(F.when(against, F.col("n"))), F.lit(0)) == 0).alias("le"))
 
 
+def comparable_values(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``comparable`` for real features: the values of (i, oi) are nowhere above those of (j, oj).
+    The least and greatest sum and difference of each pair tell for all four orientations."""
+    pairs = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.col(b) - F.col(a)).alias("d"), (F.col(a) + F.col(b)).alias("s"))
+        for (i, a), (j, b) in combinations(enumerate(names), 2)
+    ])
+    ends = df.select(F.explode(pairs).alias("p")).groupBy("p.i", "p.j").agg(
+        F.min("p.d").alias("d0"), F.max("p.d").alias("d1"), F.min("p.s").alias("s0"), F.max("p.s").alias("s1")
+    )
+    up, down, under, over = F.col("d0") >= 0, F.col("d1") <= 0, F.col("s1") <= 0, F.col("s0") >= 0
+    # (first side, second side): whether first <= second, and second <= first.
+    rules = {(1, 1): (up, down), (-1, -1): (down, up), (1, -1): (under, over), (-1, 1): (over, under)}
+    each = [
+        F.struct(F.col(x).alias("i"), F.col(y).alias("j"), F.lit(p).alias("oi"), F.lit(q).alias("oj"), le.alias("le"))
+        for (a, b), (one, two) in rules.items()
+        for x, y, p, q, le in (("i", "j", a, b, one), ("j", "i", b, a, two))
+    ]
+    return ends.select(F.explode(F.array(*each)).alias("e")).select("e.*")
+
+
 def crossing_pairs(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``i < j`` of features of which no orientations are comparable."""
     return comparable(df, names).where("i < j").groupBy("i", "j").agg(F.max("le").alias("nested")).where(~F.col("nested")).select("i", "j")
@@ -161,11 +176,15 @@ class Counter:
         self.names, self.real = list(names), real
         self.rows = (df.select(*names).withColumn("w", F.lit(1)) if real else atoms(df, names)).cache()
         self.known: dict[frozenset[tuple[int, int]], float] = {}
+        # Kept for the life of the counter; ``close`` gives it up.
         self.total = int(self.rows.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n")).first()["n"])
         self.known[frozenset()] = self.total
         if not real and len(self.names) <= 12:
             self._prime(df)
 
+    def close(self) -> None:
+        self.rows.unpersist()
+
     def _prime(self, df: DataFrame) -> None:
         """Few features: all triples by one aggregation."""
         sides = [(i, o) for i in range(len(self.names)) for o in (-1, 1)]

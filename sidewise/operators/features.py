@@ -14,6 +14,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import quantiles
+
+#: Values of a column that make a feature each, at most.
+MOST_VALUES = 10_000
 #: A two-valued column is split by its larger or its smaller value, by operator.
 OPERATORS: dict[str, Callable[[Column, Any], Column]] = {
     "==": lambda c, v: c == v,
@@ -56,12 +60,16 @@ def threshold(col: Column, t: float = 0, small_side_le: bool = True) -> Column:
     return side(col > t if small_side_le else col >= t)
 
 
-def distinct_values(df: DataFrame, col: str, invalid: Iterable[Any] = ()) -> list[Any]:
-    """Sorted values that are neither null nor invalid. One row for each comes to the driver."""
+def distinct_values(df: DataFrame, col: str, invalid: Iterable[Any] = (), most: int = MOST_VALUES) -> list[Any]:
+    """Sorted values that are neither null nor invalid. More than ``most`` are an error: a feature
+    for each would be a column for each; bins or thresholds are for such a variable."""
     valid = df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
     if invalid := list(invalid):
         valid = valid.where(~F.col("v").isin(invalid))
-    return sorted(r["v"] for r in valid.distinct().collect())
+    found = valid.distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} values")
+    return sorted(r["v"] for r in found)
 
 
 def _label(col: str, op: str, value: Any) -> str:
@@ -129,7 +137,7 @@ def regular_bins(df: DataFrame, col: str, num_bins: int = 5, invalid: Iterable[A
 
 def median_split(df: DataFrame, col: str) -> list[Feature]:
     """+1 above the median."""
-    m = df.agg(F.expr(f"percentile(`{col}`, 0.5)").alias("m")).first()["m"]
+    m = quantiles(df, [col])[col]
     return [] if m is None else [_feature(col, ">", m)]
 
 

@@ -1,58 +1,147 @@
 """Similarity graphs and what is derived from them. Edges are tables ``src, dst, w``; symmetric
 graphs list both directions.
 
-Pairs of points are compared in blocks: a point's block meets every block of ids not above it
-through an equality join on block numbers, and what is below the threshold goes before any
-shuffle. The comparison of all pairs is inherent to these operators.
+Points are compared in blocks: each pair of blocks is a piece of work of a fixed size, whose
+values are made as a matrix and thinned out (to a threshold, or to each point's nearest) before
+anything is shuffled. The comparison of all pairs is inherent to these operators.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import stored
+from ..functions.ordering import numbered
+from ..sources.storage import bounded_batches, release, stored
 
+#: Points of a block, and bytes of a matrix of differences.
+BLOCK, MATRIX_BYTES = 1024, 16 << 20
+Measure = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
+def _packed(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Consecutive points as blocks: ids, and all vectors."""
 
-def pairs(points: DataFrame, columns: Sequence[str], id_col: str = "pid", blocks: int = 8) -> DataFrame:
-    """All pairs ``src < dst`` with their columns as ``a_*`` and ``b_*``, dealt by pairs of
-    blocks so that no task gets more than its share."""
-    block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
-    base = points.select(F.col(id_col).alias("id"), block.alias("block"), *columns)
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = base.select(F.col("id").alias("src"), F.col("block").alias("x"), F.explode(every).alias("y"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    right = base.select(F.col("id").alias("dst"), F.col("block").alias("y"), F.explode(every).alias("x"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    return left.join(right, ["x", "y"]).where("src < dst").drop("x", "y")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        rows: list[np.ndarray] = []
+
+        def block() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([np.concatenate(rows).tobytes()])], names=["ids", "x"])
+            ids.clear(), rows.clear()
+            return out
+
+        for batch in batches:
+            lists = batch.column(1)
+            flat, ends = lists.values.to_numpy(zero_copy_only=False).astype(np.float64), lists.offsets.to_numpy()
+            for i, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                ids.append(i)
+                rows.append(flat[a:b])
+                if len(ids) == size:
+                    yield block()
+        if ids:
+            yield block()
+
+    return run
+
+
+def _by_rows(measure: Measure, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``measure`` for as many rows at once as keep its differences small."""
+    step = max(1, MATRIX_BYTES // max(1, 8 * y.size))
+    return np.concatenate([measure(x[a : a + step], y) for a in range(0, len(x), step)])
+
+
+def _nearest(values: np.ndarray, ids: np.ndarray, k: int, ties_all: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each row's ``k`` least values, ties to the smaller id or all. NaN: left out."""
+    rows, cols = [], []
+    for i, v in enumerate(values):
+        at = np.flatnonzero(~np.isnan(v))
+        if len(at) > k:
+            at = at[v[at] <= np.partition(v[at], k - 1)[k - 1]]
+            if not ties_all:
+                at = at[np.lexsort((ids[at], v[at]))][:k]
+        rows.append(np.full(len(at), i))
+        cols.append(at)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def compared(
+    points: DataFrame, vector: str, measure: Measure, threshold: float | None = None, nearest: int | None = None, largest: bool = True,
+    strict: bool = False, ties_all: bool = False, id_col: str = "pid",
+) -> DataFrame:
+    """``src, dst, w`` in both directions for pairs of points, ``w`` by ``measure`` of two blocks
+    of vectors. ``largest``: more is nearer. ``threshold``: only pairs at least (``strict``: more
+    than) that near. ``nearest``: of each point's the nearest only, ties to the smaller id
+    (``ties_all``: with all as near as the last)."""
+    bounded_batches(points.sparkSession)
+    packed = points.select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(_packed(BLOCK), "ids array<long>, x binary")
+    blocks = numbered(packed.withColumn("first", F.col("ids")[0]), ["first"], "block")
+    blocks = stored(blocks.select(F.col("block").cast("int").alias("block"), "ids", "x"), "blocks")
+    n = blocks.count()
+    # Numbers only, until both blocks are joined to them.
+    pairs = blocks.select(F.col("block").alias("a"), F.explode(F.sequence("block", F.lit(max(n - 1, 0)))).alias("b"))
+    side = lambda x: blocks.select(F.col("block").alias(x), F.col("ids").alias(f"ids_{x}"), F.col("x").alias(f"x_{x}"))
+    work = pairs.join(side("a"), "a").join(side("b"), "b")
+    sign = 1.0 if largest else -1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                ids = [np.array(r[f"ids_{s}"], np.int64) for s in "ab"]
+                x, y = (np.frombuffer(r[f"x_{s}"], np.float64).reshape(len(i), -1) for s, i in zip("ab", ids, strict=True))
+                values = _by_rows(measure, x, y)
+                if r["a"] == r["b"]:
+                    np.fill_diagonal(values, np.nan)
+                if threshold is not None:
+                    near = sign * values > sign * threshold if strict else sign * values >= sign * threshold
+                    values = np.where(near, values, np.nan)
+                # Both directions; within a block the matrix has them already.
+                for i, j, v in ((ids[0], ids[1], values), (ids[1], ids[0], values.T))[: 1 if r["a"] == r["b"] else 2]:
+                    if nearest is None:
+                        p, q = np.nonzero(~np.isnan(v))
+                    else:
+                        p, q = _nearest(-sign * v, j, nearest, ties_all)
+                    for at in range(0, len(p), 1 << 16):
+                        some = slice(at, at + (1 << 16))
+                        yield pa.RecordBatch.from_arrays([pa.array(i[p[some]]), pa.array(j[q[some]]), pa.array(v[p[some], q[some]])], names=["src", "dst", "w"])
+
+    out = work.mapInArrow(run, "src long, dst long, w double")
+    if nearest is not None:
+        by = [F.col("w").desc() if largest else F.col("w"), *([] if ties_all else [F.col("dst")])]
+        rank = (F.rank() if ties_all else F.row_number()).over(Window.partitionBy("src").orderBy(*by))
+        out = out.withColumn("r", rank).where(F.col("r") <= nearest).drop("r")
+    return out
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst", "w").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    """Each edge in both directions, from one look at the table."""
+    ends = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return edges.select(F.explode(ends).alias("e"), "w").select("e.src", "e.dst", "w")
+
+
+def _unit(points: DataFrame, vector: str, id_col: str) -> DataFrame:
+    """Vectors of length 1; those of length 0 stay."""
+    v = F.transform(vector, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return points.select(id_col, F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v).alias("v"))
 
 
 def cosine_similarity(
     points: DataFrame, vector: str, threshold: float = 0.0, max_neighbours: int | None = None, symmetric: bool = True,
-    weight_range: tuple[float, float] | None = None, id_col: str = "pid", blocks: int = 8,
+    weight_range: tuple[float, float] | None = None, id_col: str = "pid",
 ) -> DataFrame:
     """Cosines from ``threshold`` on, for each point its ``max_neighbours`` largest (ties to the
     smaller id), then averaged over both directions if ``symmetric``; rescaled to
     ``weight_range`` if given."""
-    norm = F.sqrt(_dot(F.col(vector), F.col(vector)))
-    unit = points.select(F.col(id_col).alias("pid"), F.when(norm > 0, F.transform(vector, lambda x: x / norm)).otherwise(F.col(vector)).alias("v"))
-    half = pairs(unit, ["v"], "pid", blocks).select("src", "dst", _dot(F.col("a_v"), F.col("b_v")).alias("w")).where(F.col("w") >= threshold)
-    edges = both_ways(half)
-    if max_neighbours is not None:
-        rank = F.row_number().over(Window.partitionBy("src").orderBy(F.col("w").desc(), "dst"))
-        edges = edges.withColumn("r", rank).where(F.col("r") <= max_neighbours).drop("r")
-        if symmetric:
-            halves = edges.withColumn("w", F.col("w") / 2)
-            edges = both_ways(halves).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    edges = compared(_unit(points, vector, id_col), "v", lambda x, y: x @ y.T, threshold, max_neighbours, id_col=id_col)
+    if max_neighbours is not None and symmetric:
+        halves = edges.withColumn("w", F.col("w") / 2)
+        edges = both_ways(halves).groupBy("src", "dst").agg(F.sum("w").alias("w"))
     if weight_range is not None:
         lo, hi = weight_range
         limits = edges.agg(F.min("w").alias("lo"), F.max("w").alias("hi"))
@@ -62,33 +151,59 @@ def cosine_similarity(
 
 
 def sparse_cosine(entries: DataFrame, threshold: float = 0.25) -> DataFrame:
-    """Cosines of sparse rows given as ``pid, term, x``: only rows that share a term meet. Terms
-    that many rows share make many pairs, as the result itself does."""
+    """Cosines of sparse rows given as ``pid, term, x``. A row's terms stand from the most common
+    to the rarest, and its first ones of length below ``threshold`` have no cosine of that size
+    by themselves. So the rarest term that two near rows share is among the last of both, and only
+    those make pairs, which are then computed in full."""
+    entries = entries.groupBy("pid", "term").agg(F.sum("x").alias("x"))
     norms = entries.groupBy("pid").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    unit = entries.join(norms, "pid").select("pid", "term", (F.col("x") / F.col("norm")).alias("x"))
-    both = unit.alias("a").join(unit.alias("b"), F.expr("a.term = b.term AND a.pid <> b.pid"))
-    return both.groupBy(F.col("a.pid").alias("src"), F.col("b.pid").alias("dst")).agg(F.sum(F.expr("a.x * b.x")).alias("w")).where(F.col("w") >= threshold)
+    common = entries.groupBy("term").agg(F.count("*").alias("rows"))
+    unit = entries.join(norms.where("norm > 0"), "pid").join(common, "term").select("pid", "term", "rows", (F.col("x") / F.col("norm")).alias("x"))
+    unit = stored(unit, "unit")
+    so_far = Window.partitionBy("pid").orderBy(F.col("rows").desc(), "term").rowsBetween(Window.unboundedPreceding, 0)
+    looked = unit.withColumn("head", F.sqrt(F.sum(F.col("x") * F.col("x")).over(so_far))).where(F.col("head") >= threshold * (1 - 1e-9))
+    looked = stored(looked.select("pid", "term"), "looked")
+    pairs = looked.withColumnRenamed("pid", "src").join(looked.withColumnRenamed("pid", "dst"), "term").where("src < dst")
+    pairs = pairs.select("src", "dst").distinct()
+    left, right = unit.select(F.col("pid").alias("src"), "term", F.col("x").alias("p")), unit.select(F.col("pid").alias("dst"), "term", F.col("x").alias("q"))
+    products = pairs.join(left, "src").join(right, ["dst", "term"]).groupBy("src", "dst").agg(F.sum(F.col("p") * F.col("q")).alias("w"))
+    return both_ways(products.where(F.col("w") >= threshold))
 
 
 def hamming_similarity(points: DataFrame, columns: Sequence[str], threshold: float = 0, strict: bool = False, id_col: str = "pid") -> DataFrame:
-    """Numbers of equal coordinates, from (``strict``: above) the threshold."""
-    equal = sum((F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")).cast("int") for c in columns), F.lit(0))
-    found = pairs(points, columns, id_col).select("src", "dst", equal.cast("double").alias("w"))
-    return both_ways(found.where(F.col("w") > threshold if strict else F.col("w") >= threshold))
-
-
-def distances(points: DataFrame, vector: str, metric: str = "euclidean", id_col: str = "pid", blocks: int = 8) -> DataFrame:
-    """``src, dst, d`` in both directions."""
-    each = F.zip_with(F.col("a_v"), F.col("b_v"), lambda x, y: F.abs(x.cast("double") - y))
-    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    d = {
-        "euclidean": lambda: F.sqrt(add(F.transform(each, lambda x: x * x))),
-        "cityblock": lambda: add(each),
-        "chebyshev": lambda: F.array_max(each),
-        "hamming": lambda: add(F.transform(each, lambda x: (x != 0).cast("double"))) / F.size("a_v"),
-    }[metric]()
-    half = pairs(points.select(F.col(id_col).alias("pid"), F.col(vector).alias("v")), ["v"], "pid", blocks).select("src", "dst", d.alias("w"))
-    return both_ways(half).withColumnRenamed("w", "d")
+    """Numbers of equal coordinates, from (``strict``: above) the threshold. Values are compared
+    by number within their column; null equals null."""
+    codes = F.array(*[F.when(F.col(c).isNull(), F.lit(-1.0)).otherwise(F.shiftrightunsigned(F.xxhash64(c), 11).cast("double")) for c in columns])
+
+    def equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x[:, None, :] == y[None, :, :]).sum(axis=2).astype(np.float64)
+
+    return compared(points.select(id_col, codes.alias("v")), "v", equal, threshold, strict=strict, id_col=id_col)
+
+
+def _euclidean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    d = x[:, None, :] - y[None, :, :]
+    return np.sqrt(np.einsum("ijk,ijk->ij", d, d))
+
+
+METRICS: dict[str, Measure] = {
+    "euclidean": _euclidean,
+    "cityblock": lambda x, y: np.abs(x[:, None, :] - y[None, :, :]).sum(axis=2),
+    "chebyshev": lambda x, y: np.abs(x[:, None, :] - y[None, :, :]).max(axis=2),
+    "hamming": lambda x, y: (x[:, None, :] != y[None, :, :]).mean(axis=2),
+}
+
+
+def distances(points: DataFrame, vector: str, metric: str = "euclidean", id_col: str = "pid", max_dist: float | None = None) -> DataFrame:
+    """``src, dst, d`` in both directions: of all pairs, for bounded sets of points, or of those
+    nearer than ``max_dist``."""
+    return compared(points, vector, METRICS[metric], max_dist, largest=False, strict=True, id_col=id_col).withColumnRenamed("w", "d")
+
+
+def knn_graph(points: DataFrame, vector: str, k: int, metric: str = "euclidean", ties_all: bool = False, id_col: str = "pid") -> DataFrame:
+    """Directed edges of weight 1 to the ``k`` nearest, thinned out within each pair of blocks."""
+    found = compared(points, vector, METRICS[metric], nearest=k, largest=False, ties_all=ties_all, id_col=id_col)
+    return found.select("src", "dst", F.lit(1.0).alias("w"))
 
 
 def nearest_neighbours(dist: DataFrame, k: int, ties_all: bool = False) -> DataFrame:
@@ -161,10 +276,6 @@ def contract(edges: DataFrame, bags: DataFrame) -> DataFrame:
     return joined.groupBy(F.col("x").alias("src"), F.col("y").alias("dst")).agg(F.sum("w").alias("w"))
 
 
-def _cut_lineage(df: DataFrame) -> DataFrame:
-    return stored(df, "graph")
-
-
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``node, component`` (its smallest node). Labels spread to neighbours and then jump to the
     label of their label, so the number of rounds grows with the logarithm of the diameter on
@@ -173,16 +284,18 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     every = ends.select(F.col("src").alias("node")).union(ends.select("dst"))
     if nodes is not None:
         every = every.union(nodes.select("node"))
-    both = _cut_lineage(ends.union(ends.select("dst", "src")).distinct())
-    labels = _cut_lineage(every.distinct().withColumn("component", F.col("node")))
+    both = stored(ends.union(ends.select("dst", "src")).distinct(), "graph")
+    labels = stored(every.distinct().withColumn("component", F.col("node")), "graph")
     while True:
         near = both.join(labels.toDF("dst", "l"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("l").alias("l"))
         lower = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("l", "component")).alias("c"))
         jump = lower.alias("a").join(lower.alias("b"), F.expr("a.c = b.node")).select("a.node", F.col("b.c").alias("component"))
-        new = _cut_lineage(jump)
+        new = stored(jump, "graph")
         changed = new.join(labels.toDF("node", "old"), "node").where("component <> old").limit(1).count()
+        release(labels)
         labels = new
         if not changed:
+            release(both)
             return labels
 
 
@@ -208,17 +321,28 @@ def greedy_neighbourhood(
     edges: DataFrame, start: Sequence[int], size: int, take: int = 5, forbidden: Sequence[int] = (), minimize: bool = False
 ) -> list[int]:
     """Grow a set: again and again the ``take`` nodes with the largest (smallest) weight to it,
-    ties to the smaller id, until it has ``size`` nodes or nothing is near."""
+    ties to the smaller id, until it has ``size`` nodes or nothing is near. A step adds the edges
+    of the newest nodes to what is known of the boundary, a table; the driver has the set alone."""
+    spark = edges.sparkSession
     chosen = list(dict.fromkeys(start))
-    while len(chosen) < size:
-        near = edges.where(F.col("src").isin(chosen) & ~F.col("dst").isin([*chosen, *forbidden])).groupBy("dst").agg(F.sum("w").alias("w"))
-        best = near.orderBy(F.col("w") if minimize else F.col("w").desc(), "dst").limit(min(take, size - len(chosen))).collect()
-        if not best:
-            break
-        chosen += [r["dst"] for r in best]
+    new, weights = chosen, None
+    while len(chosen) < size and new:
+        ends = spark.createDataFrame([(int(x),) for x in new], "src long")
+        gone = spark.createDataFrame([(int(x),) for x in {*chosen, *forbidden}], "dst long")
+        more = edges.join(ends, "src").select("dst", "w")
+        weights = (more if weights is None else weights.union(more)).groupBy("dst").agg(F.sum("w").alias("w")).join(gone, "dst", "left_anti")
+        weights = stored(weights, "boundary")
+        best = weights.orderBy(F.col("w") if minimize else F.col("w").desc(), "dst").limit(min(take, size - len(chosen))).collect()
+        new = [r["dst"] for r in best]
+        chosen += new
     return chosen
 
 
+def greedy_path(edges: DataFrame, start: int, size: int, forbidden: Sequence[int] = ()) -> list[int]:
+    """Nodes in the order in which a set grows by one at a time, the largest weight to it first."""
+    return greedy_neighbourhood(edges, [start], size, 1, forbidden)
+
+
 def min_cut(edges: Sequence[tuple[int, int, float]], n: int, s: Sequence[int], t: Sequence[int]) -> np.ndarray:
     """A smallest cut between two sets of nodes of a driver-side graph: -1 on the side of ``s``.
     Shortest augmenting paths."""
@@ -285,50 +409,52 @@ def spectral_features_by_component(edges: DataFrame, k: int, min_fraction: float
     return indicators.union(within)
 
 
-def pca_features(df: DataFrame, columns: Sequence[str], k: int, id_col: str = "pid") -> DataFrame:
-    """Signs of each row's scores on the ``k`` leading eigenvectors of the columns' Gramian,
-    which is added up on the executors."""
+def pca_features(df: DataFrame, columns: Sequence[str], k: int, id_col: str = "pid", use_j: bool = False) -> DataFrame:
+    """``pc0, pc1, …`` by the ``k`` leading eigenvectors of the columns' Gramian, which is added up
+    on the executors. Without ``use_j``: each row's sum over the columns, signed as the vector is,
+    the first column positive. With ``use_j``: the signs of the eigenvectors of the rows' products,
+    which are those of the rows' scores, the first row positive."""
     from .orders import SpectralOrder
 
     basis = SpectralOrder(df, columns, variance_explained=2.0).vectors[:, :k]
-    basis = basis * np.where(basis[np.abs(basis).argmax(axis=0), range(basis.shape[1])] < 0, -1, 1)
+    if not use_j:
+        signs = np.where(basis >= 0, 1.0, -1.0)
+        signs = signs * signs[:1]
+        return df.select(id_col, *[sum((F.col(c) * float(v) for c, v in zip(columns, vec, strict=True)), F.lit(0.0)).alias(f"pc{i}") for i, vec in enumerate(signs.T)])
     scores = [sum((F.col(c) * float(v) for c, v in zip(columns, vec, strict=True)), F.lit(0.0)) for vec in basis.T]
-    return df.select(id_col, *[F.when(s >= 0, 1).otherwise(-1).cast("tinyint").alias(f"pc{i}") for i, s in enumerate(scores)])
+    first = df.agg(*[F.min_by(F.when(s >= 0, 1).otherwise(-1), id_col).alias(f"s{i}") for i, s in enumerate(scores)]).first()
+    return df.select(id_col, *[(F.when(s >= 0, 1).otherwise(-1) * F.lit(first[f"s{i}"])).cast("tinyint").alias(f"pc{i}") for i, s in enumerate(scores)])
 
 
 def minimize_order(edges: DataFrame, points: DataFrame, feature: str, max_steps: int = int(1e8), kind: str = "cut", id_col: str = "pid") -> DataFrame:
     """Flip single rows, each time the one that lowers the order most (ties to the smaller id),
-    until none does; raises if that takes more than ``max_steps`` flips. "cut" takes changes from one aggregation; the others evaluate the cut and
-    the side sizes for all rows at once."""
-    from .orders import discrete_derivative
+    until none does; raises if that takes more than ``max_steps`` flips. The rows' changes are a
+    table that a flip brings up to date at its neighbours alone; it is written now and then."""
+    from .orders import discrete_derivative, flipped
 
-    current = points.select(id_col, F.col(feature).cast("int").alias(feature))
+    edges = edges.where("src <> dst")  # a loop is never parted
     degree = edges.groupBy(F.col("src").alias(id_col)).agg(F.sum("w").alias("deg"))
+    sides = points.select(id_col, F.col(feature).cast("int").alias("f"))
+    at = discrete_derivative(edges, points, feature, id_col).join(sides, id_col).join(degree, id_col, "left").fillna(0.0, ["change", "deg"])
+    at = held = stored(at.select(id_col, "f", "change", "deg"), "flips")
     for step in range(max_steps + 1):
-        change = discrete_derivative(edges, current, feature, id_col).join(current, id_col).join(degree, id_col, "left").fillna(0.0)
-        stats = change.agg(
-            (F.sum(-F.col("change") + F.col("deg")) / 4).alias("cut"), F.count("*").alias("n"), F.count_if(F.col(feature) > 0).alias("pos"),
-            F.sum("deg").alias("vol"), F.coalesce(F.sum(F.when(F.col(feature) > 0, F.col("deg"))), F.lit(0.0)).alias("vol_pos"),
-        ).first()
-        size = F.lit(stats["pos"]) - F.col(feature)
-        vol = F.lit(stats["vol_pos"]) - F.col(feature) * F.col("deg")
-        new_cut = F.lit(stats["cut"]) + F.col("change")
-        one = lambda x: F.when(x == 0, 1.0).otherwise(x)
-        value = {
-            "cut": new_cut,
-            "ratio": new_cut * stats["n"] / one(size * (stats["n"] - size)),
-            "normalised": new_cut * stats["vol"] / one(vol * (stats["vol"] - vol)),
-        }[kind]
-        now = {
-            "cut": stats["cut"],
-            "ratio": stats["cut"] * stats["n"] / ((stats["pos"] * (stats["n"] - stats["pos"])) or 1),
-            "normalised": stats["cut"] * stats["vol"] / ((stats["vol_pos"] * (stats["vol"] - stats["vol_pos"])) or 1),
-        }[kind]
-        best = change.select(id_col, value.alias("v")).agg(F.min(F.struct("v", id_col)).alias("b")).first()["b"]
+        new, now = flipped(at, kind)
+        best = at.agg(F.min(F.struct(new.alias("v"), F.col(id_col).alias("id"), F.col("f").alias("f"))).alias("b")).first()["b"]
         if best is None or best["v"] >= now - 1e-12:
             break
         if step == max_steps:
             raise RuntimeError(f"no local minimum after {max_steps} flips")
-        flip = F.col(id_col) == best[id_col]
-        current = _cut_lineage(current.select(id_col, F.when(flip, -F.col(feature)).otherwise(F.col(feature)).alias(feature)))
-    return current
+        # Products along an edge of the flipped row change their sign.
+        near = edges.where((F.col("src") == best["id"]) & (F.col("dst") != best["id"])).groupBy(F.col("dst").alias(id_col)).agg(F.sum("w").alias("__w"))
+        own = F.col(id_col) == best["id"]
+        at = at.join(near, id_col, "left").select(
+            id_col,
+            F.when(own, -F.col("f")).otherwise(F.col("f")).alias("f"),
+            F.when(own, -F.col("change")).otherwise(F.col("change") - 2 * F.coalesce("__w", F.lit(0.0)) * F.col("f") * best["f"]).alias("change"),
+            "deg",
+        )
+        if step % 8 == 7:
+            new_held = stored(at, "flips")
+            release(held)
+            at = held = new_held
+    return at.select(id_col, F.col("f").alias(feature))

@@ -7,9 +7,12 @@ pass over the edges. Results are tables ``feature, value`` with features by posi
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import cmp_to_key
+from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .counts import atoms, pair_contingency, side_counts
@@ -144,6 +147,16 @@ def covariance_order(entries: DataFrame, points: DataFrame, names: Sequence[str]
     return squares.join(sums, "feature").select("feature", (F.col("value") + shift * F.col("s") * F.col("s")).alias("value"))
 
 
+def o_five(laplacian: DataFrame, id_col: str = "pid") -> Callable[[DataFrame, Sequence[str]], DataFrame]:
+    """f'Lf of a Laplacian's entries."""
+    return lambda points, names: matrix_order(laplacian, points, names, id_col=id_col)
+
+
+def o_seven(entries: DataFrame, id_col: str = "pid") -> Callable[[DataFrame, Sequence[str]], DataFrame]:
+    """f'Jf of a matrix's entries."""
+    return lambda points, names: matrix_order(entries, points, names, id_col=id_col)
+
+
 def log_determinant(matrix: np.ndarray, features: np.ndarray) -> np.ndarray:
     """Log determinants of both sides' blocks of a driver-side matrix, added."""
     out = []
@@ -153,28 +166,79 @@ def log_determinant(matrix: np.ndarray, features: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def log_determinant_order(entries: DataFrame, points: DataFrame, names: Sequence[str], id_col: str = "pid") -> DataFrame:
+    """Log determinants of both sides' blocks, added; the matrix given as entries ``src, dst, w``.
+    Entries go to the sides that hold both their ends; each block is factored in a task of its own,
+    so a block has to fit there, not the matrix."""
+    both = _on_edges(entries, points, names, id_col)
+    sides = F.array(*[F.struct(F.lit(i).alias("feature"), F.lit(s).alias("side"), ((F.col(f"s_{n}") * s >= 0) & (F.col(f"d_{n}") * s >= 0)).alias("on")) for i, n in enumerate(names) for s in (-1, 1)])
+    own = F.array(*[F.struct(F.lit(i).alias("feature"), F.lit(s).alias("side"), (F.col(n) * s >= 0).alias("on")) for i, n in enumerate(names) for s in (-1, 1)])
+    # Rows of the matrix without entries make it singular, so every node is listed.
+    nodes = points.select(F.col(id_col).alias("src"), F.explode(own).alias("e")).where("e.on").select("e.feature", "e.side", "src", F.col("src").alias("dst"), F.lit(0.0).alias("w"))
+    parts = both.select("src", "dst", "w", F.explode(sides).alias("e")).where("e.on").select("e.feature", "e.side", "src", "dst", "w").union(nodes)
+
+    def run(pdf):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        ids = np.unique(pdf["src"])
+        a = np.zeros((len(ids), len(ids)))
+        np.add.at(a, (np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"])), pdf["w"].to_numpy())
+        return pd.DataFrame({"feature": [int(pdf["feature"].iloc[0])], "value": [float(np.linalg.slogdet(a)[1])]})
+
+    blocks = parts.groupBy("feature", "side").applyInPandas(run, "feature int, value double")
+    return blocks.groupBy("feature").agg(F.sum("value").alias("value"))
+
+
+def gramian(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Sums of the products of all pairs of columns; nulls count as 0. Every partition adds up
+    its own, and one row for each pair and partition moves."""
+    k = len(columns)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        total = np.zeros((k, k))
+        for batch in batches:
+            x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(total.ravel())], names=["at", "g"])
+
+    out = np.zeros(k * k)
+    parts = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(run, "at long, g double")
+    for r in parts.groupBy("at").agg(F.sum("g").alias("g")).collect():
+        out[r["at"]] = r["g"]
+    return out.reshape(k, k)
+
+
 class SpectralOrder:
-    """Order from the leading left singular vectors of a data matrix: the sum of the squares of
+    """Order from the leading singular vectors of a data matrix: the sum of the squares of
     s_i * (u_i'f). As many are kept as stay below the wanted share of variance; all if none
-    does. The Gramian of the columns is added up on the executors; only it meets the driver."""
+    does. Mode "rows": features part the rows, by left singular vectors; "cols": features part
+    the columns, by right ones. The Gramian of the columns is added up on the executors; only it
+    meets the driver."""
 
-    def __init__(self, df: DataFrame, columns: Sequence[str], variance_explained: float = 0.8, shift: float = 0.0) -> None:
+    def __init__(self, df: DataFrame, columns: Sequence[str], variance_explained: float = 0.8, shift: float = 0.0, mode: str = "rows") -> None:
+        if mode not in ("rows", "cols"):
+            raise ValueError(mode)
         k = len(columns)
-        sums = [F.sum(F.col(columns[i]).cast("double") * F.col(columns[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-        r = df.agg(*sums).first()
-        gram = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                gram[i, j] = gram[j, i] = r[f"g{i}_{j}"] or 0.0
-        values, vectors = np.linalg.eigh(gram)
+        values, vectors = np.linalg.eigh(gramian(df, columns))
         values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
-        share = np.cumsum(values) / max(values.sum(), 1e-300)
-        n = int(np.argmax(share >= variance_explained))
-        self.columns, self.shift = list(columns), shift
-        self.vectors = vectors[:, : n or k]
+        n = 0
+        if variance_explained < 1:
+            n = int(np.argmax(np.cumsum(values) / max(values.sum(), 1e-300) >= variance_explained))
+        self.columns, self.shift, self.mode = list(columns), shift, mode
+        self.vectors, self.squares = vectors[:, : n or k], values[: n or k]
+
+    def of_columns(self, features: np.ndarray) -> np.ndarray:
+        """Mode "cols": orders of features of the columns, given as a matrix's columns."""
+        f = np.asarray(features, float).reshape(len(self.columns), -1)
+        return self.squares @ (self.vectors.T @ f) ** 2 + self.shift * f.sum(axis=0) ** 2
 
     def values(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
-        """s_i u_i'f = (A v_i)'f, so one pass adds up all products."""
+        """Mode "rows": s_i u_i'f = (A v_i)'f, so one pass adds up all products. Mode "cols":
+        ``df`` has a row for each column, by ``pid`` in their order."""
+        if self.mode == "cols":
+            rows = df.orderBy("pid").limit(len(self.columns)).collect()
+            orders = self.of_columns(np.array([[r[n] for n in names] for r in rows]))
+            return df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(orders)], "feature int, value double")
         # A numpy scalar is made a Python float for the expression.
         scores = [
             sum((F.col(c) * float(v) for c, v in zip(self.columns, col, strict=True)), F.lit(0.0)) for col in self.vectors.T
@@ -194,10 +258,14 @@ def linear_similarity(distances: DataFrame, margin: float, eps: float = 0.0) ->
 
 def minkowski(points: DataFrame, columns: Sequence[str], p: float = 2.0, id_col: str = "pid") -> DataFrame:
     """Distances of all pairs ``src < dst``: for bounded sets of points."""
-    a, b = points.alias("a"), points.alias("b")
-    total = sum((F.pow(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")), F.lit(p)) for c in columns), F.lit(0.0))
-    pairs = a.join(b, F.col(f"a.{id_col}") < F.col(f"b.{id_col}"))
-    return pairs.select(F.col(f"a.{id_col}").alias("src"), F.col(f"b.{id_col}").alias("dst"), F.pow(total, F.lit(1 / p)).alias("d"))
+    from .graphs import compared
+
+    vectors = points.select(id_col, F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+
+    def measure(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (np.abs(x[:, None, :] - y[None, :, :]) ** p).sum(axis=2) ** (1 / p)
+
+    return compared(vectors, "v", measure, id_col=id_col).where("src < dst").withColumnRenamed("w", "d")
 
 
 ORDERS: dict[str, Callable[[DataFrame, Sequence[str]], DataFrame]] = {
@@ -226,30 +294,63 @@ def create_order(name: str, edges: DataFrame | None = None, id_col: str = "pid")
     return lambda points, names: GRAPH_ORDERS[name](edges, points, names, id_col=id_col)
 
 
+#: Pairs of tied features that one pass over the rows compares.
+TIED_PAIRS = 400
+
+
 def injective_rank(df: DataFrame, names: Sequence[str], order: DataFrame, id_col: str = "pid") -> DataFrame:
     """``feature, value, rank``: a rank without ties. By the value rounded to ten digits, then
     the least balanced first, then the values normalised to the first row's sign, with the last
-    row leading, descending. The last key is compared as one string for each feature."""
-    sums = _melt(df.agg(*[F.abs(F.sum(F.col(n).cast("double"))).alias(n) for n in names]), names).withColumnRenamed("value", "lean")
-    first = df.agg(*[F.min_by(n, id_col).alias(n) for n in names])
-    sign = _melt(first.select(*[F.when(F.col(n) < 0, -1).otherwise(1).alias(n) for n in names]), names).withColumnRenamed("value", "sign")
-    # A digest of the column, in row order; features are few, rows meet in sorted chunks.
-    values = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(n).cast("int").alias("v")) for i, n in enumerate(names)])
-    chunk = df.select(F.expr(f"`{id_col}` div 4096").alias("chunk"), id_col, F.explode(values).alias("s")).select("chunk", id_col, "s.*")
-    rows = chunk.join(F.broadcast(sign), "feature").groupBy("feature", "chunk").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col(id_col)).alias("p"), (F.col("v") * F.col("sign") + 1).cast("int").cast("string").alias("v")))).alias("l")
-    )
-    tie = rows.select("feature", "chunk", F.array_join(F.col("l.v"), "").alias("t")).groupBy("feature").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("chunk")).alias("c"), "t"))).alias("l")
-    )
-    keyed = order.join(sums, "feature").join(tie.select("feature", F.array_join(F.col("l.t"), "").alias("tie")), "feature")
-    # One row for each feature.
-    ranked = F.row_number().over(Window.orderBy(F.round("value", 10), F.col("lean").desc(), F.col("tie").desc(), "feature")) - 1
-    return keyed.withColumn("rank", ranked).select("feature", "value", "rank")
-
-
-def discrete_derivative(edges: DataFrame, points: DataFrame, feature: str, id_col: str = "pid") -> DataFrame:
-    """``pid, change``: how the cut weight changes if a single row goes to the other side."""
+    row leading, descending. Only features that are tied so far are compared by rows: of each pair
+    the last row in which they differ decides, so nothing but that row's values moves. ``id_col``
+    gives the order of rows and is unique."""
+    spark, sums = df.sparkSession, df.agg(*[F.abs(F.sum(F.col(n).cast("double"))).alias(n) for n in names]).first()
+    values = {r["feature"]: r["value"] for r in order.collect()}
+    groups: dict[tuple, list[int]] = {}
+    for f in sorted(values):
+        groups.setdefault((round(float(values[f]), 10), -sums[names[f]]), []).append(f)
+    tied = [p for g in groups.values() for p in combinations(g, 2)]
+    first: dict[tuple[int, int], bool] = {}
+    if tied:
+        some = sorted({f for p in tied for f in p})
+        start = df.agg(*[F.min_by(names[f], id_col).alias(f"v{f}") for f in some]).first()
+        value = {f: F.col(names[f]) * F.lit(-1 if start[f"v{f}"] < 0 else 1) for f in some}
+    for at in range(0, len(tied), TIED_PAIRS):
+        part = tied[at : at + TIED_PAIRS]
+        last = [F.max_by(value[a] - value[b], F.when(value[a] != value[b], F.col(id_col))).alias(f"p{k}") for k, (a, b) in enumerate(part)]
+        r = df.agg(*last).first()
+        first.update({p: (r[f"p{k}"] or 0) >= 0 for k, p in enumerate(part)})  # equal columns: by position
+    before = cmp_to_key(lambda a, b: (-1 if first[a, b] else 1) if (a, b) in first else (1 if first[b, a] else -1))
+    ranked = [f for key in sorted(groups) for f in sorted(groups[key], key=before)]
+    place = spark.createDataFrame([(f, k) for k, f in enumerate(ranked)], "feature int, rank int")
+    return order.select("feature", "value").join(F.broadcast(place), "feature")  # a row for each feature
+
+
+def discrete_derivative(edges: DataFrame, points: DataFrame, feature: str, id_col: str = "pid", kind: str = "cut") -> DataFrame:
+    """``pid, change``: how an order changes if a single row goes to the other side. "cut" takes
+    one aggregation over the edges; "ratio" and "normalised" follow from it and the side sizes."""
     both = _on_edges(edges, points, [feature], id_col)
     sums = both.groupBy(F.col("src").alias(id_col)).agg(F.sum(F.col("w") * F.col(f"d_{feature}") * F.col(f"s_{feature}")).alias("change"))
-    return points.select(id_col).join(sums, id_col, "left").fillna(0.0, ["change"])
+    if kind == "cut":
+        return points.select(id_col).join(sums, id_col, "left").fillna(0.0, ["change"])
+    degree = edges.groupBy(F.col("src").alias(id_col)).agg(F.sum("w").alias("deg"))
+    at = points.select(id_col, F.col(feature).cast("int").alias("f")).join(sums, id_col, "left").join(degree, id_col, "left").fillna(0.0, ["change", "deg"])
+    new, now = flipped(at, kind)
+    return at.select(id_col, (new - now).alias("change"))
+
+
+def flipped(at: DataFrame, kind: str) -> tuple[Column, float]:
+    """From ``f, change, deg`` for each row (the change of the cut): the order after the row's
+    flip, and the order as it is."""
+    stats = at.agg(
+        (F.sum(-F.col("change") + F.col("deg")) / 4).alias("cut"), F.count("*").alias("n"), F.count_if(F.col("f") > 0).alias("pos"),
+        F.sum("deg").alias("vol"), F.coalesce(F.sum(F.when(F.col("f") > 0, F.col("deg"))), F.lit(0.0)).alias("vol_pos"),
+    ).first()
+    cut, one = F.lit(stats["cut"]) + F.col("change"), lambda x: F.when(x == 0, 1.0).otherwise(x)
+    if kind == "cut":
+        return cut, stats["cut"]
+    total, size, part = (
+        (stats["n"], stats["pos"], F.lit(stats["pos"]) - F.col("f")) if kind == "ratio"
+        else (stats["vol"], stats["vol_pos"], F.lit(stats["vol_pos"]) - F.col("f") * F.col("deg"))
+    )
+    return cut * total / one(part * (total - part)), stats["cut"] * total / ((size * (total - size)) or 1)

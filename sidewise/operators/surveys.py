@@ -9,13 +9,17 @@ from math import inf
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.intervals import IntervalUnion
+from ..functions.ordering import numbered, quantiles
 from ..sources.surveys import Variable, resolve, sentinel_for, type_name
+from ..sources.storage import stored
 from . import features as ft
+from .graphs import cosine_similarity
 
 
 class Survey:
@@ -53,9 +57,32 @@ class Survey:
         names = self.select(selection)
         return Survey(self.df.select(self.id_col, *names), {c: self.variables[c] for c in names}, self.id_col)
 
-    def select_respondents(self, condition: Column | Sequence[int]) -> Survey:
-        keep = condition if isinstance(condition, Column) else F.col(self.id_col).isin(list(condition))
-        return self._with(self.df.where(keep))
+    def select_respondents(self, selection: Column | Sequence[Any] | Callable[[Mapping[str, Any]], bool]) -> Survey:
+        """Rows by a condition, by ids, by a mask (truth values in the order of ids, as many as
+        there are rows), or by a function of a row as a mapping."""
+        if isinstance(selection, Column):
+            return self._with(self.df.where(selection))
+        if callable(selection):
+            names = self.df.columns
+
+            def run(batches):  # noqa: ANN001, ANN202
+                for batch in batches:
+                    rows = zip(*[c.to_pylist() for c in batch.columns], strict=True)
+                    yield batch.filter(pa.array([bool(selection(dict(zip(names, r, strict=True)))) for r in rows], pa.bool_()))
+
+            return self._with(self.df.mapInArrow(run, self.df.schema))
+        items = [x.item() if isinstance(x, np.generic) else x for x in selection]
+        spark = self.df.sparkSession
+        if items and all(isinstance(x, bool) for x in items):
+            places = spark.createDataFrame([(k,) for k, on in enumerate(items) if on], "__place long")
+            if self.df.count() != len(items):
+                raise ValueError(f"{len(items)} marks for another number of rows")
+            return self._with(numbered(self.df, [self.id_col], "__place").join(places, "__place", "left_semi").select(self.df.columns))
+        if not items:
+            return self._with(self.df.limit(0))
+        wanted = spark.createDataFrame([(x,) for x in dict.fromkeys(items)], [self.id_col])
+        wanted = wanted.select(F.col(self.id_col).cast(self.df.schema[self.id_col].dataType))
+        return self._with(self.df.join(wanted, self.id_col, "left_semi").select(self.df.columns))
 
     def valid(self, col: str) -> Column:
         bad = list(self.variables[col].invalid)
@@ -92,14 +119,18 @@ class Survey:
     # -- summaries --------------------------------------------------------------------------
     def summarize(self, selection: Any = None) -> DataFrame:
         """``variable, type, label, min, mean, median, max, n_valid``: statistics of valid values
-        of variables that aren't nominal, in one pass."""
-        each = []
-        for c in self.select(selection):
-            v, ok = self.variables[c], self.valid(c)
-            x = F.when(ok, F.col(c).cast("double")) if v.type in ("numeric", "ordinal") else F.lit(None).cast("double")
+        of variables that aren't nominal. Medians are found first, by passes of counts; the rest is
+        one pass."""
+        each, names = [], self.select(selection)
+        numbers = [c for c in names if self.variables[c].type in ("numeric", "ordinal")]
+        valid = {c: F.when(self.valid(c), F.col(c).cast("double")) for c in numbers}
+        medians = quantiles(self.df.select(*[x.alias(c) for c, x in valid.items()]), numbers) if numbers else {}
+        for c in names:
+            v = self.variables[c]
+            x = valid.get(c, F.lit(None).cast("double"))
             each.append(F.struct(
                 F.lit(c).alias("variable"), F.lit(v.type).cast("string").alias("type"), F.lit(v.label).alias("label"), F.min(x).alias("min"), F.avg(x).alias("mean"),
-                F.median(x).alias("median"), F.max(x).alias("max"), F.count_if(ok).alias("n_valid"),
+                F.lit(medians.get(c)).cast("double").alias("median"), F.max(x).alias("max"), F.count_if(self.valid(c)).alias("n_valid"),
             ))
         return _rows(self.df, each)
 
@@ -125,15 +156,23 @@ class Survey:
         return r[names[0]] if len(names) == 1 else {c: r[c] for c in names}
 
     def check(self) -> tuple[Survey, dict[str, str]]:
-        """Problems by variable; those that have one are marked unusable. One pass over the
-        table; of each variable only values outside its lists are gathered, a few of them."""
+        """Problems by variable; those that have one are marked unusable. Of all variables the
+        values outside their lists are looked for in one pass, and a few of each are told."""
         problems: dict[str, str] = {}
-        listed = [c for c in self.columns if self.variables[c].type in ("ordinal", "nominal")]
-        strange = {
-            c: F.slice(F.collect_set(F.when(~F.col(c).isin([*self.variables[c].valid, *self.variables[c].invalid]), F.col(c).cast("string"))), 1, 5)
-            for c in listed if self.variables[c].valid
-        }
-        found = self.df.agg(*[x.alias(c) for c, x in strange.items()]).first().asDict() if strange else {}
+        listed = [c for c in self.columns if self.variables[c].type in ("ordinal", "nominal") and self.variables[c].valid]
+        found: dict[str, list[str]] = {}
+        if listed:
+            each = [
+                F.when(~F.col(c).isin([*self.variables[c].valid, *self.variables[c].invalid]), F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value")))
+                for c in listed
+            ]
+            strange = self.df.select(F.explode(F.array_compact(F.array(*each))).alias("s")).select("s.*").groupBy("variable", "value").agg(F.lit(1))
+            # Distinct values meet by variable and hash before the smallest few do.
+            few = Window.partitionBy("variable", "part").orderBy("value")
+            strange = strange.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(64))).withColumn("r", F.row_number().over(few)).where("r <= 5")
+            for r in strange.select("variable", "value").collect():
+                found.setdefault(r["variable"], []).append(r["value"])
+            found = {c: sorted(values)[:5] for c, values in found.items()}
         for c in self.columns:
             v, number = self.variables[c], isinstance(self.df.schema[c].dataType, T.NumericType)
             if v.type not in ("numeric", "ordinal", "nominal"):
@@ -147,7 +186,7 @@ class Survey:
             elif v.type != "numeric" and len(v.valid) < 2:
                 problems[c] = "fewer than two valid values"
             elif found.get(c):
-                problems[c] = f"values that aren't listed: {sorted(found[c])}"
+                problems[c] = f"values that aren't listed: {found[c]}"
         return self._with(variables={c: replace(v, usable=c not in problems) for c, v in self.variables.items()}), problems
 
     # -- editing ----------------------------------------------------------------------------
@@ -166,15 +205,7 @@ class Survey:
             else:
                 m = {x: k for k, x in enumerate(mapping, 1)}
             columns[c] = _mapped(F.col(c), m, self.df.schema[c].dataType)
-
-            def merge(values: Mapping[Any, str], m: Mapping[Any, Any] = m) -> dict[Any, str]:
-                out: dict[Any, str] = {}
-                for x, label in values.items():
-                    y = m.get(x, x)
-                    out[y] = f"{out[y]} | {label}" if y in out and combine_labels else out.get(y, label)
-                return out
-
-            variables[c] = replace(v, valid=merge(v.valid), invalid=merge(v.invalid), type=change_type_to or v.type).sorted()
+            variables[c] = replace(v.replace_values(m, combine_labels), type=change_type_to or v.type)
         return self._with(self.df.withColumns(columns), variables)
 
     def _edit(self, selection: Any, change: Callable[[Variable, int], Variable]) -> Survey:
@@ -193,7 +224,7 @@ class Survey:
         return self._edit(selection, lambda v, k: replace(v, type=type_name(kind if isinstance(kind, str) else kind[k])))
 
     def set_values(self, selection: Any, valid: Mapping[Any, str] | None = None, invalid: Mapping[Any, str] | None = None) -> Survey:
-        return self._edit(selection, lambda v, k: replace(v, valid=dict(v.valid if valid is None else valid), invalid=dict(v.invalid if invalid is None else invalid)).sorted())
+        return self._edit(selection, lambda v, k: v.set_values(valid, invalid))
 
     def rename(self, names: Mapping[str, str]) -> Survey:
         new = {names.get(c, c): replace(v, name=names.get(c, c)) for c, v in self.variables.items()}
@@ -313,27 +344,43 @@ def _interval(op: str, x: Any) -> IntervalUnion:
     return IntervalUnion.of(x, inf, op == ">=") if op in (">", ">=") else IntervalUnion.of(-inf, x, False, op == "<=")
 
 
-def typical_answers(survey: Survey, features: Sequence[ft.Feature], matrix: np.ndarray, levels: Sequence[int], only_affected: bool = True, labels: bool = False) -> list[dict[str, str]]:
+def typical_answers(
+    survey: Survey, features: Sequence[ft.Feature], matrix: np.ndarray, levels: Sequence[int], only_affected: bool = True, labels: bool = False,
+    selection: Any = None, extract_const: bool = False, only_max_level: bool = False,
+) -> list[dict[str, str]] | tuple[list[dict[str, str]], dict[str, str]]:
     """For each accord the remaining values of each variable, as text; corners have no single
-    variable and say nothing here."""
+    variable and say nothing here. ``only_affected``: only variables that some feature in use is
+    about. ``selection``: only these variables. ``only_max_level``: only accords with a side of
+    every feature in use. ``extract_const``: also, apart, the answers that all accords share."""
+    matrix = np.asarray(matrix)
+    if only_max_level and matrix.size:
+        matrix = matrix[matrix[:, -1] != 0]
+    infos = [features[f].info for f in list(levels)[: matrix.shape[1] if matrix.ndim == 2 else 0]]
+    infos = [i if isinstance(i, tuple) and len(i) == 3 and i[0] in survey.variables else None for i in infos]
+    names = survey.select(selection)
+    if only_affected:
+        used = {i[0] for i in infos if i}
+        names = [c for c in names if c in used]
     out = []
     for row in matrix:
-        by: dict[str, list[tuple[str, Any]]] = {} if only_affected else {c: [] for c in survey.columns}
-        for level, s in enumerate(row):
-            info = features[levels[level]].info
-            if s and isinstance(info, tuple) and len(info) == 3 and info[0] in survey.variables:
+        by: dict[str, list[tuple[str, Any]]] = {c: [] for c in names}
+        for info, s in zip(infos, row, strict=False):
+            if s and info and info[0] in by:
                 c, op, x = info
-                by.setdefault(c, []).append((op if s > 0 else ft.INVERSE[op], x))
+                by[c].append((op if s > 0 else ft.INVERSE[op], x))
         answers = {}
         for c, found in by.items():
             rest = possible_values(survey.variables[c], found)
             if isinstance(rest, set):
-                names = survey.variables[c].valid
-                answers[c] = ", ".join(str(names.get(x, x)) if labels else str(x) for x in sorted(rest, key=str))
+                known = survey.variables[c].valid
+                answers[c] = ", ".join(str(known.get(x, x)) if labels else str(x) for x in sorted(rest, key=str))
             else:
                 answers[c] = str(rest)
-        out.append(answers)
-    return out
+        out.append({f"{survey.variables[c].label or c}[{c}]": x for c, x in answers.items()} if labels else answers)
+    if not extract_const:
+        return out
+    const = {c: x for c, x in (out[0] if out else {}).items() if all(a[c] == x for a in out)}
+    return [{c: x for c, x in a.items() if c not in const} for a in out], const
 
 
 def explain(feature: ft.Feature, side: int, known: Mapping[str, ft.Feature]) -> list[list[tuple[str, str, Any]]]:
@@ -349,21 +396,63 @@ def explain(feature: ft.Feature, side: int, known: Mapping[str, ft.Feature]) ->
 
 
 class SurveyAccords:
-    """A search over a survey that can be asked again with another agreement."""
-
-    def __init__(self, survey: Survey, agreement: float, selection: Any = None, invalid: str = "both", order: str = "O2", max_features: int | None = None) -> None:
+    """A search over a survey that can be asked again with another agreement.
+
+    ``features``: ready ones instead of those of ``factory`` (a function of the survey; default:
+    ``Survey.features`` with ``invalid``). ``order``: the name of an order, a function of a table
+    and its features, positions in a row, or None (as listed; with ``similarity`` by cut weight).
+    Orders of graphs need ``similarity``, edges between respondents; without it the cosines of the
+    numeric answers are taken, from 0.25 on and for at most 50 neighbours each. ``uncross``: make
+    efficient distinguishers nested; needs an order with a name or a function."""
+
+    def __init__(
+        self, survey: Survey, agreement: float, selection: Any = None, invalid: str = "both", order: Any = "O2", max_features: int | None = None,
+        features: Sequence[ft.Feature] | None = None, factory: Callable[[Survey], Sequence[ft.Feature]] | None = None,
+        similarity: DataFrame | None = None, uncross: bool = False,
+    ) -> None:
         from ..plans.search import search
-        from .orders import create_order
+        from ..plans.uncross import search_uncrossed
+        from .orders import create_order, works_on_features
 
-        self.survey, self.agreement = survey, agreement
-        self.features = survey.features(selection, invalid)
+        self.survey, self.agreement, self.similarity = survey, agreement, similarity
+        if features is None:
+            features = factory(survey) if factory else survey.features(selection, invalid)
+        self.features = list(features)
         self.names = [f"f{i}" for i in range(len(self.features))]
-        table = ft.matrix(survey.df, [f.named(n) for f, n in zip(self.features, self.names, strict=True)], survey.id_col).cache()
-        self.search = search(table, self.names, agreement, max_features, create_order(order))
-
-    def change_agreement(self, agreement: float) -> None:
-        """Higher ones read the same tree; lower ones resume the search."""
-        if agreement <= self.search.tree.limit():
+        table = ft.matrix(survey.df, [f.named(n) for f, n in zip(self.features, self.names, strict=True)], survey.id_col)
+        table = stored(table, "features")
+        if order is None and similarity is not None:
+            order = "cut"
+        if isinstance(order, str):
+            if not works_on_features(order) and self.similarity is None:
+                self.similarity = self._cosines()
+            ranked = create_order(order, self.similarity, survey.id_col)
+        else:
+            ranked = order
+        self.uncrossed = uncross
+        if uncross:
+            if not callable(ranked):
+                raise ValueError("uncrossing needs an order function")
+            self.search = search_uncrossed(table, self.names, agreement, order if isinstance(order, str) else ranked, max_features, self.similarity, survey.id_col)
+        else:
+            self.search = search(table, self.names, agreement, max_features, ranked)
+        self.table = table
+
+    def _cosines(self) -> DataFrame:
+        s = self.survey
+        numbers = [c for c in s.columns if isinstance(s.df.schema[c].dataType, T.NumericType)]
+        if not numbers:
+            raise ValueError("an order of a graph needs edges: no answer is a number")
+        vector = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numbers])
+        most = min(max(s.df.count() // 5, 1), 50)
+        return stored(cosine_similarity(s.df.select(s.id_col, vector.alias("v")), "v", 0.25, most, id_col=s.id_col), "similarity")
+
+    def change_agreement(self, agreement: float, force: bool = True) -> None:
+        """Higher ones read the same tree; lower ones resume the search, or are an error without
+        ``force``."""
+        if agreement <= self.lower_bound():
+            if not force:
+                raise ValueError(f"below {self.lower_bound()} the search has to be resumed")
             self.search.lower_agreement(agreement)
         self.agreement = agreement
 
@@ -371,13 +460,23 @@ class SurveyAccords:
         """From above this agreement on the tree answers without a search."""
         return self.search.tree.limit()
 
-    def save(self, folder: str) -> None:
-        """The tree, the features' columns and what they say."""
+    def save(self, folder: str | None = None, timestamp: bool = False) -> str:
+        """The tree, the features' columns and what they say; returns the folder (default
+        ``survey.accords``, with the time if asked for). Corners of an uncrossed search are made
+        anew, so such a search isn't saved."""
+        from datetime import datetime
+
+        folder = folder or "survey.accords"
+        if timestamp:
+            folder = f"{folder}-{datetime.now():%Y%m%d-%H%M%S}"
+        if self.uncrossed:
+            raise ValueError("an uncrossed search is searched again, not saved")
         spark = self.survey.df.sparkSession
         self.search.tree.save(spark, f"{folder}/tree")
-        self.search.df.write.mode("overwrite").parquet(f"{folder}/features")
+        self.table.write.mode("overwrite").parquet(f"{folder}/features")
         rows = [(k, f.name, repr(f.info), float(self.agreement)) for k, f in enumerate(self.features)]
         spark.createDataFrame(rows, "feature int, name string, info string, agreement double").write.mode("overwrite").parquet(f"{folder}/meta")
+        return folder
 
     @staticmethod
     def load(survey: Survey, folder: str) -> SurveyAccords:
@@ -390,24 +489,51 @@ class SurveyAccords:
         spark = survey.df.sparkSession
         out = SurveyAccords.__new__(SurveyAccords)
         meta = spark.read.parquet(f"{folder}/meta").orderBy("feature").collect()
-        out.survey, out.agreement = survey, meta[0]["agreement"] if meta else 0
+        out.survey, out.agreement, out.similarity, out.uncrossed = survey, meta[0]["agreement"] if meta else 0, None, False
         out.names = [f"f{r['feature']}" for r in meta]
         out.features = [ft.Feature(r["name"], F.col(n), literal_eval(r["info"])) for r, n in zip(meta, out.names, strict=True)]
-        out.search = Search(spark.read.parquet(f"{folder}/features"), out.names)
+        out.table = spark.read.parquet(f"{folder}/features")
+        out.search = Search(out.table, out.names)
         out.search.sweep.tree = AccordTree.load(spark, f"{folder}/tree")
         return out
 
-    def matrix(self, remove_prefixes: bool = False) -> np.ndarray:
+    def matrix(self, remove_prefixes: bool = False, remove_duplicates: bool = False) -> np.ndarray:
+        """A row for each accord, a column for each feature in use (without the corners that
+        uncrossing made)."""
         from .analysis import without_prefixes
 
-        m = self.search.matrix(self.agreement)
+        m = self.search.matrix(self.agreement, only_first=True) if self.uncrossed else self.search.matrix(self.agreement)
+        if remove_duplicates and len(m):
+            m = m[np.sort(np.unique(m, axis=0, return_index=True)[1])]
         return without_prefixes(m) if remove_prefixes else m
 
-    def metadata(self) -> list[Any]:
-        return [self.features[f].info for f in self.search.tree.features]
+    def levels(self) -> list[int]:
+        """The feature of each column of the matrix."""
+        found = self.search.tree.features
+        return [f for f in found if f in self.search.first] if self.uncrossed else list(found)
+
+    def specified(self) -> list[int]:
+        """Features of which some accord has a side."""
+        m = self.matrix()
+        return [f for k, f in enumerate(self.levels()) if k < m.shape[1] and (m[:, k] != 0).any()]
 
-    def typical_answers(self, only_affected: bool = True, labels: bool = False) -> list[dict[str, str]]:
-        return typical_answers(self.survey, self.features, self.matrix(), self.search.tree.features, only_affected, labels)
+    def metadata(self) -> list[Any]:
+        """What each column of the matrix says."""
+        return [self.features[f].info for f in self.levels()]
+
+    def metadata_table(self) -> DataFrame:
+        """``level, feature, variable, operator, value`` of the features in use, by levels."""
+        rows = []
+        for k, f in enumerate(self.levels()):
+            info = self.features[f].info
+            known = info if isinstance(info, tuple) and len(info) == 3 else (None, None, None)
+            rows.append((k, f, *[None if x is None else str(x) for x in known]))
+        return self.survey.df.sparkSession.createDataFrame(rows, "level int, feature int, variable string, operator string, value string")
+
+    def typical_answers(
+        self, only_affected: bool = True, labels: bool = False, selection: Any = None, extract_const: bool = False, only_max_level: bool = False
+    ) -> list[dict[str, str]] | tuple[list[dict[str, str]], dict[str, str]]:
+        return typical_answers(self.survey, self.features, self.matrix(), self.levels(), only_affected, labels, selection, extract_const, only_max_level)
 
     def explain_feature(self, feature: int, side: int = 1) -> list[list[tuple[str, str, Any]]]:
         return explain(self.features[feature], side, {f.name: f for f in self.features})

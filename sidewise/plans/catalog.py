@@ -20,8 +20,9 @@ SQL: dict[str, str] = {}
 NAMES = [f"f{i}" for i in range(6)]
 #: Six features of line items, as conditions that Spark and DuckDB read alike.
 CONDITIONS = ["l_quantity >= 26", "l_extendedprice >= 50000", "l_discount >= 0.05", "l_tax >= 0.04", "l_returnflag = 'R'", "l_linestatus = 'O'"]
+#: A line item's number in its file is its id; several files stand in the order of their names.
 _ITEMS = ", ".join(f"CASE WHEN {c} THEN 1 ELSE -1 END AS f{i}" for i, c in enumerate(CONDITIONS))
-ITEMS = f"f AS (SELECT l_orderkey * 10 + l_linenumber AS pid, l_shipdate, {_ITEMS} FROM lineitem)"
+ITEMS = f"f AS (SELECT row_number() OVER () - 1 AS pid, l_shipdate, {_ITEMS} FROM lineitem)"
 PAIRS = [(i, j) for i in range(6) for j in range(i + 1, 6)]
 LONG = "u AS (" + " UNION ALL ".join(f"SELECT pid, {i} AS feature, f{i} AS v FROM f" for i in range(6)) + ")"
 #: Least number of rows that three sides share, as a share of all; and its SQL.
@@ -42,9 +43,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_ids(df: DataFrame) -> DataFrame:
+    """``pid``: the number of a row in its file, the same at each reading. Several files, which
+    then are few, stand in the order of their names."""
+    files = sorted(df.inputFiles())
+    number = F.col("_metadata.row_index")
+    if len(files) > 1:
+        place = F.create_map(*[F.lit(x) for k, f in enumerate(files) for x in (f.rsplit("/", 1)[-1], k)])
+        number = number + place[F.col("_metadata.file_name")].cast("long") * F.lit(1 << 40)
+    return df.withColumn("pid", number)
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = [features.side(F.expr(c)).alias(n) for c, n in zip(CONDITIONS, NAMES, strict=True)]
-    return read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pid"), "l_shipdate", *sides)
+    return row_ids(read(spark, sf_dir, "lineitem")).select("pid", "l_shipdate", *sides)
 
 
 def _positive(df: DataFrame, found: list[features.Feature], by_name: bool = True) -> DataFrame:

@@ -19,10 +19,12 @@ from .tree import AccordTree, Node, Side
 
 
 class Order:
-    """Whether an oriented side lies below another, from one contingency of all pairs."""
+    """Whether an oriented side lies below another, from one contingency of all pairs; of real
+    features, whether its values are nowhere above the other's."""
 
-    def __init__(self, df: DataFrame, names: Sequence[str]) -> None:
-        rows = counts.comparable(df, names).collect() if len(names) > 1 else []
+    def __init__(self, df: DataFrame, names: Sequence[str], real: bool = False) -> None:
+        find = counts.comparable_values if real else counts.comparable
+        rows = find(df, names).collect() if len(names) > 1 else []
         self.table = {((r["i"], r["oi"]), (r["j"], r["oj"])): r["le"] for r in rows}
 
     def __call__(self, a: Side, b: Side) -> bool:
@@ -135,7 +137,7 @@ class Search:
     def __init__(self, df: DataFrame, names: Sequence[str], real: bool = False, size: int = 3) -> None:
         self.df, self.names = df, list(names)
         self.counter = counts.Counter(df, names, real)
-        self.sweep = Sweep(self.counter, Order(df, names), size=size)
+        self.sweep = Sweep(self.counter, Order(df, names, real), size=size)
 
     @property
     def tree(self) -> AccordTree:

@@ -137,9 +137,9 @@ class AccordTree:
         return [sum(n.agreement >= agreement for n in level) for level in self.levels()]
 
     def height(self, agreement: float) -> int:
-        """The deepest level with a node from ``agreement`` on; -1 if there is none."""
+        """The deepest level with a node from ``agreement`` on; 0 if there is none."""
         sizes = self.level_sizes(agreement)
-        return max((k for k, n in enumerate(sizes) if n), default=-1)
+        return max((k for k, n in enumerate(sizes) if n), default=0)
 
     def limit(self) -> float:
         """The largest agreement of a node above the last level that wasn't extended: below and
@@ -150,7 +150,8 @@ class AccordTree:
     # -- readers ----------------------------------------------------------------------------
     def maximal(self, agreement: float, max_level: int | None = None, include_splitting: str = "no") -> list[Node]:
         """Nodes from ``agreement`` on that no child continues, from the top down. With "nodes"
-        also those with two such children; with "levels" every node of a level that has one."""
+        also those with two such children; with "levels" every node of a level on which some node
+        has none or two."""
         if include_splitting not in ("no", "nodes", "levels"):
             raise ValueError(include_splitting)
         out: list[Node] = []
@@ -158,7 +159,7 @@ class AccordTree:
         for k, level in enumerate(self.levels(depth)):
             fine = [n for n in level if n.agreement >= agreement]
             alive = {id(n): sum(c.agreement >= agreement for c in n.children.values()) if k < depth else 0 for n in fine}
-            if include_splitting == "levels" and any(alive[id(n)] == 2 for n in fine):
+            if include_splitting == "levels" and any(alive[id(n)] != 1 for n in fine):
                 out += fine
             else:
                 out += [n for n in fine if alive[id(n)] == 0 or include_splitting == "nodes" and alive[id(n)] == 2]

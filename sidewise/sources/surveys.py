@@ -43,10 +43,42 @@ class Variable:
         i = {k: x for k, x in {**(invalid or {}), **self.invalid}.items() if k not in v}
         return replace(self, valid=v, invalid=i).sorted()
 
+    def set_values(self, valid: Mapping[Any, str] | None = None, invalid: Mapping[Any, str] | None = None) -> Variable:
+        """Lists in place of those there are; a value is on one list only."""
+        v = dict(self.valid if valid is None else valid)
+        i = {k: x for k, x in (self.invalid if invalid is None else invalid).items() if k not in v}
+        return replace(self, valid=v, invalid=i).sorted()
+
+    def replace_values(self, mapping: Mapping[Any, Any], combine_labels: bool = True) -> Variable:
+        """Values under other names; labels of values that become one are joined, or the first
+        stays."""
+
+        def merge(values: Mapping[Any, str]) -> dict[Any, str]:
+            out: dict[Any, str] = {}
+            for x, label in values.items():
+                y = mapping.get(x, x)
+                out[y] = f"{out[y]} | {label}" if y in out and combine_labels else out.get(y, label)
+            return out
+
+        return replace(self, valid=merge(self.valid), invalid=merge(self.invalid)).sorted()
+
     def with_labels(self, labels: Mapping[Any, str]) -> Variable:
         new = lambda m: {k: labels.get(k, x) for k, x in m.items()}
         return replace(self, valid=new(self.valid), invalid=new(self.invalid))
 
+    def all_values(self) -> list[Any]:
+        return [*self.valid, *self.invalid]
+
+    def allows(self, op: str) -> bool:
+        """Whether a constraint with this operator makes sense for the measurement level."""
+        kind = type_name(self.type)
+        return op in ("==", "!=") or op in ("<", "<=", ">", ">=") and kind in ("ordinal", "numeric") or op in ("in", "not in") and kind == "numeric"
+
+    def row(self) -> tuple:
+        """Name, type, label and both lists as JSON."""
+        text = lambda m: json.dumps({str(k): v for k, v in m.items()})
+        return (self.name, self.type, self.label, text(self.valid), text(self.invalid))
+
 
 def resolve(columns: Sequence[str], selection: Any = None, variables: Mapping[str, Variable] | None = None) -> list[str]:
     """Columns by None (all), position, name, slice, list of these, mask, or a function of the
@@ -99,8 +131,7 @@ def load(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, dict[s
 def save(data: DataFrame, variables: Mapping[str, Variable], folder: str, name: str) -> None:
     """The same as two folders of CSV parts."""
     data.write.mode("overwrite").csv(f"{folder}/{name}_data.csv", header=True, escape='"')
-    text = lambda m: json.dumps({str(k): v for k, v in m.items()})
-    rows = [(v.name, v.type, v.label, text(v.valid), text(v.invalid)) for v in variables.values()]
+    rows = [v.row() for v in variables.values()]
     info = data.sparkSession.createDataFrame(rows, "name string, type string, label string, valid_values string, invalid_values string")
     info.coalesce(1).write.mode("overwrite").csv(f"{folder}/{name}_varinfo.csv", header=True, escape='"')
 

@@ -77,7 +77,7 @@ def test_search_orders_inserts_and_resumes(random_sides):
     lowered.tree.features[:] = list(range(6))
     lowered.lower_agreement(3)
     assert lowered.tree.pruned(3).is_part_of(whole.tree.pruned(3))
-    assert whole.tree.level_sizes(3)[0] == 1 and whole.tree.height(41) == -1
+    assert whole.tree.level_sizes(3)[0] == 1 and whole.tree.height(41) == 0
     assert whole.tree.limit() < 3 or whole.tree.limit() == 0 or whole.tree.limit() <= 3
     assert len(whole.sweep.greedy(2, 3)) <= 4
 
@@ -117,13 +117,53 @@ def test_tree_readers_and_storage(spark, random_sides, tmp_path):
 
 
 def test_certificate(spark, random_sides):
-    _, names, df = random_sides
+    """Every leaf's reason has too few rows, its sides are chosen on the path, and what is
+    irreducible still covers every path."""
+    values, names, df = random_sides
     found = search.search(df, names, 12)
-    if found.tree.maximal(12) and found.tree.height(12) < 6:
-        cert = search.Certificate.create(found.sweep, 12)
-        small = cert.irreducible()
-        assert small.needs() <= cert.needs()
-        assert len(small.features()) <= len(cert.features())
+    assert found.tree.height(12) < 6
+    cert = search.Certificate.create(found.sweep, 12)
+
+    def leaves(c, chosen=frozenset()):
+        if not c.children:
+            yield c, chosen
+        for s, child in c.children.items():
+            yield from leaves(child, chosen | {(c.feature, s)})
+
+    for c in (cert, cert.irreducible()):
+        seen = 0
+        for leaf, chosen in leaves(c):
+            assert leaf.reason <= chosen and len(leaf.reason) <= 3
+            assert int(np.all([values[:, f] * o > 0 for f, o in leaf.reason], axis=0).sum()) < 12
+            seen += 2.0 ** -len(chosen)
+        assert seen == 1  # every choice of sides ends at one leaf
+    assert cert.irreducible().needs() <= cert.needs()
+    assert len(cert.irreducible().features()) <= len(cert.features())
+
+
+def test_levels_of_maximal_nodes(spark, random_sides):
+    _, names, df = random_sides
+    tree = search.search(df, names, 4).tree
+    alive = lambda n: sum(c.agreement >= 4 for c in n.children.values())
+    levels = [[n for n in level if n.agreement >= 4] for level in tree.levels()]
+    want = [n.path for level in levels for n in level if any(alive(m) != 1 for m in level)]
+    assert [n.path for n in tree.maximal(4, include_splitting="levels")] == want
+    assert [n.path for n in tree.maximal(4, include_splitting="nodes")] == [n.path for level in levels for n in level if alive(n) != 1]
+    assert all(len(n.path) <= 2 for n in tree.maximal(4, 2)) and {n.path for n in tree.maximal(4, 2)} >= {n.path for n in levels[2]}
+
+
+def test_order_of_real_features(spark):
+    df = table(spark, [[3.0, 1.0, -3.0], [-1.0, -2.0, 1.0]], ["a", "b", "c"])
+    below = search.Order(df, ["a", "b", "c"], real=True)
+    values = {0: [3, -1], 1: [1, -2], 2: [-3, 1]}
+    for i in range(3):
+        for j in range(3):
+            for oi in (-1, 1):
+                for oj in (-1, 1):
+                    if i != j:
+                        assert below((i, oi), (j, oj)) == all(oi * x <= oj * y for x, y in zip(values[i], values[j], strict=True))
+    found = search.search(df, ["a", "b", "c"], 0.5, real=True)
+    assert problems(found.tree, found.counter, found.sweep.below) == []
 
 
 def test_guided(spark):
@@ -163,7 +203,52 @@ def test_corners_and_identity(spark, random_sides):
     assert corners.lookup(more, names, ["g", "f2"]) == [(1, -1), (2, 1)]
     assert corners.lookup(df.withColumn("h", F.lit(1)), names, ["h"]) == [(-1, 1)]
     some = corners.corner_features(df, base, 8, order=orders.order_balance, max_order_factor=1.0)
-    assert all("inf" in f.name for f in some)
+    lean = lambda c: -abs(int(c.sum()))
+    want = []
+    for a, b in combinations(range(3), 2):
+        for oa, ob in corners.CORNERS:
+            c = np.minimum(values[:, a] * oa, values[:, b] * ob)
+            fits = min((c > 0).sum(), (c < 0).sum()) >= 8 and lean(c) <= max(lean(values[:, a]), lean(values[:, b]))
+            known = any((c == s * values[:, k]).all() for k in range(3) for s in (1, -1)) or any((c == s * w).all() for w, _ in want for s in (1, -1))
+            if fits and not known:
+                want.append((c, f"inf({oa:+d} f{a}, {ob:+d} f{b})"))
+    assert [f.name for f in some] == [name for _, name in want] and want
+
+
+@pytest.mark.parametrize("kind", ["atoms", "table"])
+def test_uncrossing_on_atoms_and_tables(spark, kind):
+    r = np.random.default_rng(3)
+    values = np.where(r.random((120, 4)) < 0.5, -1, 1)
+    values[:60, :2] = np.where(r.random((60, 2)) < 0.9, 1, -1)
+    values[60:, :2] = np.where(r.random((60, 2)) < 0.9, -1, 1)
+    names = [f"f{i}" for i in range(4)]
+    df = table(spark, values.tolist(), names)
+    found = uncross.search_uncrossed(df, names, 8, "O1", max_atoms=1000 if kind == "atoms" else 1)
+    assert isinstance(found.system, uncross.AtomSystem if kind == "atoms" else uncross.TableSystem)
+    whole = uncross.search_uncrossed(df, names, 8)
+    assert [found.order_of(f) for f in found.tree.features] == whole.orders()
+    assert {n.path for n in found.tree.maximal(8)} == {n.path for n in whole.tree.maximal(8)}
+    assert found.crossing() is None or found.messages
+    pairs = [found.tree.distinguishers(8)]
+    if not found.messages:
+        assert all(found.system.nested(a, b) for ids in pairs for a, b in combinations(ids, 2))
+        assert found.tree_of_accords().is_tree()
+    least = whole.tree.limit()
+    whole.sweep_one()
+    assert whole.tree.limit() <= least and set(whole.oriented()) <= set(whole.tree.features)
+    every = uncross.search_uncrossed(df, names, 8, choose=uncross.all_fitting)
+    assert every.crossing() is None or every.messages
+
+
+def test_uncrossing_by_a_graph_order(spark):
+    names = list("abc")
+    points = table(spark, [[1, 1, -1], [1, -1, -1], [1, -1, 1], [-1, -1, 1], [-1, 1, 1], [-1, 1, -1]], names)
+    ring = [(i, (i + 1) % 6) for i in range(6)]
+    edges = spark.createDataFrame([(x, y, 1.0) for p in ring for x, y in (p, p[::-1])], "src long, dst long, w double")
+    found = uncross.search_uncrossed(points, names, 1, "cut", edges=edges)
+    cut = lambda f: values_of(orders.cut_weight(edges, found.system.df.select("pid", found.system.columns[f].alias("x")), ["x"]))[0]
+    assert found.orders() == [cut(f) for f in found.tree.features]
+    assert found.orders() == sorted(found.orders())
 
 
 def test_uncrossing_gives_a_tree(spark):
@@ -175,14 +260,13 @@ def test_uncrossing_gives_a_tree(spark):
     named = [f.named(f"f{i}") for i, f in enumerate(found)]
     wide = features.matrix(df, named)
     result = uncross.search_uncrossed(wide, [f.name for f in named], 15)
-    assert result.crossing() is None or result.messages
+    assert result.crossing() is None and not result.messages
     assert len(result.tree.maximal(15)) >= 4
     graph = result.tree_of_accords(15)
-    if not result.messages:
-        assert graph.is_tree()
-        a, b = graph.split(0)
-        assert a | b == set(range(len(graph.matrix))) and not a & b
-        assert graph.shortest_path(0, len(graph.matrix) - 1)[0] == 0 and graph.max_degree() >= 1
+    assert graph.is_tree()
+    a, b = graph.split(0)
+    assert a | b == set(range(len(graph.matrix))) and not a & b
+    assert graph.shortest_path(0, len(graph.matrix) - 1)[0] == 0 and graph.max_degree() >= 1
 
 
 # -- orders ----------------------------------------------------------------------------------
@@ -201,6 +285,11 @@ def test_cuts_on_a_path(spark):
     assert values_of(orders.matrix_order(lap, points, names)) == [8, 8, 4, 0]
     change = {r["pid"]: r["change"] for r in orders.discrete_derivative(edges, points, "c").collect()}
     assert change == {0: 0.0, 1: -1.0, 2: 1.0}
+    for kind, f in (("ratio", orders.ratio_cut), ("normalised", orders.normalised_cut)):
+        found = {r["pid"]: r["change"] for r in orders.discrete_derivative(edges, points, "c", kind=kind).collect()}
+        for p in range(3):
+            moved = points.withColumn("c", F.when(F.col("pid") == p, -F.col("c")).otherwise(F.col("c")))
+            assert found[p] == pytest.approx(values_of(f(edges, moved, ["c"]))[0] - values_of(f(edges, points, ["c"]))[0])
     best = graphs.minimize_order(edges, points, "c")
     assert best.select(F.sum("c")).first()[0] in (-3, 3)
 
@@ -222,8 +311,19 @@ def test_pair_orders_against_loops(random_sides):
         assert values_of(orders.create_order(k)(df, names)) == v
     with pytest.raises(ValueError, match="unknown"):
         orders.works_on_features("O99")
-    rank = sorted(r["rank"] for r in orders.injective_rank(df, names, orders.order_balance(df, names)).collect())
-    assert rank == list(range(6))
+
+
+def test_injective_rank_by_brute_force(spark):
+    r = np.random.default_rng(12)
+    values = np.where(r.random((8, 7)) < 0.5, -1, 1)
+    values[:, 6] = -values[:, 2]  # equal up to sign: by position
+    names = [f"f{i}" for i in range(7)]
+    df = table(spark, values.tolist(), names)
+    for order, value in ((orders.order_balance, lambda c: -abs(int(c.sum()))), (lambda d, n: orders.order_balance(d, n).withColumn("value", F.lit(0.5)), lambda c: 0.5)):
+        key = lambda k: (round(value(values[:, k]), 10), -abs(int(values[:, k].sum())), tuple((-values[:, k] * values[0, k])[::-1]), k)  # noqa: B023, E731
+        want = sorted(range(7), key=key)
+        found = orders.injective_rank(df, names, order(df, names)).collect()
+        assert [x["feature"] for x in sorted(found, key=lambda x: x["rank"])] == want
 
 
 def test_numeric_orders(spark, random_sides):
@@ -234,6 +334,26 @@ def test_numeric_orders(spark, random_sides):
     order = orders.SpectralOrder(both, ["x", "y", "z"], variance_explained=2.0)
     want = ((a.T @ values) ** 2).sum(axis=0)
     assert values_of(order.values(both, names)) == pytest.approx(want.tolist())
+    u, s, vt = np.linalg.svd(a, full_matrices=False)
+    for share in (0.5, 0.9):
+        n = int(np.argmax(np.cumsum(s**2) / (s**2).sum() >= share)) or 3
+        part = orders.SpectralOrder(both, ["x", "y", "z"], share, shift=0.25)
+        want = ((u[:, :n].T @ values * s[:n, None]) ** 2).sum(axis=0) + 0.25 * values.sum(axis=0) ** 2
+        assert values_of(part.values(both, names)) == pytest.approx(want.tolist())
+        f = np.array([[1, 1], [-1, 1], [1, -1]])
+        cols = orders.SpectralOrder(both, ["x", "y", "z"], share, mode="cols")
+        want = ((vt[:n] @ f * s[:n, None]) ** 2).sum(axis=0)
+        assert cols.of_columns(f) == pytest.approx(want) and values_of(cols.values(table(spark, f.tolist(), ["g", "h"]), ["g", "h"])) == pytest.approx(want.tolist())
+    dense = a @ a.T + np.eye(40)
+    entries = spark.createDataFrame([(i, j, float(dense[i, j])) for i in range(40) for j in range(40)], "src long, dst long, w double")
+    assert values_of(orders.log_determinant_order(entries, df, names)) == pytest.approx(orders.log_determinant(dense, values).tolist())
+    assert values_of(orders.o_five(entries)(df, names)) == pytest.approx([float(values[:, k] @ dense @ values[:, k]) for k in range(6)])
+    scores = graphs.pca_features(both, ["x", "y", "z"], 2).orderBy("pid").select("pc0", "pc1").toPandas().to_numpy()
+    signs = np.where(vt[:2].T >= 0, 1.0, -1.0)
+    assert scores == pytest.approx(a @ (signs * signs[:1]))
+    sides = graphs.pca_features(both, ["x", "y", "z"], 2, use_j=True).orderBy("pid").select("pc0", "pc1").toPandas().to_numpy()
+    left = np.where(u[:, :2] >= 0, 1, -1)
+    assert (sides == left * left[:1]).all()
     m = a.T @ a + np.eye(3)
     f = np.array([[1], [1], [-1]])
     assert orders.log_determinant(m, f)[0] == pytest.approx(np.linalg.slogdet(m[:2, :2])[1] + math.log(m[2, 2]))
@@ -252,6 +372,24 @@ def test_entropies(spark):
     assert entropy.split_information(df, [(["a"], ["b"])], joint=False) == pytest.approx([math.log(2)])
 
 
+def test_exact_quantiles(spark):
+    from sidewise.functions import ordering
+
+    r = np.random.default_rng(2)
+    columns = {"a": r.normal(size=3001) ** 3 * 1e6, "b": r.integers(0, 3, 3001).astype(float), "c": np.full(3001, 7.0)}
+    rows = [(k, *[None if k % 10 == 0 else float(v[k]) for v in columns.values()], float("inf") if k > 2000 else float(k), None) for k in range(3001)]
+    df = spark.createDataFrame(rows, "pid long, a double, b double, c double, i double, n double").repartition(5)
+    kept = np.arange(3001) % 10 != 0
+    for q in (0.0, 0.25, 0.5, 0.999, 1.0):
+        found = ordering.quantiles(df, ["a", "b", "c", "n"], q)
+        assert found["n"] is None
+        for c, v in columns.items():
+            assert found[c] == pytest.approx(np.quantile(v[kept], q))
+    assert ordering.quantiles(df, ["i"])["i"] == 1500
+    numbered = {x["pid"]: x["k"] for x in ordering.numbered(df, ["pid"], "k").collect()}
+    assert numbered == {k: k for k in range(3001)}
+
+
 def test_scaling(spark):
     df = table(spark, [[1.0, 656.0], [3.0, 100.0]], ["a", "b"])
     rows = lambda x: [(r["a"], r["b"]) for r in x.orderBy("pid").collect()]
@@ -280,6 +418,31 @@ def test_soft_clusters(spark):
     assert tuple(df.select(*analysis.hard_clusters(m, names)).first()) == (1, 0, 0)
 
 
+def test_clusters_of_rows_on_both_sides(spark):
+    m = np.array([[1, 1, 1, -1, 1, 0], [-1, -1, 1, 1, -1, -1], [-1, -1, -1, 1, -1, 1]], np.int8)
+    names = [f"f{i}" for i in range(6)]
+    rows = [[0] * 6, [1, 0, -1, 0, 1, 1], [-1, 1, 0, 1, 0, 0], [0, -1, 1, -1, 1, -1]]
+
+    def brute(f, soft, tangles=m, at=0):
+        k, parts = analysis.subtrees(tangles)
+        if k is None:
+            return [1.0] * len(tangles)
+        right = tangles[:, k] > 0
+        left = tangles[:, k] < 0
+        turned = tangles * tangles[:, [k]]
+        same = [c for c in range(k, tangles.shape[1]) if abs(turned[:, c].sum()) == len(tangles)]
+        p = np.mean([(f[c] * turned[0, c] + 1) / 2 for c in same]) if soft else int((f[k] + 1) / 2)
+        out = np.ones(len(tangles))
+        out[right] = np.array(brute(f, soft, tangles[right])) * p
+        out[left] = np.array(brute(f, soft, tangles[left])) * (1 - p)
+        return out.tolist()
+
+    df = table(spark, rows, names).orderBy("pid")
+    for soft, columns in ((True, analysis.soft_clusters(m, names)), (False, analysis.hard_clusters(m, names))):
+        for f, r in zip(rows, df.select(*columns).collect(), strict=True):
+            assert list(r) == pytest.approx(brute(f, soft))
+
+
 def test_scores(spark, random_sides):
     _, names, df = random_sides
     accords = spark.createDataFrame([(0, 0, 1), (0, 1, -1), (1, 0, -1)], "accord int, feature int, side int")
@@ -288,6 +451,9 @@ def test_scores(spark, random_sides):
     assert all(r["m"] == 0 and (r["s"] == pytest.approx(1) or r["s"] == 0) for r in sums)
     with pytest.raises(ValueError, match="refer"):
         analysis.accord_scores(df, names, spark.createDataFrame([(0, 9, 1)], "accord int, feature int, side int"))
+    both = analysis.accord_scores(df, names, accords, True, True).groupBy("accord").agg(F.min("score").alias("m"), F.sum("score").alias("s")).collect()
+    assert all(r["m"] == pytest.approx(0) and r["s"] == pytest.approx(1) for r in both)
+    assert analysis.accord_scores(df, names, accords.limit(0)).count() == 0
     assert analysis.location_size(df, [("f0", 1), ("f1", 1)]) == df.where("f0 = 1 AND f1 = 1").count()
 
 
@@ -337,13 +503,25 @@ def test_graphs(spark):
     assert domains == {(2, -1): 2, (0, 1): 0, (1, 1): 0, (3, 1): 3}
     assert graphs.greedy_neighbourhood(graphs.both_ways(chain), [5], 4, take=1) == [5, 4, 3, 2]
     assert graphs.min_cut([(0, 1, 3), (1, 0, 3), (1, 2, 1), (2, 1, 1), (2, 3, 3), (3, 2, 3)], 4, [0], [3]).tolist() == [-1, -1, 1, 1]
-    d = graphs.distances(table(spark, [[[0.0]], [[1.0]], [[1.0]], [[5.0]]], ["v"]), "v")
+    line = table(spark, [[[0.0]], [[1.0]], [[1.0]], [[5.0]]], ["v"])
+    assert {(r["src"], r["dst"]) for r in graphs.knn_graph(line, "v", 1).collect()} == {(0, 1), (1, 2), (2, 1), (3, 1)}
+    assert graphs.knn_graph(line, "v", 1, ties_all=True).count() == 6
+    d = graphs.distances(line, "v")
     knn = {(r["src"], r["dst"]) for r in graphs.nearest_neighbours(d, 1).collect()}
     assert knn == {(0, 1), (1, 2), (2, 1), (3, 1)}
     assert graphs.nearest_neighbours(d, 1, ties_all=True).count() == 6
     assert graphs.epsilon_graph(d, 1.0).count() == 2
     entries = spark.createDataFrame([(0, "a", 1.0), (1, "a", 1.0), (1, "b", 1.0)], "pid long, term string, x double")
     assert graphs.sparse_cosine(entries).first()["w"] == pytest.approx(2**-0.5)
+    r = np.random.default_rng(4)
+    dense = np.where(r.random((40, 12)) < 0.3, r.normal(size=(40, 12)), 0)
+    dense[:, 0] = 1
+    entries = spark.createDataFrame([(i, f"t{j}", float(dense[i, j])) for i in range(40) for j in range(12) if dense[i, j]], "pid long, term string, x double")
+    unit = dense / np.linalg.norm(dense, axis=1, keepdims=True)
+    for least in (0.25, 0.6, 0.95):
+        want = {(i, j): float(unit[i] @ unit[j]) for i in range(40) for j in range(40) if i != j and unit[i] @ unit[j] >= least}
+        found = {(r["src"], r["dst"]): r["w"] for r in graphs.sparse_cosine(entries, least).collect()}
+        assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
     grid = generators.grid_graph(spark, (2, 2), 1)
     pixels = spark.createDataFrame([(0, 0), (1, 0), (2, 9), (3, 9)], "pixel_id long, g int")
     w = {(r["src"], r["dst"]): r["w"] for r in graphs.image_graph(grid, pixels, ["g"], 1, 1).collect()}
@@ -429,6 +607,66 @@ def test_features_mean_what_they_say(survey):
         features.binary_values("a", [1, 2, 3])
 
 
+def test_pairs_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "BLOCK", 16)
+    r = np.random.default_rng(6)
+    x = r.integers(-9, 10, (90, 5)).astype(float)
+    df = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "pid long, v array<double>").repartition(4)
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for metric, want in (("euclidean", far), ("cityblock", np.abs(x[:, None] - x[None]).sum(axis=2)), ("hamming", (x[:, None] != x[None]).mean(axis=2))):
+        found = {(r["src"] // 3, r["dst"] // 3): r["d"] for r in graphs.distances(df, "v", metric).collect()}
+        assert len(found) == 90 * 89 and all(found[i, j] == pytest.approx(want[i, j]) for i, j in found)
+    for k in (1, 4):
+        want = {(i, j) for i in range(90) for j in sorted((j for j in range(90) if j != i), key=lambda j: (far[i, j], j))[:k]}
+        assert {(r["src"] // 3, r["dst"] // 3) for r in graphs.knn_graph(df, "v", k).collect()} == want
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = {(r["src"] // 3, r["dst"] // 3): r["w"] for r in graphs.cosine_similarity(df, "v", 0.6).collect()}
+    want = {(i, j): unit[i] @ unit[j] for i in range(90) for j in range(90) if i != j and unit[i] @ unit[j] >= 0.6}
+    assert found.keys() == want.keys() and all(found[p] == pytest.approx(w) for p, w in want.items())
+
+
+def test_respondents_by_mask_ids_and_function(survey):
+    mask = [k % 3 == 0 for k in range(40)]
+    assert sorted(r["pid"] for r in survey.select_respondents(mask).df.collect()) == list(range(0, 40, 3))
+    assert sorted(r["pid"] for r in survey.select_respondents(np.array([3, 5])).df.collect()) == [3, 5]
+    assert sorted(r["pid"] for r in survey.select_respondents(lambda row: row["nom"] == "x" and row["ord"] == 0).df.collect()) == [0, 20]
+    assert survey.select_respondents(F.col("pid") < 4).df.count() == 4 and survey.select_respondents([]).df.count() == 0
+    with pytest.raises(ValueError, match="marks"):
+        survey.select_respondents([True, False])
+    with pytest.raises(ValueError, match="more than 3 values"):
+        features.distinct_values(survey.df, "pid", most=3)
+
+
+def test_survey_searches_with_options(survey, spark):
+    own = [features.Feature("low", features.side(F.col("ord") <= 2), ("ord", "<=", 2)), features.Feature("x", features.side(F.col("nom") == "x"), ("nom", "==", "x"))]
+    found = surveys.SurveyAccords(survey, 5, features=own, order=[1, 0])
+    assert found.search.tree.features == [1, 0] and found.specified() == [1, 0]
+    assert [tuple(r) for r in found.metadata_table().collect()] == [(0, 1, "nom", "==", "x"), (1, 0, "ord", "<=", "2")]
+    assert surveys.SurveyAccords(survey, 5, factory=lambda s: own, order=None).search.tree.features == [0, 1]
+    graph = surveys.SurveyAccords(survey, 5, features=own, order="cut")
+    cuts = values_of(orders.cut_weight(graph.similarity, graph.table, graph.names))
+    assert graph.search.tree.features == sorted(range(2), key=lambda k: (cuts[k], k))
+    nested = surveys.SurveyAccords(survey, 4, features=own, order="O1", uncross=True)
+    assert nested.matrix().shape[1] == len(nested.levels()) and set(nested.levels()) <= {0, 1}
+    with pytest.raises(ValueError, match="order function"):
+        surveys.SurveyAccords(survey, 4, features=own, order=[0, 1], uncross=True)
+    found = surveys.SurveyAccords(survey, 5, features=own, order=None)
+    with pytest.raises(ValueError, match="resumed"):
+        found.change_agreement(0, force=False)
+    answers, const = found.typical_answers(extract_const=True)
+    assert all(set(const).isdisjoint(a) for a in answers)
+    merged = [{**a, **const} for a in answers]
+    assert merged == found.typical_answers()
+    assert all(set(a) == {"ord"} for a in found.typical_answers(selection="ord"))
+    m = found.matrix()
+    assert len(found.typical_answers(only_max_level=True)) == int((m[:, -1] != 0).sum())
+    assert any(k.startswith("Name[") for a in found.typical_answers(labels=True) for k in a)
+    v = survey.variables["nom"]
+    assert v.set_values({"x": "X"}, {"x": "no", "y": "Y"}).invalid == {"y": "Y"} and v.all_values() == ["x", "y", "z", "?"]
+    assert v.allows("==") and not v.allows("<") and survey.variables["num"].allows("in")
+    assert v.replace_values({"y": "x"}).valid == {"x": "X | Y", "z": "Z"} and v.row()[0] == "nom"
+
+
 def test_typical_answers(survey, tmp_path):
     found = surveys.SurveyAccords(survey, 5)
     assert found.typical_answers() and len(found.metadata()) == len(found.search.tree.features)
