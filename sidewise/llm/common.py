@@ -1,14 +1,14 @@
-"""What the operators of this folder share: inputs, shared folders, running totals."""
+"""What the operators of this folder share: inputs, texts, running totals."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import bounded_batches, release, stored
+
+__all__ = ["bounded_batches", "release", "stored"]
+
 #: White space between words, as bytes and inside a regular expression's brackets.
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 SPACE_CHARS = SPACE_BYTES.decode("ascii")
@@ -17,74 +17,10 @@ WORD = rf"[^{SPACE_CLASS}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NEWLINE = "\n"
 
-#: Bytes of an Arrow batch.
-ARROW_BYTES = 8 << 20
-_ARROW_KEY, _NO_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 28
-
-_written: list[tuple[SparkSession, str]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` where it
-    is set. Where it isn't (a local session, as in tests) a temporary folder is made and set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        sc = spark.sparkContext
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="sidewise-"))
-        folder = sc._jsc.sc().getCheckpointDir().get()
-    return folder.rstrip("/")
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _remove_written() -> None:
-    for spark, folder in _written:
-        try:
-            _delete(spark, folder)
-        except Exception:  # noqa: BLE001  the session has ended; the shared folder's owner cleans up
-            return
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables that ``stored`` wrote and that no later step reads."""
-    for df in tables:
-        _written.remove((df.sparkSession, df._stored_in))
-        _delete(df.sparkSession, df._stored_in)
-
-
-def bounded_batches(spark: SparkSession, most: int = ARROW_BYTES) -> None:
-    """From now on what Spark hands to Python at once is bounded by bytes too, where the session
-    leaves that open."""
-    if int(spark.conf.get(_ARROW_KEY, str(_NO_BOUND))) >= _NO_BOUND:
-        spark.conf.set(_ARROW_KEY, str(most))
-
-
-def stored(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back: lineage ends there,
-    and a lost executor costs only the tasks it was running. Removed when the program ends.
-    ``options`` go to the writer."""
-    spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_remove_written)
-    _written.append((spark, folder))
-    writer = df.write.option("compression", "zstd")
-    writer.options(**(options or {})).parquet(folder)
-    out = spark.read.schema(df.schema).parquet(folder)
-    out._stored_in = folder
-    return out
-
-
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -7,6 +7,7 @@ the library and then looked up. Tests hold the result against encoding whole tex
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -16,6 +17,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from .hashing import chunks
 
@@ -27,7 +29,7 @@ _SIMPLE = re.compile(rf"^([{_LETTERS}]+)([.,!?;:]*)$|^.*$", re.MULTILINE)
 _CUT = re.compile(r"(?<=\S)([ \n])(?=\S)")
 _SPACE = re.compile(r"\s|\A\Z")
 #: Bytes of memory that the memos of a tokenizer take, and those of an entry.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 64 << 20
 ENTRY_BYTES = 250
 #: Bytes of text that are encoded together.
 SLICE_BYTES = 8 << 20
@@ -73,6 +75,15 @@ class Memo(dict):
         self.clear()
 
 
+def _uncached_model(path: str) -> BPE:
+    """A tokenizer's merge model without the library's own cache, which the memo replaces."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)["model"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in told["merges"]]
+    more = {k: told[k] for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if told.get(k)}
+    return BPE(told["vocab"], merges, cache_capacity=0, **more)
+
+
 class CachedEncoder:
     """Token ids of texts, as little-endian unsigned 32-bit integers.
 
@@ -83,7 +94,7 @@ class CachedEncoder:
 
     def __init__(self, name: str, spaces: str, memo_bytes: int = MEMO_BYTES) -> None:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.model = self.tokenizer.model
+        self.model = _uncached_model(public_tokenizers.path(name))
         self.lower = spaces == "drop"
         self.lead = spaces == "lead"
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
@@ -183,11 +194,15 @@ class CachedEncoder:
         bad = np.flatnonzero([x is None for x in values])
         if len(bad):
             values = [b"" if x is None else x for x in values]
-        size = np.array(list(map(len, values)), np.int64) // 4
-        flat, begin = np.frombuffer(b"".join(values), "<u4"), np.cumsum(size) - size
+        size = np.array(list(map(len, values)), np.int32) // 4
+        flat, begin = np.frombuffer(b"".join(values), "<u4"), np.cumsum(size, dtype=np.int32) - size
         n = size[code]
         end = np.cumsum(n)
-        out = flat[np.repeat(begin[code] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+        # 32 bits are enough for the places of a slice, unless a single text is enormous.
+        kind = np.int32 if not len(end) or end[-1] < 1 << 31 else np.int64
+        at = np.repeat((begin[code] - end + n).astype(kind), n)
+        at += np.arange(len(at), dtype=kind)
+        out = flat[at]
         offsets = np.concatenate([[0], end])[first]
         if len(bad):
             uneven = np.add.reduceat(np.isin(code, bad), first[:-1]) > 0 if len(texts) else np.zeros(0, bool)
