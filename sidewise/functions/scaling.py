@@ -39,18 +39,24 @@ def _total(a: Column) -> Column:
 
 
 def standardize_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    n, a = len(columns), _row(columns)
-    mean = _total(a) / n
-    dev = F.sqrt(_total(F.transform(a, lambda x: (x - mean) * (x - mean))) / n)
-    return df.withColumns({c: (F.col(c) - mean) / F.when(dev == 0, 1.0).otherwise(dev) for c in columns})
+    """(x - mean) / population deviation of the row; a deviation of 0 counts as 1."""
+    # In columns of their own: inside a lambda, Spark takes a name for the new column of that name.
+    a, mean, dev = _row(columns), F.col("__mean"), F.col("__dev")
+    out = df.withColumn("__mean", _total(a) / len(columns))
+    out = out.withColumn("__dev", F.sqrt(_total(F.transform(a, lambda x: (x - mean) * (x - mean))) / len(columns)))
+    scaled = {c: (F.col(c) - mean) / F.when(dev == 0, 1.0).otherwise(dev) for c in columns}
+    return out.withColumns(scaled).drop("__mean", "__dev")
 
 
 def balance_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    a, n = F.sort_array(_row(columns)), len(columns)
-    median = (F.get(a, (n - 1) // 2) + F.get(a, n // 2)) / 2
-    return df.withColumns({c: F.col(c) - median for c in columns})
+    """x less the row's median."""
+    n = len(columns)
+    out = df.withColumn("__row", F.sort_array(_row(columns)))
+    median = (F.get("__row", F.lit((n - 1) // 2)) + F.get("__row", F.lit(n // 2))) / 2
+    return out.withColumn("__mid", median).withColumns({c: F.col(c) - F.col("__mid") for c in columns}).drop("__row", "__mid")
 
 
 def unit_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    norm = F.sqrt(_total(F.transform(_row(columns), lambda x: x * x)))
-    return df.withColumns({c: F.try_divide(F.col(c), norm) for c in columns})
+    """x over the row's Euclidean length; null for length 0."""
+    out = df.withColumn("__norm", F.sqrt(_total(F.transform(_row(columns), lambda x: x * x))))
+    return out.withColumns({c: F.try_divide(F.col(c), F.col("__norm")) for c in columns}).drop("__norm")

@@ -241,7 +241,15 @@ def crossing_pairs(spark, sf_dir):  # noqa: ANN001, ANN201
     return counts.crossing_pairs(items(spark, sf_dir), NAMES)
 
 
-@query("unique_columns", "SELECT unnest([0, 1, 2, 0, 2]) AS first, unnest([1, 1, 1, -1, 1]) AS side, unnest(range(5)) AS column")
+_REPEATS = "g AS (SELECT f0 AS c0, f1 AS c1, f2 AS c2, -f0 AS c3, f2 AS c4 FROM f)"
+
+
+@query(
+    "unique_columns",
+    f"WITH {ITEMS}, {_REPEATS}, m AS ("
+    + " UNION ALL ".join(f"SELECT {j} AS k, {i} AS first, bool_and(c{j} = c{i}) AS plus, bool_and(c{j} = -c{i}) AS minus FROM g" for j in range(5) for i in range(j + 1))
+    + "), s AS (SELECT k, min(first) AS first FROM m WHERE plus OR minus GROUP BY k) SELECT CAST(s.k AS BIGINT) AS column, s.first, CASE WHEN plus THEN 1 ELSE -1 END AS side FROM s JOIN m USING (k, first)",
+)
 def unique_columns(spark, sf_dir):  # noqa: ANN001, ANN201
     df = items(spark, sf_dir).withColumn("f6", (-F.col("f0")).cast("tinyint")).withColumn("f7", F.col("f2"))
     found = corners.identify(df, ["f0", "f1", "f2", "f6", "f7"])
@@ -271,7 +279,7 @@ def _bound(df: DataFrame) -> int:
 
 
 def _searched(spark: SparkSession, sf_dir: str) -> tuple[plans.Search, int]:
-    df = items(spark, sf_dir).cache()
+    df = items(spark, sf_dir)
     a = _bound(df)
     return plans.search(df, NAMES, a), a
 
@@ -323,7 +331,7 @@ def level_sizes(spark, sf_dir):  # noqa: ANN001, ANN201
     f"{_tree_sql()} SELECT level, {_PATH} AS path, CAST(agreement AS BIGINT) AS agreement FROM nodes",
 )
 def lowered_agreement(spark, sf_dir):  # noqa: ANN001, ANN201
-    df = items(spark, sf_dir).cache()
+    df = items(spark, sf_dir)
     a = _bound(df)
     found = plans.search(df, NAMES, 1, max_features=0)
     found.tree.features.extend(range(len(NAMES)))
@@ -333,19 +341,22 @@ def lowered_agreement(spark, sf_dir):  # noqa: ANN001, ANN201
     return spark.createDataFrame(rows, "level int, path string, agreement long")
 
 
+_EARLY = "l_shipdate < TIMESTAMP '1997-01-01'"
+_MAJORITY = "maj AS (SELECT " + ", ".join(f"CAST(sign(sum(f{i})) AS INTEGER) AS m{i}" for i in range(6)) + f" FROM f WHERE {_EARLY})"
+
+
 @query(
     "guided_path",
-    f"WITH {ITEMS}, {LONG} SELECT u.feature, sign(sum(v)) AS side FROM u JOIN (SELECT pid AS p FROM f WHERE l_shipdate < TIMESTAMP '1997-01-01' GROUP BY pid) g ON g.p = u.pid GROUP BY u.feature",
+    f"{_tree_sql()}, {_MAJORITY}, w AS (SELECT [" + ", ".join(f"{2 * i} + (m{i} + 1) // 2" for i in range(6)) + "] AS l, list_position([" + ", ".join(f"m{i}" for i in range(6)) + "], 0) AS tie FROM maj) "
+    f"SELECT level, {_PATH} AS path, CAST(agreement AS BIGINT) AS agreement, true AS guiding FROM nodes, w WHERE path = l[1:level] AND level < coalesce(nullif(tie, 0), 7) ORDER BY level DESC LIMIT 1",
 )
 def guided_path(spark, sf_dir):  # noqa: ANN001, ANN201
     df = items(spark, sf_dir)
-    sums = df.where("l_shipdate < TIMESTAMP_NTZ'1997-01-01'").agg(*[F.signum(F.sum(n)).cast("int").alias(n) for n in NAMES])
-    return orders._melt(sums, NAMES).withColumnRenamed("value", "side")
-
-
-SQL["guided_path"] = (
-    f"WITH {ITEMS} " + " UNION ALL ".join(f"SELECT {i} AS feature, CAST(sign(sum(f{i})) AS INTEGER) AS side FROM f WHERE l_shipdate < TIMESTAMP '1997-01-01'" for i in range(6))
-)
+    a = _bound(df)
+    found = plans.search(df, NAMES, a)
+    early = "l_shipdate < TIMESTAMP_NTZ'1997-01-01'"
+    node = plans.guided(found.tree, df, NAMES, early, a)
+    return spark.createDataFrame([(node.level, _text(node.path), int(node.agreement), plans.is_guiding(node, df, NAMES, early))], "level int, path string, agreement long, guiding boolean")
 
 
 # -- orders ----------------------------------------------------------------------------------
@@ -381,45 +392,56 @@ def order_min_side(spark, sf_dir):  # noqa: ANN001, ANN201
     return orders.order_min_side(items(spark, sf_dir), NAMES)
 
 
+#: Features of a row's number that are as balanced as each other, so that rows decide; and two more.
+_TIED = ["pid % 4 < 2", "pid % 2 = 0", "pid % 4 IN (0, 3)", "pid % 8 < 4", "l_quantity >= 26", "NOT (l_quantity >= 26)"]
+_SIDED_BY_ROWS = ", ".join(f"CASE WHEN {c} THEN 1 ELSE -1 END AS f{i}" for i, c in enumerate(_TIED))
+
+
 @query(
     "injective_rank",
-    f"WITH {ITEMS}, {LONG}, o AS (SELECT feature, CAST(-abs(sum(v)) AS DOUBLE) AS value FROM u GROUP BY feature) SELECT feature, value, CAST(row_number() OVER (ORDER BY value, feature) - 1 AS INTEGER) AS rank FROM o",
+    f"WITH t AS (SELECT pid, {_SIDED_BY_ROWS} FROM (SELECT row_number() OVER () - 1 AS pid, l_quantity FROM lineitem)), "
+    "u AS (" + " UNION ALL ".join(f"SELECT pid, {i} AS feature, f{i} AS v FROM t" for i in range(6)) + "), "
+    "k AS (SELECT feature, abs(sum(v)) AS lean, list(v ORDER BY pid DESC) AS l, arg_min(v, pid) AS first FROM u GROUP BY feature) "
+    "SELECT feature, CAST(lean // 8 AS DOUBLE) AS value, CAST(row_number() OVER (ORDER BY lean // 8, lean DESC, list_transform(l, lambda x: -x * first), feature) - 1 AS INTEGER) AS rank FROM k",
 )
 def injective_rank(spark, sf_dir):  # noqa: ANN001, ANN201
-    df = items(spark, sf_dir)
-    return orders.injective_rank(df, NAMES, orders.order_balance(df, NAMES))
-
-
-NATION_FEATURES = ["n0", "n1", "n2"]
-_NATIONS = (
-    "p AS (SELECT n_nationkey AS pid, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE -1 END AS n0, CASE WHEN n_nationkey >= 12 THEN 1 ELSE -1 END AS n1, CASE WHEN n_name < 'NATION_15' THEN 1 ELSE -1 END AS n2 FROM nation), "
-    "e AS (SELECT a.n_nationkey AS src, b.n_nationkey AS dst, CAST(1 + (a.n_nationkey + b.n_nationkey) % 3 AS DOUBLE) AS w FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey), "
+    df = row_ids(read(spark, sf_dir, "lineitem"))
+    df = df.select("pid", *[features.side(F.expr(c)).alias(n) for c, n in zip(_TIED, NAMES, strict=True)])
+    coarse = orders.order_balance(df, NAMES).select("feature", F.floor(-F.col("value") / 8).cast("double").alias("value"))
+    return orders.injective_rank(df, NAMES, coarse)
+
+
+POINT_FEATURES = ["n0", "n1", "n2"]
+#: Customers of one nation whose numbers differ by so much at most are joined.
+REACH = 120
+_CUSTOMERS = (
+    "p AS (SELECT c_custkey AS pid, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE -1 END AS n0, CASE WHEN c_acctbal >= 4000 THEN 1 ELSE -1 END AS n1, CASE WHEN c_mktsegment < 'FURN' THEN 1 ELSE -1 END AS n2 FROM customer), "
+    "e AS (SELECT a.c_custkey AS src, b.c_custkey AS dst, CAST(1 + (a.c_custkey + b.c_custkey) % 3 AS DOUBLE) AS w FROM customer a JOIN customer b "
+    f"ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey AND abs(a.c_custkey - b.c_custkey) <= {REACH}), "
     "j AS (SELECT w, s.pid AS src, d.pid AS dst, s.n0 AS s0, d.n0 AS d0, s.n1 AS s1, d.n1 AS d1, s.n2 AS s2, d.n2 AS d2 FROM e JOIN p s ON s.pid = e.src JOIN p d ON d.pid = e.dst), "
     "h AS (SELECT p.pid, n0, n1, n2, coalesce(sum(w), 0) AS deg FROM p LEFT JOIN e ON e.src = p.pid GROUP BY ALL)"
 )
 
 
-def nation_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    n = read(spark, sf_dir, "nation")
-    side = features.side
-    points = n.select(
-        F.col("n_nationkey").alias("pid"), side(F.col("n_nationkey") % 2 == 0).alias("n0"), side(F.col("n_nationkey") >= 12).alias("n1"), side(F.col("n_name") < "NATION_15").alias("n2")
-    )
-    a, b = n.alias("a"), n.alias("b")
-    near = a.join(b, F.expr("a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey"))
-    edges = near.select(
-        F.col("a.n_nationkey").alias("src"), F.col("b.n_nationkey").alias("dst"), (1 + (F.col("a.n_nationkey") + F.col("b.n_nationkey")) % 3).cast("double").alias("w")
+def customer_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c, side = read(spark, sf_dir, "customer"), features.side
+    points = c.select(
+        F.col("c_custkey").alias("pid"), side(F.col("c_custkey") % 2 == 0).alias("n0"), side(F.col("c_acctbal") >= 4000).alias("n1"), side(F.col("c_mktsegment") < "FURN").alias("n2")
     )
-    return edges, points
+    # Numbers within reach are listed, so the join is one by equal keys.
+    near = c.select(F.col("c_custkey").alias("src"), F.col("c_nationkey").alias("n"), F.explode(F.sequence(F.col("c_custkey") + 1, F.col("c_custkey") + REACH)).alias("dst"))
+    ends = near.join(c.select(F.col("c_custkey").alias("dst"), F.col("c_nationkey").alias("n")), ["dst", "n"])
+    half = ends.select("src", "dst", (1 + (F.col("src") + F.col("dst")) % 3).cast("double").alias("w"))
+    return graphs.both_ways(half), points
 
 
 def _graph_order(name: str, value: str, f: Callable) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        edges, points = nation_graph(spark, sf_dir)
-        return f(edges, points, NATION_FEATURES).select("feature", F.round("value", 6).alias("value"))
+        edges, points = customer_graph(spark, sf_dir)
+        return f(edges, points, POINT_FEATURES).select("feature", F.round("value", 6).alias("value"))
 
     QUERIES[name] = run
-    SQL[name] = f"WITH {_NATIONS} " + " UNION ALL ".join(f"SELECT {i} AS feature, round({value.replace('@', str(i))}, 6) AS value" for i in range(3))
+    SQL[name] = f"WITH {_CUSTOMERS} " + " UNION ALL ".join(f"SELECT {i} AS feature, round({value.replace('@', str(i))}, 6) AS value" for i in range(3))
 
 
 _graph_order("cut_weight", "(SELECT coalesce(sum(w) FILTER (WHERE s@ <> d@), 0) / 2 FROM j)", orders.cut_weight)
@@ -444,9 +466,9 @@ _graph_order(
 )
 
 
-@query("discrete_derivative", f"WITH {_NATIONS} SELECT p.pid, CAST(coalesce(sum(w * s1 * d1), 0) AS DOUBLE) AS change FROM p LEFT JOIN j ON j.src = p.pid GROUP BY p.pid")
+@query("discrete_derivative", f"WITH {_CUSTOMERS} SELECT p.pid, CAST(coalesce(sum(w * s1 * d1), 0) AS DOUBLE) AS change FROM p LEFT JOIN j ON j.src = p.pid GROUP BY p.pid")
 def discrete_derivative(spark, sf_dir):  # noqa: ANN001, ANN201
-    edges, points = nation_graph(spark, sf_dir)
+    edges, points = customer_graph(spark, sf_dir)
     return orders.discrete_derivative(edges, points, "n1")
 
 
@@ -504,11 +526,7 @@ _ACCORDS = [(0, 0, 1), (0, 1, -1), (0, 2, 1), (1, 0, 1), (1, 1, -1), (1, 2, -1),
 
 def _scores(spark: SparkSession, sf_dir: str, rows: bool) -> DataFrame:
     accords = spark.createDataFrame(_ACCORDS, "accord int, feature int, side int")
-    # A line item is identified by its position among equal keys, so rows stay apart.
-    from pyspark.sql import Window
-
-    df = items(spark, sf_dir).withColumn("pid", F.concat_ws("-", "pid", F.row_number().over(Window.partitionBy("pid").orderBy(*NAMES))))
-    out = analysis.accord_scores(df, NAMES, accords, rows, False)
+    out = analysis.accord_scores(items(spark, sf_dir), NAMES, accords, rows, False)
     return out.groupBy("accord").agg(F.count("*").alias("n"), (F.round(F.sum("score"), 3) + 0.0).alias("total"), F.round(F.max("score"), 6).alias("top"))
 
 
@@ -537,9 +555,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
 
 
-@query("cosine_sim", f"WITH {_VECTORS}, s AS (SELECT a.vec_id AS src, b.vec_id AS dst, {_COS} AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id) SELECT src, dst, round(w, 5) AS w FROM s WHERE w >= 0.5")
+@query("cosine_sim", f"WITH {_VECTORS}, s AS (SELECT a.vec_id AS src, b.vec_id AS dst, {_COS} AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id) SELECT src, dst, round(w, 5) AS w FROM s WHERE w >= 0.3")
 def cosine_sim(spark, sf_dir):  # noqa: ANN001, ANN201
-    out = graphs.cosine_similarity(vectors(spark, sf_dir), "v", 0.5, id_col="vec_id")
+    out = graphs.cosine_similarity(vectors(spark, sf_dir), "v", 0.3, id_col="vec_id")
     return out.select("src", "dst", F.round("w", 5).alias("w"))
 
 
@@ -570,16 +588,16 @@ def hamming_sim(spark, sf_dir):  # noqa: ANN001, ANN201
     "SELECT src, dst, 1.0::DOUBLE AS w FROM r WHERE r <= 2",
 )
 def knn(spark, sf_dir):  # noqa: ANN001, ANN201
-    return graphs.nearest_neighbours(graphs.distances(vectors(spark, sf_dir), "v", id_col="vec_id"), 2)
+    return graphs.knn_graph(vectors(spark, sf_dir), "v", 2, id_col="vec_id")
 
 
 @query(
     "eps_graph",
-    f"WITH {_VECTORS}, s AS (SELECT a.vec_id AS src, b.vec_id AS dst, {_DIST} AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id) SELECT src, dst, round(1 - d / 2, 5) AS w FROM s WHERE d < 1.0",
+    f"WITH {_VECTORS}, s AS (SELECT a.vec_id AS src, b.vec_id AS dst, {_DIST} AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id) SELECT src, dst, round(1 - d / 2, 5) AS w FROM s WHERE d < 1.18",
 )
 def eps_graph(spark, sf_dir):  # noqa: ANN001, ANN201
-    dist = graphs.distances(vectors(spark, sf_dir), "v", id_col="vec_id")
-    return graphs.epsilon_graph(dist, 1.0, lambda d: 1 - d / 2).select("src", "dst", F.round("w", 5).alias("w"))
+    dist = graphs.distances(vectors(spark, sf_dir), "v", id_col="vec_id", max_dist=1.18)
+    return graphs.epsilon_graph(dist, 1.18, lambda d: 1 - d / 2).select("src", "dst", F.round("w", 5).alias("w"))
 
 
 @query(
@@ -593,8 +611,8 @@ def linear_sim(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def _edge_query(name: str, sql: str, f: Callable[[DataFrame], DataFrame]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: f(nation_graph(spark, sf_dir)[0]).select("src", "dst", (F.round("w", 6) + 0.0).alias("w"))
-    SQL[name] = f"WITH {_NATIONS}, d AS (SELECT src AS node, sum(w) AS deg FROM e GROUP BY src), l AS (SELECT src, dst, -w AS w FROM e UNION ALL SELECT node, node, deg FROM d) {sql}"
+    QUERIES[name] = lambda spark, sf_dir: f(customer_graph(spark, sf_dir)[0]).select("src", "dst", (F.round("w", 6) + 0.0).alias("w"))
+    SQL[name] = f"WITH {_CUSTOMERS}, d AS (SELECT src AS node, sum(w) AS deg FROM e GROUP BY src), l AS (SELECT src, dst, -w AS w FROM e UNION ALL SELECT node, node, deg FROM d) {sql}"
 
 
 _edge_query("laplacian", "SELECT src, dst, round(w, 6) + 0.0 AS w FROM l", graphs.laplacian)
@@ -602,15 +620,18 @@ _edge_query("norm_laplacian", "SELECT src, dst, round(w / sqrt(a.deg) / sqrt(b.d
 _edge_query("modularity", "SELECT src, dst, round(w - a.deg * b.deg / (SELECT sum(deg) FROM d), 6) + 0.0 AS w FROM e JOIN d a ON a.node = src JOIN d b ON b.node = dst", graphs.modularity)
 
 
-@query("contract_graph", f"WITH {_NATIONS} SELECT src % 4 AS src, dst % 4 AS dst, sum(w) AS w FROM e WHERE src % 4 <> dst % 4 GROUP BY 1, 2")
+@query("contract_graph", f"WITH {_CUSTOMERS} SELECT src % 4 AS src, dst % 4 AS dst, sum(w) AS w FROM e WHERE src % 4 <> dst % 4 GROUP BY 1, 2")
 def contract_graph(spark, sf_dir):  # noqa: ANN001, ANN201
-    edges, points = nation_graph(spark, sf_dir)
+    edges, points = customer_graph(spark, sf_dir)
     return graphs.contract(edges, points.select("pid", (F.col("pid") % 4).alias("bag")))
 
 
-@query("components", "SELECT n_nationkey AS node, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS component FROM nation")
+@query(
+    "components",
+    f"WITH RECURSIVE {_CUSTOMERS}, r AS (SELECT pid AS node, pid AS reach FROM p UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY node",
+)
 def components(spark, sf_dir):  # noqa: ANN001, ANN201
-    return graphs.connected_components(*[f(x) for f, x in zip((lambda e: e, lambda p: p.select(F.col("pid").alias("node"))), nation_graph(spark, sf_dir), strict=True)])
+    return graphs.connected_components(*[f(x) for f, x in zip((lambda e: e, lambda p: p.select(F.col("pid").alias("node"))), customer_graph(spark, sf_dir), strict=True)])
 
 
 @query(
@@ -635,10 +656,11 @@ _scaled("balance", "@ - quantile_cont(@, 0.5) OVER ()", scaling.balance)
 _scaled("unit_norm", "@ / sqrt(sum(@ * @) OVER ())", scaling.unit_columns)
 QUERIES["standardize_rows"] = lambda spark, sf_dir: scaling.standardize_rows(
     read(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("a"), (F.col("l_discount") * 100).alias("b"), (F.col("l_tax") * 100).alias("c")), ["a", "b", "c"]
-).agg(F.count("*").alias("n"), F.round(F.sum(F.abs("a")), 2).alias("a"))
+).agg(F.count("*").alias("n"), *[F.round(F.sum(F.abs(c)), 2).alias(c) for c in "abc"])
 SQL["standardize_rows"] = (
     "WITH r AS (SELECT l_quantity AS a, l_discount * 100 AS b, l_tax * 100 AS c FROM lineitem), m AS (SELECT a, b, c, (a + b + c) / 3 AS m FROM r), "
-    "s AS (SELECT a, m, sqrt(((a - m) * (a - m) + (b - m) * (b - m) + (c - m) * (c - m)) / 3) AS s FROM m) SELECT count(*) AS n, round(sum(abs((a - m) / CASE WHEN s = 0 THEN 1 ELSE s END)), 2) AS a FROM s"
+    "s AS (SELECT a, b, c, m, sqrt(((a - m) * (a - m) + (b - m) * (b - m) + (c - m) * (c - m)) / 3) AS s FROM m) SELECT count(*) AS n, "
+    + ", ".join(f"round(sum(abs(({c} - m) / CASE WHEN s = 0 THEN 1 ELSE s END)), 2) AS {c}" for c in "abc") + " FROM s"
 )
 
 
@@ -715,12 +737,25 @@ def guess_values(spark, sf_dir):  # noqa: ANN001, ANN201
     return spark.createDataFrame([(str(x), True) for x in v.valid] + [(str(x), False) for x in v.invalid], "value string, valid boolean")
 
 
-@query("resample", "SELECT o_orderstatus, 100 AS n FROM orders GROUP BY 1")
+@query(
+    "resample",
+    "SELECT o_orderstatus, 400 AS n, true AS of_table, true AS spread, true AS repeated FROM orders GROUP BY 1",
+)
 def resample(spark, sf_dir):  # noqa: ANN001, ANN201
-    return order_survey(spark, sf_dir).resample("o_orderstatus", 100).df.groupBy("o_orderstatus").agg(F.count("*").cast("int").alias("n"))
+    """Draws by stratum: all are rows of the table, their mean price is near the stratum's (four
+    deviations of the mean), and some come twice, as draws with replacement do."""
+    s = order_survey(spark, sf_dir)
+    drawn = s.resample("o_orderstatus", 400).df
+    known = s.df.select("pid", F.struct("o_orderstatus", "o_orderpriority", "o_totalprice").alias("row"))
+    own = drawn.join(known, "pid").withColumn("same", F.struct("o_orderstatus", "o_orderpriority", "o_totalprice") == F.col("row"))
+    mean = s.df.groupBy("o_orderstatus").agg(F.avg("o_totalprice").alias("mean"), F.stddev("o_totalprice").alias("dev"))
+    got = own.groupBy("o_orderstatus").agg(
+        F.count("*").cast("int").alias("n"), F.bool_and("same").alias("of_table"), F.avg("o_totalprice").alias("m"), F.count_distinct("pid").alias("d")
+    )
+    return got.join(mean, "o_orderstatus").select("o_orderstatus", "n", "of_table", (F.abs(F.col("m") - F.col("mean")) < 4 * F.col("dev") / 20).alias("spread"), (F.col("d") < 400).alias("repeated"))
 
 
-# -- without SQL: iterative or numeric -------------------------------------------------------
+# -- iterative or numeric --------------------------------------------------------------------
 @query("uncrossed_search")
 def uncrossed_search(spark, sf_dir):  # noqa: ANN001, ANN201
     df = items(spark, sf_dir)
@@ -734,32 +769,83 @@ def tree_of_accords(spark, sf_dir):  # noqa: ANN001, ANN201
     return uncross.search_uncrossed(df, NAMES, _bound(df)).tree_of_accords().tables(spark)[1]
 
 
-@query("corner_features")
+_CORNERS = [(a, oa, b, ob) for a in range(4) for b in range(a + 1, 4) for oa, ob in corners.CORNERS]
+
+
+@query(
+    "corner_features",
+    f"WITH {ITEMS}, c AS (" + " UNION ALL ".join(f"SELECT 'inf({oa:+d} f{a}, {ob:+d} f{b})' AS feature, count(*) FILTER (WHERE least({oa} * f{a}, {ob} * f{b}) > 0) AS n FROM f" for a, oa, b, ob in _CORNERS)
+    + ") SELECT feature FROM c WHERE least(n, (SELECT count(*) FROM f) - n) >= 0.1 * (SELECT count(*) FROM f)",
+)
 def corner_features(spark, sf_dir):  # noqa: ANN001, ANN201
     base = [features.Feature(n, F.col(n)) for n in NAMES[:4]]
     found = corners.corner_features(items(spark, sf_dir), base, 0.1, True, orders.order_balance)
     return spark.createDataFrame([(f.name,) for f in found], "feature string")
 
 
-@query("spectral_features")
-def spectral_features(spark, sf_dir):  # noqa: ANN001, ANN201
-    return graphs.spectral_features_by_component(nation_graph(spark, sf_dir)[0], 5)
+_STANDARD = "z AS (SELECT (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS a, (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER () AS b FROM lineitem), r AS (SELECT sign(sum(a * b)) AS s FROM z)"
 
 
-@query("pca_features")
+@query(
+    "pca_features",
+    f"WITH {_STANDARD} SELECT round(sum(abs(a + s * b)), 1) AS pc0, round(sum(abs(a - s * b)), 1) AS pc1, count(*) FILTER (WHERE a + s * b > 0) AS positive FROM z, r",
+)
 def pca_features(spark, sf_dir):  # noqa: ANN001, ANN201
-    df = scaling.standardize(read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pid"), "l_quantity", "l_extendedprice", "l_discount", "l_tax"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
-    return graphs.pca_features(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 2)
+    """Of two standardised columns the leading vectors are their sum and difference."""
+    df = scaling.standardize(row_ids(read(spark, sf_dir, "lineitem")).select("pid", "l_quantity", "l_extendedprice"), ["l_quantity", "l_extendedprice"])
+    out = graphs.pca_features(df, ["l_quantity", "l_extendedprice"], 2)
+    return out.agg(*[F.round(F.sum(F.abs(c)), 1).alias(c) for c in ("pc0", "pc1")], F.count_if(F.col("pc0") > 0).alias("positive"))
 
 
-@query("minimize_cut")
+@query(
+    "minimize_cut",
+    "WITH RECURSIVE e AS (SELECT a.n_nationkey AS src, b.n_nationkey AS dst, 1 + (a.n_nationkey + b.n_nationkey) % 3 AS w FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey), "
+    "s AS (SELECT 0 AS k, (SELECT list(CASE WHEN n_nationkey >= 12 THEN 1 ELSE -1 END ORDER BY n_nationkey) FROM nation) AS f UNION ALL "
+    "SELECT k + 1, list_transform(f, lambda v, i: CASE WHEN i = best.p + 1 THEN -v ELSE v END) FROM (SELECT k, f, (SELECT min({'c': c, 'p': src}) FROM "
+    "(SELECT src, sum(w * f[src + 1] * f[dst + 1]) AS c FROM e GROUP BY src)) AS best FROM s) WHERE best.c < 0) "
+    "SELECT n_nationkey AS pid, f[n_nationkey + 1] AS n1 FROM nation, (SELECT f FROM s ORDER BY k DESC LIMIT 1)",
+)
 def minimize_cut(spark, sf_dir):  # noqa: ANN001, ANN201
-    edges, points = nation_graph(spark, sf_dir)
+    n = read(spark, sf_dir, "nation")
+    points = n.select(F.col("n_nationkey").alias("pid"), features.side(F.col("n_nationkey") >= 12).alias("n1"))
+    near = n.alias("a").join(n.alias("b"), F.expr("a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey"))
+    edges = near.select(
+        F.col("a.n_nationkey").alias("src"), F.col("b.n_nationkey").alias("dst"), (1 + (F.col("a.n_nationkey") + F.col("b.n_nationkey")) % 3).cast("double").alias("w")
+    )
     return graphs.minimize_order(edges, points, "n1")
 
 
-@query("typical_answers")
+_VARIABLES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+_SAID = [("l_quantity", ">=", 26), ("l_extendedprice", ">=", 50000), ("l_discount", ">=", 0.05), ("l_tax", ">=", 0.04), ("l_returnflag", "==", "R"), ("l_linestatus", "==", "O")]
+
+
+def item_survey(spark: SparkSession, sf_dir: str) -> tuple[surveys.Survey, list[features.Feature]]:
+    """Line items as answers, with the six features and what they say."""
+    df = row_ids(read(spark, sf_dir, "lineitem")).select("pid", *_VARIABLES)
+    variables = {c: Variable(c, "numeric") for c in _VARIABLES[:4]}
+    variables["l_returnflag"] = Variable("l_returnflag", "nominal", "", {"A": "A", "N": "N", "R": "R"})
+    variables["l_linestatus"] = Variable("l_linestatus", "nominal", "", {"F": "F", "O": "O"})
+    return surveys.Survey(df, variables), [features.Feature(c, features.side(F.expr(c)), i) for c, i in zip(CONDITIONS, _SAID, strict=True)]
+
+
+def _answer(k: int, sign: str) -> str:
+    c, op, v = _SAID[k]
+    if op == ">=":
+        return f"[{v}, inf)" if sign == "+" else f"(-inf, {v})"
+    return {"R+": "R", "R-": "A, N", "O+": "O", "O-": "F"}[v + sign]
+
+
+@query(
+    "typical_answers",
+    f"{_tree_sql()}, m6 AS (SELECT {_PATH.replace('path', 'n.path')} AS path FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM nodes c WHERE c.level = n.level + 1 AND c.path[1:n.level] = n.path)) "
+    + " UNION ALL ".join(
+        f"SELECT path, '{c}' AS variable, CASE path[{k + 1}] WHEN '+' THEN '{_answer(k, '+')}' WHEN '-' THEN '{_answer(k, '-')}' ELSE '{'(-inf, inf)' if k < 4 else ('A, N, R' if k == 4 else 'F, O')}' END AS answers FROM m6"
+        for k, c in enumerate(_VARIABLES)
+    ),
+)
 def typical_answers(spark, sf_dir):  # noqa: ANN001, ANN201
-    found = surveys.SurveyAccords(order_survey(spark, sf_dir), int(0.2 * read(spark, sf_dir, "orders").count()))
-    rows = [(k, c, v) for k, a in enumerate(found.typical_answers()) for c, v in a.items()]
-    return spark.createDataFrame(rows, "accord int, variable string, answers string")
+    s, own = item_survey(spark, sf_dir)
+    found = surveys.SurveyAccords(s, int(s.df.count() * SHARE), features=own, order=None)
+    paths = [_text(tuple(int(x) for x in row if x)) for row in found.matrix()]
+    rows = [(p, c, v) for p, a in zip(paths, found.typical_answers(), strict=True) for c, v in a.items()]
+    return spark.createDataFrame(rows, "path string, variable string, answers string")

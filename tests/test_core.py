@@ -401,6 +401,15 @@ def test_scaling(spark):
     assert rows(scaling.balance_rows(df, ["a", "b"]))[0] == (-327.5, 327.5)
 
 
+def test_scaling_of_rows(spark):
+    x = np.random.default_rng(0).random((6, 3)) * [50, 10, 8]
+    df = table(spark, x.tolist(), list("abc"))
+    rows = lambda d: d.orderBy("pid").select(*"abc").toPandas().to_numpy()
+    assert rows(scaling.standardize_rows(df, list("abc"))) == pytest.approx((x - x.mean(axis=1, keepdims=True)) / x.std(axis=1, keepdims=True))
+    assert rows(scaling.balance_rows(df, list("abc"))) == pytest.approx(x - np.median(x, axis=1, keepdims=True))
+    assert rows(scaling.unit_rows(df, list("abc"))) == pytest.approx(x / np.linalg.norm(x, axis=1, keepdims=True))
+
+
 # -- analysis --------------------------------------------------------------------------------
 def test_visibility():
     m = np.array([[1, 1, 1, 0], [1, -1, 0, 0], [-1, 1, 1, 1]], np.int8)
