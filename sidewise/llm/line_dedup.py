@@ -54,7 +54,8 @@ def drop_shared_lines(
     lines = F.split(text, NEWLINE)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
     breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(NEWLINE), F.lit("")))
-    return source.join(dropped, ["doc_id", "of"], "left").select(
+    # Texts pass by the few positions of their partition, so they need not be sorted.
+    return source.join(dropped.hint("shuffle_hash"), ["doc_id", "of"], "left").select(
         "doc_id",
         (breaks + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
