@@ -55,7 +55,7 @@ def labelled_file(spark, sf_dir):
     return spark.createDataFrame(rows, "variable string, type string, value int, label string, valid boolean")
 
 
-@query("from_matrix", "SELECT n_nationkey AS pid, n_regionkey AS f0, n_nationkey % 3 AS f1 FROM nation")
+@query("from_matrix", "SELECT n_nationkey::BIGINT AS pid, n_regionkey::BIGINT AS f0, (n_nationkey % 3)::BIGINT AS f1 FROM nation")
 def from_matrix(spark, sf_dir):
     rows = read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
     return generators.from_matrix(spark, [(r["n_regionkey"], r["n_nationkey"] % 3) for r in rows])
@@ -74,7 +74,7 @@ def from_sparse(spark, sf_dir):
     return table.groupBy(*[F.col(n).cast("int").alias(n) for n in NAMES[:3]]).agg(F.count("*").alias("n"))
 
 
-@query("random_features", "SELECT unnest(range(4)) AS feature, count(*) AS n, true AS near, true AS apart FROM orders")
+@query("random_features", "SELECT CAST(unnest(range(4)) AS INTEGER) AS feature, count(*) AS n, true AS near, true AS apart FROM orders")
 def random_features(spark, sf_dir):
     """Shares near 0.3, and pairs as independent as chance lets them be (five deviations)."""
     n = read(spark, sf_dir, "orders").count()
@@ -96,12 +96,12 @@ def feature_kinds(spark, sf_dir):
     return spark.createDataFrame([(k, generators.encoding(*x)) for k, x in kinds.items()], "name string, kind string")
 
 
-@query("tsv", "SELECT p_brand, count(*) AS n, sum(p_size) AS size FROM part GROUP BY p_brand")
+@query("tsv", "SELECT p_brand, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size FROM part GROUP BY p_brand")
 def tsv(spark, sf_dir):
     folder = _folder(spark, "tsv")
     read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size").write.option("sep", "\t").option("header", True).csv(folder)
     out = files.read_tsv(spark, folder, "p_partkey long, p_brand string, p_size int")
-    return out.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("p_size").cast("decimal(38,0)").alias("size"))
+    return out.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("p_size").alias("size"))
 
 
 # -- selections and edits --------------------------------------------------------------------
@@ -368,7 +368,7 @@ def hamming_strict(spark, sf_dir):
     "image_graph",
     "WITH p AS (SELECT n_nationkey AS k, n_nationkey // 5 AS r, n_nationkey % 5 AS c, (n_nationkey * 7) % 11 AS g FROM nation), e AS (SELECT a.k AS src, b.k AS dst, abs(a.g - b.g) AS d, sqrt(power(a.r - b.r, 2) + power(a.c - b.c, 2)) AS x "
     "FROM p a JOIN p b ON a.k <> b.k AND power(a.r - b.r, 2) + power(a.c - b.c, 2) <= 2), l AS (SELECT min(d) AS d0, max(d) AS d1, min(x) AS x0, max(x) AS x1 FROM e), "
-    "w AS (SELECT src, dst, exp(-((d - d0) / (d1 - d0)) / 0.25) * exp(-((x - x0) / (x1 - x0)) / 4) AS w FROM e, l) SELECT src, dst, round(w, 6) AS w FROM w WHERE w >= 0.1",
+    "w AS (SELECT src, dst, exp(-((d - d0) / (d1 - d0)) / 0.25) * exp(-((x - x0) / (x1 - x0)) / 4) AS w FROM e, l) SELECT src::BIGINT AS src, dst::BIGINT AS dst, round(w, 6) AS w FROM w WHERE w >= 0.1",
 )
 def image_graph(spark, sf_dir):
     pixels = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("pixel_id"), (F.col("n_nationkey") * 7 % 11).alias("g"))

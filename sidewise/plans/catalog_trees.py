@@ -240,13 +240,13 @@ def feat_thresholds(spark, sf_dir):
     return _sides(read(spark, sf_dir, "lineitem"), [features.Feature(n, c) for n, c in made.items()])
 
 
-@query("feature_table", f"SELECT sum(pid) AS ids, count(*) AS n, sum(f0) AS f0, sum(f4) AS f4 FROM (SELECT row_number() OVER () - 1 AS pid, {_ITEMS} FROM lineitem)")
+@query("feature_table", f"SELECT CAST(sum(pid) AS BIGINT) AS ids, count(*) AS n, CAST(sum(f0) AS BIGINT) AS f0, CAST(sum(f4) AS BIGINT) AS f4 FROM (SELECT row_number() OVER () - 1 AS pid, {_ITEMS} FROM lineitem)")
 def feature_table(spark, sf_dir):
     from .catalog import row_ids
 
     made = [features.Feature(n, features.side(F.expr(CONDITIONS[int(n[1])]))) for n in ("f0", "f4")]
     table = features.matrix(row_ids(read(spark, sf_dir, "lineitem")), made)
-    return table.agg(F.sum("pid").cast("decimal(38,0)").alias("ids"), F.count("*").alias("n"), *[F.sum(n).cast("decimal(38,0)").alias(n) for n in ("f0", "f4")])
+    return table.agg(F.sum("pid").alias("ids"), F.count("*").alias("n"), *[F.sum(n).alias(n) for n in ("f0", "f4")])
 
 
 _PAIR_CORNERS = [(a, oa, b, ob) for a in range(3) for b in range(a + 1, 3) for oa, ob in corners.CORNERS]
@@ -380,7 +380,7 @@ _LEVELLED = (
 
 @query(
     "visibility",
-    f"{_LEVELLED} SELECT {_PATH.replace('path', 'd.path')} AS path, CASE WHEN len(d.path) < 6 THEN len(d.path) ELSE -1 END AS coherence, apart AS complexity, "
+    f"{_LEVELLED} SELECT {_PATH.replace('path', 'd.path')} AS path, CAST(CASE WHEN len(d.path) < 6 THEN len(d.path) ELSE -1 END AS INTEGER) AS coherence, CAST(apart AS INTEGER) AS complexity, "
     "(SELECT v FROM o WHERE k = CASE WHEN len(d.path) < 6 THEN len(d.path) ELSE 5 END) - (SELECT v FROM o WHERE k = apart) AS visible FROM d",
 )
 def visibility(spark, sf_dir):
@@ -473,7 +473,7 @@ def star_analytics(spark, sf_dir):
     mean = analysis.softmax_mean(raw.withColumn("s", F.col("l_discount") * 10), "s", "l_quantity").select(F.round("mean", 5).alias("mean"))
     keyed = analysis.keyed_standardize(raw.select("l_quantity", "l_tax", F.col("l_quantity").alias("q")), ["l_tax", "q"], ["l_tax"])
     total = keyed.where("l_quantity > 25").agg((F.round(F.sum("l_tax"), 3) + 0.0).alias("reversed"))
-    return mean.crossJoin(F.broadcast(total)).select(F.lit(size).alias("location"), "mean", "reversed")  # one row each
+    return mean.crossJoin(F.broadcast(total)).select(F.lit(size).cast("long").alias("location"), "mean", "reversed")  # one row each
 
 
 def _holds(term: logic.Term, names) -> Column:
