@@ -29,10 +29,10 @@ _SIMPLE = re.compile(rf"^([{_LETTERS}]+)([.,!?;:]*)$|^.*$", re.MULTILINE)
 _CUT = re.compile(r"(?<=\S)([ \n])(?=\S)")
 _SPACE = re.compile(r"\s|\A\Z")
 #: Bytes of memory that the memos of a tokenizer take, and those of an entry.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 48 << 20
 ENTRY_BYTES = 250
 #: Bytes of text that are encoded together.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 6 << 20
 
 
 def _visible_bytes() -> dict[int, str]:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import SPACE_CHARS, SPACE_CLASS, WORD, bounded_batches, table
+from .common import SPACE_CHARS, SPACE_CLASS, WORD, bounded_batches, table, task
 
 VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = "und"
@@ -349,6 +349,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
         for batch in batches:
@@ -373,6 +374,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
     bounded_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
         for batch in batches:

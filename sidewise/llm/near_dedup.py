@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import bounded_batches, release, stored, table
+from .common import bounded_batches, release, stored, table, task
 from .graph import components
 
 WORDS = 5
@@ -56,6 +56,7 @@ def signature(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key.view(np.int64), np.concatenate(planes, axis=1).view(np.int64)
 
 
+@task
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=6)
     for batch in batches:
@@ -102,6 +103,7 @@ def estimate(x: str, y: str) -> Column:
     return (1 - reduce(Column.__add__, differ) / HASHES - chance) / (1 - chance)
 
 
+@task
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose full sets are like enough. Rows of one ``a`` follow each other."""
     unpack = zstandard.ZstdDecompressor()
@@ -192,6 +194,7 @@ def _near_pairs(group: pa.Table) -> list[tuple[float, int, int]]:
     return sorted(found, reverse=True)
 
 
+@task
 def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between components within buckets. Pairs are confirmed on full sets from the
     nearest on; those whose components a link has joined meanwhile need no test."""

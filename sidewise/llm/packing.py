@@ -13,13 +13,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, table
+from .common import bounded_batches, stored, table, task
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 CAPACITY = 2048
 
 
+@task
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces of each document, numbered by length within the task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import bounded_batches, stored, table
+from .common import bounded_batches, stored, table, task
 
 WINDOW = 20
 BLOCK = WINDOW // 2
@@ -65,6 +65,7 @@ def _ranges(keys: np.ndarray, bits: int, n: int) -> np.ndarray:
 def _batches(size: int):
     """Documents in batches, in order of their ids, each with one compressed text."""
 
+    @task
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _filled(rows, size)
 
@@ -155,6 +156,7 @@ def _first(*keys: np.ndarray) -> np.ndarray:
 def _probes(n_ranges: int, bits: int):
     """Distinct runs of BLOCK words of each group, with marks: a block's own, found repeatedly."""
 
+    @task
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(rows):
             parts = []
@@ -238,6 +240,7 @@ def _windows(n_ranges: int, bits: int):
     smallest id, then batch, that has them. Windows of its other batches are known to be later:
     those rows are of span -1 and need no exchange with other groups."""
 
+    @task
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(rows):
             hits, parts = _joined_keys(group[0]["hits"]), []
@@ -350,7 +353,7 @@ def remove_repeats(
     later = windows.where("span >= 0").groupBy("span").applyInArrow(_later, _HITS)
     later = later.union(windows.where("span < 0").select("owner", "n", "keys")).groupBy("owner").agg(entry.alias("later"))
     last = batches.join(later.withColumnRenamed("owner", "batch"), "batch", "left")
-    kept = last.mapInArrow(lambda rows: _remove(rows, digest), f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept'} string")
+    kept = last.mapInArrow(task(lambda rows: _remove(rows, digest)), f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept'} string")
     return kept.withColumn("doc_id", F.nullif("doc_id", least))
 
 

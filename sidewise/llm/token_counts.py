@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, table, task
 from .encoding import MEMO_BYTES, Memo, slices
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -91,6 +91,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty one. A task counts each distinct word of a slice of texts once and remembers words
     within ``MEMO_BYTES``."""
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(public_vocabulary(vocabulary))
         memo = Memo(MEMO_BYTES)

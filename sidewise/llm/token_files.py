@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import before, bounded_batches, stored, table
+from .common import before, bounded_batches, stored, table, task
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -21,6 +21,7 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 
 
+@task
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from .encoding import encoder, slices, with_end
@@ -70,6 +71,7 @@ def write_tokens(
     )
     rows = ordered.mapInArrow(_encode, "part int, place long, doc_id long, n_tokens long, ids array<int>")
     options = {
+        "compression": "snappy",  # packed ids gain little from more
         "parquet.block.size": row_group_bytes,
         "parquet.page.size": page_bytes,
         "parquet.writer.version": "PARQUET_2_0",
@@ -106,6 +108,7 @@ def read_positions(files: DataFrame, start: int, stop: int) -> DataFrame:
     return none if found is None else found
 
 
+@task
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("ids")
