@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 12 << 20
 _ARROW_KEY, _NO_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 28
 
 _written: list[tuple[SparkSession, str]] = []
