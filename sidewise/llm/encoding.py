@@ -1,8 +1,9 @@
-"""Public tokenizers with a bounded memo of what words become.
+"""Public tokenizers that encode each distinct word of a slice of texts once.
 
 A library call for each word costs far more than the merges inside it, and most words recur.
 Texts are cut where the tokenizer cuts them in any case, each distinct piece is encoded once by
-the library and then looked up. Tests hold the result against encoding whole texts.
+the library, and all texts are put together from those by number. Nothing is kept from one slice
+to the next. Tests hold the result against encoding whole texts.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
@@ -28,11 +28,11 @@ _SIMPLE = re.compile(rf"^([{_LETTERS}]+)([.,!?;:]*)$|^.*$", re.MULTILINE)
 #: A single space or newline between characters that no library counts as white space.
 _CUT = re.compile(r"(?<=\S)([ \n])(?=\S)")
 _SPACE = re.compile(r"\s|\A\Z")
-#: Bytes of memory that the memos of a tokenizer take, and those of an entry.
+#: Bytes of memory that a memo takes, and those of an entry.
 MEMO_BYTES = 48 << 20
 ENTRY_BYTES = 250
 #: Bytes of text that are encoded together.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 12 << 20
 
 
 def _visible_bytes() -> dict[int, str]:
@@ -76,7 +76,7 @@ class Memo(dict):
 
 
 def _uncached_model(path: str) -> BPE:
-    """A tokenizer's merge model without the library's own cache, which the memo replaces."""
+    """A tokenizer's merge model without the library's own cache, since a word comes once."""
     with open(path, encoding="utf-8") as f:
         told = json.load(f)["model"]
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in told["merges"]]
@@ -84,30 +84,21 @@ def _uncached_model(path: str) -> BPE:
     return BPE(told["vocab"], merges, cache_capacity=0, **more)
 
 
-class CachedEncoder:
+class SliceEncoder:
     """Token ids of texts, as little-endian unsigned 32-bit integers.
 
     ``spaces`` says what the tokenizer does with a single space: "lead" (the space starts
-    the next piece) or "drop" (white space only separates). Texts are encoded many at a time: the
-    distinct pieces that aren't known yet are learned together, and all others looked up.
-    """
+    the next piece) or "drop" (white space only separates)."""
 
-    def __init__(self, name: str, spaces: str, memo_bytes: int = MEMO_BYTES) -> None:
+    def __init__(self, name: str, spaces: str) -> None:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.model = _uncached_model(public_tokenizers.path(name))
         self.lower = spaces == "drop"
         self.lead = spaces == "lead"
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.marks, self.plain, self.spaced = {"": b""}, Memo(memo_bytes // 4), Memo(memo_bytes * 3 // 4)
-        if self.lower:
-            self.plain = Memo(memo_bytes)
+        self.marks: dict[str, bytes] = {"": b""}
         self.newline = self._by_library(["\n"])[0]
 
-    def forget(self) -> None:
-        """Give up what was learned, as a task does at its end."""
-        self.plain.forget()
-        self.spaced.forget()
-
     def _by_library(self, pieces: list[str]) -> list[bytes]:
         ids = self.id_bytes
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False) if pieces else []
@@ -146,22 +137,21 @@ class CachedEncoder:
             out[k] = got
         return out
 
-    def _learn_spaced(self, pieces: list[str]) -> list[bytes | None]:
-        return self._learn(pieces, " ")
-
-    def _uneven(self, text: str) -> bytes:
-        """A text with white space other than single spaces and newlines: cut where one stands
+    def _uneven(self, texts: list[str]) -> list[bytes]:
+        """Texts with white space other than single spaces and newlines: cut where one stands
         alone, all else by the library."""
-        first, *rest = _CUT.split(text)
-        pieces = [("", first), *zip(rest[::2], rest[1::2], strict=True)]
+        cut = []
+        for text in texts:
+            first, *rest = _CUT.split(text)
+            cut.append([("", first), *zip(rest[::2], rest[1::2], strict=True)])
         found: dict[tuple[bool, str], bytes] = {}
-        for led, memo, learn in ((False, self.plain, self._learn), (True, self.spaced, self._learn_spaced)):
-            own = dict.fromkeys(p for sep, p in pieces if (sep == " ") == led)
+        for led in (False, True):
+            own = dict.fromkeys(p for pieces in cut for sep, p in pieces if (sep == " ") == led)
             bare = [p for p in own if not _SPACE.search(p)]
             odd = [p for p in own if _SPACE.search(p)]
-            found |= {(led, p): x for p, x in zip(bare, memo.values_of(bare, learn), strict=True)}
+            found |= {(led, p): x for p, x in zip(bare, self._learn(bare, " " * led), strict=True)}
             found |= {(led, p): x for p, x in zip(odd, self._by_library([" " * led + p for p in odd]), strict=True)}
-        return b"".join([(self.newline if sep == "\n" else b"") + found[sep == " ", p] for sep, p in pieces])
+        return [b"".join([(self.newline if sep == "\n" else b"") + found[sep == " ", p] for sep, p in pieces]) for pieces in cut]
 
     def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts without special tokens, one after another, and where each text's
@@ -185,12 +175,13 @@ class CachedEncoder:
             code[plain] = len(names) + at
             if newline >= 0:
                 names[newline] = ""
-            values = self.spaced.values_of(names, self._learn_spaced)
+            values = self._learn(names, " ")
             if newline >= 0:
                 values[newline] = self.newline
-            values += self.plain.values_of([names[k] for k in some], self._learn)
+            values += self._learn([names[k] for k in some])
         else:
-            values = self.plain.values_of(names, self._learn)
+            values = self._learn(names)
+        del names, words
         bad = np.flatnonzero([x is None for x in values])
         if len(bad):
             values = [b"" if x is None else x for x in values]
@@ -207,8 +198,9 @@ class CachedEncoder:
         if len(bad):
             uneven = np.add.reduceat(np.isin(code, bad), first[:-1]) > 0 if len(texts) else np.zeros(0, bool)
             parts = [out[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            for k in np.flatnonzero(uneven & ~empty):
-                parts[k] = np.frombuffer(self._uneven(texts[int(k)].as_py()), "<u4")
+            odd = np.flatnonzero(uneven & ~empty)
+            for k, ids in zip(odd, self._uneven(texts.take(pa.array(odd)).to_pylist()), strict=True):
+                parts[k] = np.frombuffer(ids, "<u4")
             out = np.concatenate(parts) if parts else out
             offsets = np.cumsum([0, *map(len, parts)])
         return out, offsets
@@ -223,18 +215,14 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
     yield from chunks(np.concatenate([[0], np.cumsum(sizes + 16)]), most)
 
 
-_encoders: dict[tuple[str, str], CachedEncoder] = {}
+_encoders: dict[tuple[str, str], SliceEncoder] = {}
 
 
-@contextmanager
-def encoder(name: str, spaces: str) -> Iterator[CachedEncoder]:
-    """One tokenizer for each worker process; what it learned goes at the end of a task."""
+def encoder(name: str, spaces: str) -> SliceEncoder:
+    """One tokenizer for each worker process."""
     if (name, spaces) not in _encoders:
-        _encoders[name, spaces] = CachedEncoder(name, spaces)
-    try:
-        yield _encoders[name, spaces]
-    finally:
-        _encoders[name, spaces].forget()
+        _encoders[name, spaces] = SliceEncoder(name, spaces)
+    return _encoders[name, spaces]
 
 
 def with_end(flat: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -27,25 +27,25 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from .encoding import encoder, slices, with_end
 
     part, place, at = TaskContext.get().partitionId(), 0, 0
-    with encoder(TOKENIZER, "lead") as enc:
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for a, b in slices(texts):
-                n = b - a
-                flat, ends = with_end(*enc.encode_many(texts.slice(a, n)), END_ID)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, part, np.int32)),
-                        pa.array(np.arange(place, place + n, dtype=np.int64)),
-                        pa.array(at + ends[:-1].astype(np.int64)),
-                        ids.slice(a, n),
-                        pa.array(np.diff(ends).astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32))),
-                    ],
-                    names=["part", "place", "at", "doc_id", "n_tokens", "ids"],
-                )
-                place += n
-                at += len(flat)
+    enc = encoder(TOKENIZER, "lead")
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1)
+        for a, b in slices(texts):
+            n = b - a
+            flat, ends = with_end(*enc.encode_many(texts.slice(a, n)), END_ID)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n, part, np.int32)),
+                    pa.array(np.arange(place, place + n, dtype=np.int64)),
+                    pa.array(at + ends[:-1].astype(np.int64)),
+                    ids.slice(a, n),
+                    pa.array(np.diff(ends).astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32))),
+                ],
+                names=["part", "place", "at", "doc_id", "n_tokens", "ids"],
+            )
+            place += n
+            at += len(flat)
 
 
 def write_tokens(

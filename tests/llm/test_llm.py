@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sidewise.llm import (
@@ -213,18 +214,22 @@ def test_token_counts(spark, docs, rows, empty):
 
 # -- 3 ---------------------------------------------------------------------------------------
 @pytest.mark.parametrize(("name", "spaces"), [(token_files.TOKENIZER, "lead"), (packing.TOKENIZER, "drop")])
-def test_cached_encoder(name, spaces, rows):
-    small, large = (encoding.CachedEncoder(name, spaces, limit) for limit in (50, 100_000))
+def test_slice_encoder(name, spaces, rows):
+    enc = encoding.SliceEncoder(name, spaces)
     odd = ["", " ", "  a b  c ", "\n\n x\n", "don't I'll he's\t\tx \n y", "a <|endoftext|> b", "É café ß İ ΣΣ", "\x1c a\x1d \x85 b", "日本 語。 12 34x", " .,; ! a.b", "_ a1", "é ́x"]
-    for t in [*odd, *[t for _, t, *_ in rows if t]]:
-        want = np.array(large.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        assert small.encode(t) == want and large.encode(t) == want, t[:40]
+    odd += ["a\tb  c", "\tq", "x\n\ny z", "\n", "a\n b"]
+    texts = [*odd, None, *[t for _, t, *_ in rows]]
+    many, offsets = enc.encode_many(pa.array(texts, pa.string()))
+    for k, t in enumerate(texts):
+        want = np.array(enc.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+        assert many[offsets[k] : offsets[k + 1]].tobytes() == want and enc.encode(t) == want, (t or "")[:40]
+    assert [b - a for a, b in encoding.slices(pa.array(["ab", None, "c" * 100, "d"]), 50)] == [2, 1, 1]
 
 
 def test_token_files(docs, rows, empty):
     files = token_files.write_tokens(docs)
     found = sorted((tuple(r) for r in token_files.token_digest(files).collect()), key=lambda r: (r[0], r[1]))
-    enc = encoding.CachedEncoder(token_files.TOKENIZER, "lead").tokenizer
+    enc = encoding.SliceEncoder(token_files.TOKENIZER, "lead").tokenizer
     want, start = [], 0
     for i, t in sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: r[0]):
         ids = [*enc.encode(t, add_special_tokens=False).ids, token_files.END_ID]
@@ -248,7 +253,7 @@ def test_token_files_can_be_read_selectively(spark, tmp_path):
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     files = token_files.write_tokens(docs, row_group_bytes=64 << 10, page_bytes=4 << 10)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
-    enc = encoding.CachedEncoder(token_files.TOKENIZER, "lead").tokenizer
+    enc = encoding.SliceEncoder(token_files.TOKENIZER, "lead").tokenizer
     ids = [[*enc.encode(t, add_special_tokens=False).ids, token_files.END_ID] for t in texts]
     groups = 0
     for f in glob.glob(f"{files._stored_in}/*.parquet"):
@@ -321,7 +326,7 @@ def test_line_dedup_repeated_ids(spark):
 # -- 5 ---------------------------------------------------------------------------------------
 def test_packing(docs, rows, empty):
     found = packing.pack(docs).collect()
-    enc = encoding.CachedEncoder(packing.TOKENIZER, "drop").tokenizer
+    enc = encoding.SliceEncoder(packing.TOKENIZER, "drop").tokenizer
     want, total = Counter(), 0
     for i, t, *_ in rows:
         ids = [*enc.encode(t or "", add_special_tokens=False).ids, packing.END_ID]
@@ -798,8 +803,6 @@ def test_words_hash_apart():
     word = "a"
     for _ in range(12):
         word += word.translate(str.maketrans("ab", "ba"))
-    import pyarrow as pa
-
     texts = [word, word.translate(str.maketrans("ab", "ba")), "x" * 64 + "y" * 64, "y" * 64 + "x" * 64, "ab", "ba", "a", "b"]
     raw, offsets = hashing.buffers(pa.array([" ".join(texts)]))
     starts, ends, _ = hashing.word_bounds(raw, offsets)
