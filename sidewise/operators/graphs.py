@@ -317,6 +317,14 @@ def nodal_domains(edges: DataFrame, values: DataFrame, kind: str = "strong", eps
     return out[0].union(out[1])
 
 
+def domain_features(domains: DataFrame) -> DataFrame:
+    """``feature, node``: the nodes of each domain of ``nodal_domains``, features by side and
+    smallest node. Two domains part the nodes alike, so of just two the first is kept."""
+    names = domains.select("side", "domain").distinct().orderBy("side", "domain").limit(3).collect()
+    out = domains.select(F.concat_ws(":", "side", "domain").alias("feature"), "node")
+    return out.where(F.col("feature") == f"{names[0]['side']}:{names[0]['domain']}") if len(names) == 2 else out
+
+
 def greedy_neighbourhood(
     edges: DataFrame, start: Sequence[int], size: int, take: int = 5, forbidden: Sequence[int] = (), minimize: bool = False
 ) -> list[int]:
@@ -381,6 +389,52 @@ def spectral_features(matrix: np.ndarray, k: int, return_vectors: bool = False)
     return (signs, vectors) if return_vectors else signs
 
 
+def spectral_features_of_graph(matrix: DataFrame, k: int, steps: int = 60, seed: int = 0) -> DataFrame:
+    """``node, f0, f1, …``: signs of the eigenvectors of the ``k`` smallest eigenvalues of a
+    symmetric matrix too large for one machine, given as entries ``src, dst, w``; the smallest node
+    is +1. Lanczos steps: each is one product with the matrix (a join and partial sums), made
+    orthogonal to all earlier vectors; only numbers of vectors' products meet the driver. More
+    ``steps`` bring the vectors nearer; as many as there are nodes make them exact."""
+    entries = stored(matrix.groupBy("src", "dst").agg(F.sum("w").alias("w")), "matrix")
+    nodes = entries.select(F.col("src").alias("node")).union(entries.select("dst")).distinct()
+    draw = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 20)) / float(1 << 20) - 0.5
+    table = nodes.withColumn("q0", draw)
+    norm = table.agg(F.sqrt(F.sum(F.col("q0") * F.col("q0"))).alias("n")).first()["n"]
+    table = stored(table.withColumn("q0", F.col("q0") / norm), "lanczos")
+    alpha: list[float] = []
+    beta: list[float] = []
+    for j in range(steps):
+        product = entries.join(table.select(F.col("node").alias("dst"), F.col(f"q{j}").alias("x")), "dst")
+        product = product.groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("p"))
+        table = stored_after(table.join(product, "node", "left").fillna(0.0, ["p"]), table)
+        known = [f"q{i}" for i in range(j + 1)]
+        for again in range(2):  # twice, against rounding
+            r = table.agg(*[F.sum(F.col(q) * F.col("p")).alias(q) for q in known]).first()
+            if not again:
+                alpha.append(r[f"q{j}"])
+            rest = F.col("p") - sum((F.lit(r[q]) * F.col(q) for q in known), F.lit(0.0))
+            table = table.withColumn("p", rest)
+        norm = table.agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("n")).first()["n"]
+        if norm < 1e-10 or j == steps - 1:
+            break
+        beta.append(norm)
+        table = stored_after(table.withColumn(f"q{j + 1}", F.col("p") / norm).drop("p"), table)
+    n = len(alpha)
+    t = np.diag(alpha) + np.diag(beta[: n - 1], 1) + np.diag(beta[: n - 1], -1)
+    vectors = np.linalg.eigh(t)[1][:, :k]
+    values = [sum((F.col(f"q{i}") * float(v) for i, v in enumerate(col)), F.lit(0.0)) for col in vectors.T]
+    first = table.agg(*[F.min_by(x, "node").alias(f"x{i}") for i, x in enumerate(values)]).first()
+    return table.select("node", *[F.when(x * (-1 if first[f"x{i}"] < 0 else 1) >= 0, 1).otherwise(-1).alias(f"f{i}") for i, x in enumerate(values)])
+
+
+def stored_after(df: DataFrame, before: DataFrame) -> DataFrame:
+    """``df`` written; the table it was made from is given up, if it was written too."""
+    out = stored(df, "steps")
+    if hasattr(before, "_stored_in"):
+        release(before)
+    return out
+
+
 def spectral_features_by_component(edges: DataFrame, k: int, min_fraction: float = 0.01, ignore_small: bool = True) -> DataFrame:
     """``feature, node, v``: an indicator of each component, then spectral features within every
     large one, in proportion to its size; +1 inside, -1 elsewhere is implied for absent nodes.

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,8 +131,9 @@ def load(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, dict[s
     return data, out
 
 
-def save(data: DataFrame, variables: Mapping[str, Variable], folder: str, name: str) -> None:
-    """The same as two folders of CSV parts."""
+def save(data: DataFrame, variables: Mapping[str, Variable], folder: str, name: str, single: bool = False) -> None:
+    """The same as two folders of CSV parts; ``single``: the data as one part, for small surveys."""
+    data = data.coalesce(1) if single else data
     data.write.mode("overwrite").csv(f"{folder}/{name}_data.csv", header=True, escape='"')
     rows = [v.row() for v in variables.values()]
     info = data.sparkSession.createDataFrame(rows, "name string, type string, label string, valid_values string, invalid_values string")
@@ -158,5 +162,68 @@ def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Raw image files; decoding needs a library of the caller's."""
+    """Raw image files: path, time, length and content."""
     return spark.read.format("binaryFile").load(path)
+
+
+#: Samples of a pixel by colour type: grey, RGB, palette, grey and alpha, RGB and alpha.
+_SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+
+
+def decode_png(raw: bytes) -> np.ndarray:
+    """Pixels ``rows x columns x samples`` of a PNG with 8 bits a sample that isn't interlaced;
+    palettes are looked up."""
+    if raw[:8] != bytes([137, 80, 78, 71, 13, 10, 26, 10]):
+        raise ValueError("not a PNG")
+    at, packed, palette, head = 8, [], None, b""
+    while at < len(raw):
+        size, kind = int.from_bytes(raw[at : at + 4], "big"), raw[at + 4 : at + 8]
+        body = raw[at + 8 : at + 8 + size]
+        at += 12 + size
+        if kind == b"IHDR":
+            head = body
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            packed.append(body)
+    width, height = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+    if head[8] != 8 or head[12] != 0:
+        raise ValueError("only 8 bits a sample, not interlaced")
+    n = _SAMPLES[head[9]]
+    lines = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * n)
+    out = np.zeros((height + 1, width + 1, n), np.int64)  # a line above and a pixel to the left are 0
+    for r in range(height):
+        rule, line = int(lines[r, 0]), lines[r, 1:].reshape(width, n).astype(np.int64)
+        above, own = out[r], out[r + 1]
+        if rule in (0, 2):
+            own[1:] = (line + (above[1:] if rule else 0)) % 256
+            continue
+        for c in range(1, width + 1):
+            left, up, corner = own[c - 1], above[c], above[c - 1]
+            if rule == 1:
+                guess = left
+            elif rule == 3:
+                guess = (left + up) // 2
+            else:  # the neighbour nearest to left + up - corner
+                near = [np.abs(x - (left + up - corner)) for x in (left, up, corner)]
+                guess = np.where((near[0] <= near[1]) & (near[0] <= near[2]), left, np.where(near[1] <= near[2], up, corner))
+            own[c] = (line[c - 1] + guess) % 256
+    pixels = out[1:, 1:].astype(np.uint8)
+    return palette[pixels[:, :, 0]] if head[9] == 3 else pixels
+
+
+def read_pixels(spark: SparkSession, path: str) -> DataFrame:
+    """``path, pixel_id, row, col, samples array<int>`` of PNG files; an image is decoded in one
+    task, pixels are numbered by rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                pixels = decode_png(raw)
+                h, w, n = pixels.shape
+                place = np.arange(h * w)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(h * w + 1, dtype=np.int32) * n), pa.array(pixels.ravel().astype(np.int32)))
+                columns = [pa.array([name] * (h * w)), pa.array(place), pa.array((place // w).astype(np.int32)), pa.array((place % w).astype(np.int32)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "pixel_id", "row", "col", "samples"])
+
+    return read_images(spark, path).select("path", "content").mapInArrow(run, "path string, pixel_id long, row int, col int, samples array<int>")

@@ -541,6 +541,56 @@ def test_graphs(spark):
     assert found.where("v = 1").groupBy("feature").count().count() >= 2
 
 
+def test_lanczos_and_domains(spark):
+    n = 9
+    a = np.zeros((n, n))
+    for i, j in [(k, k + 1) for k in range(n - 1)] + [(0, 3), (4, 8)]:
+        a[i, j] = a[j, i] = 1 + (i + j) % 3
+    lap = np.diag(a.sum(axis=1)) - a
+    entries = spark.createDataFrame([(i, j, float(lap[i, j])) for i in range(n) for j in range(n) if lap[i, j]], "src long, dst long, w double").coalesce(1)
+    found = graphs.spectral_features_of_graph(entries, 3, steps=n).orderBy("node").select("f0", "f1", "f2").toPandas().to_numpy()
+    assert (found == graphs.spectral_features(lap, 3)).all()
+    two = spark.createDataFrame([(0, -1, 0), (1, -1, 0), (2, 1, 2)], "node long, side int, domain long")
+    assert sorted(tuple(r) for r in graphs.domain_features(two).collect()) == [("-1:0", 0), ("-1:0", 1)]
+    three = two.union(spark.createDataFrame([(3, 1, 3)], two.schema))
+    assert graphs.domain_features(three).select("feature").distinct().count() == 3
+
+
+def test_png(spark, tmp_path):
+    import struct
+    import zlib
+
+    def png(pixels, rules, colour, palette=b""):
+        h, w, n = pixels.shape
+        chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        x = np.zeros((h + 1, w + 1, n), int)
+        x[1:, 1:] = pixels
+        lines = []
+        for r in range(1, h + 1):
+            rule, line = rules[r % len(rules)], []
+            for c in range(1, w + 1):
+                left, up, corner = x[r, c - 1], x[r - 1, c], x[r - 1, c - 1]
+                near = [min((left[k], up[k], corner[k]), key=lambda v, k=k: abs(int(v) - int(left[k] + up[k] - corner[k]))) for k in range(n)]  # noqa: B023
+                guess = [0 * left, left, up, (left + up) // 2, np.array(near)][rule]
+                line += ((x[r, c] - guess) % 256).tolist()
+            lines.append(bytes([rule, *line]))
+        head = struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)
+        parts = [chunk(b"IHDR", head), chunk(b"PLTE", palette) if palette else b"", chunk(b"IDAT", zlib.compress(b"".join(lines))), chunk(b"IEND", b"")]
+        return bytes([137, 80, 78, 71, 13, 10, 26, 10]) + b"".join(parts)
+
+    r = np.random.default_rng(1)
+    for name, n, colour in (("grey", 1, 0), ("rgb", 3, 2), ("rgba", 4, 6)):
+        pixels = r.integers(0, 256, (7, 5, n))
+        (tmp_path / f"{name}.png").write_bytes(png(pixels, [0, 1, 2, 3, 4], colour))
+        assert (files.decode_png((tmp_path / f"{name}.png").read_bytes()) == pixels).all()
+    palette = r.integers(0, 256, (4, 3)).astype(np.uint8)
+    pixels = r.integers(0, 4, (3, 3, 1))
+    assert (files.decode_png(png(pixels, [0], 3, palette.tobytes())) == palette[pixels[:, :, 0]]).all()
+    found = files.read_pixels(spark, str(tmp_path / "rgb.png")).orderBy("pixel_id").collect()
+    want = files.decode_png((tmp_path / "rgb.png").read_bytes())
+    assert [(x["row"], x["col"], x["samples"]) for x in found] == [(i, j, want[i, j].tolist()) for i in range(7) for j in range(5)]
+
+
 # -- surveys ---------------------------------------------------------------------------------
 @pytest.fixture
 def survey(spark):
