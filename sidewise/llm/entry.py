@@ -32,4 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": language_id.op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.OP4_SQL, "op8_exact_top_k": top_k.OP8_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": line_dedup.OP4_SQL,
+    "op6_substring_dedup": substring_dedup.OP6_SQL,
+    "op8_exact_top_k": top_k.OP8_SQL,
+    "op9_near_duplicates": near_dedup.OP9_SQL,
+}

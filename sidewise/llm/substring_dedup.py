@@ -359,3 +359,21 @@ def remove_repeats(
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, k, array_to_string(w[k:k + 19], ' ') AS key
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS k FROM d)
+), later AS (
+  SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY key ORDER BY doc_id, k) AS n FROM windows) WHERE n > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS k FROM later),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (
+  SELECT v.doc_id, count(*) FILTER (WHERE g.k IS NOT NULL) AS n_removed, string_agg(v.word, ' ' ORDER BY v.k) FILTER (WHERE g.k IS NULL) AS text
+  FROM words v LEFT JOIN gone g ON v.doc_id = g.doc_id AND v.k = g.k GROUP BY v.doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
