@@ -38,3 +38,8 @@ ORACLE_SQL: dict[str, str] = {
     "op8_exact_top_k": top_k.OP8_SQL,
     "op9_near_duplicates": near_dedup.OP9_SQL,
 }
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL by query; that of operator 2 holds its vocabulary, so it is made when asked for."""
+    return {**ORACLE_SQL, "op2_token_counts": token_counts.op2_sql()}

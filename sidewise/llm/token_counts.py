@@ -118,3 +118,25 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op2_sql(vocabulary: str = VOCABULARY) -> str:
+    """Greedy longest match over the same vocabulary, step by step for each distinct word."""
+    pieces = public_vocabulary(vocabulary)
+    listed = ", ".join("'" + p.replace("'", "''") + "'" for p in pieces)
+    return (
+        rf"""
+WITH RECURSIVE vocabulary AS (SELECT unnest([{listed}]) AS piece),
+words AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS word FROM documents),
+steps AS (
+  SELECT word, '{START}' || word AS rest, 0 AS n FROM (SELECT DISTINCT word FROM words) WHERE word <> ''
+  UNION ALL
+  SELECT word, substr(rest, best + 1), n + 1 FROM (
+    SELECT word, rest, n, max(k) AS best
+    FROM (SELECT word, rest, n, unnest(range(1, least(len(rest), {max(map(len, pieces))}) + 1)) AS k FROM steps WHERE rest <> '')
+    JOIN vocabulary ON piece = substr(rest, 1, k) GROUP BY word, rest, n)
+), counted AS (SELECT word, max(n) FILTER (WHERE rest = '') AS n FROM steps GROUP BY word),
+sums AS (SELECT doc_id, count(*) AS n_words, CAST(sum(coalesce(n, 1)) AS BIGINT) AS n_tokens FROM words JOIN counted USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_tokens, 0) AS n_tokens FROM documents LEFT JOIN sums USING (doc_id)
+"""
+    )
