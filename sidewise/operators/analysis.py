@@ -27,15 +27,15 @@ def accord_scores(
     if not by_accord:
         return df.select(id_col, F.lit(0).alias("accord"), F.lit(0.0).alias("score")).limit(0)
     accord = sorted(by_accord)
-    scores = F.array(*[sum((F.col(names[f]) * s for f, s in by_accord[a]), F.lit(0)).cast("double") for a in accord])
-    # All scores of a row are in one array, so rows are normalised where they are.
-    out = df.select(id_col, scores.alias("s"))
+    scores = [sum((F.col(names[f]) * s for f, s in by_accord[a]), F.lit(0)).cast("double").alias(f"s{k}") for k, a in enumerate(accord)]
+    # All scores of a row stand in its columns, so rows are normalised where they are.
+    out, own = df.select(id_col, *scores), [F.col(f"s{k}") for k in range(len(accord))]
     if normalize_rows:
-        out = out.withColumn("s", F.transform("s", lambda x: x - F.array_min("s")))
-        total = F.aggregate("s", F.lit(0.0), lambda t, x: t + x)
-        out = out.withColumn("t", F.when(total > 0, total).otherwise(1.0)).withColumn("s", F.transform("s", lambda x: x / F.col("t")))
+        low = F.least(*own) if len(own) > 1 else own[0]
+        out = out.withColumn("low", low).withColumn("total", sum(own, F.lit(0.0)) - len(own) * F.col("low"))
+        own = [(x - F.col("low")) / F.when(F.col("total") > 0, F.col("total")).otherwise(1.0) for x in own]
     number = F.get(F.array(*[F.lit(a) for a in accord]), F.col("k"))
-    out = out.select(id_col, F.posexplode("s").alias("k", "score")).select(id_col, number.alias("accord"), "score")
+    out = out.select(id_col, F.posexplode(F.array(*own)).alias("k", "score")).select(id_col, number.alias("accord"), "score")
     if normalize_cols:
         stats = out.groupBy("accord").agg(F.min("score").alias("lo"), (F.sum("score") - F.count("*") * F.min("score")).alias("t"))
         # One row for each accord.

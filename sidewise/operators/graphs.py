@@ -492,7 +492,10 @@ def minimize_order(edges: DataFrame, points: DataFrame, feature: str, max_steps:
     at = discrete_derivative(edges, points, feature, id_col).join(sides, id_col).join(degree, id_col, "left").fillna(0.0, ["change", "deg"])
     at = held = stored(at.select(id_col, "f", "change", "deg"), "flips")
     for step in range(max_steps + 1):
-        new, now = flipped(at, kind)
+        if kind == "cut":  # the change itself tells
+            new, now = F.col("change"), 0.0
+        else:
+            new, now = flipped(at, kind)
         best = at.agg(F.min(F.struct(new.alias("v"), F.col(id_col).alias("id"), F.col("f").alias("f"))).alias("b")).first()["b"]
         if best is None or best["v"] >= now - 1e-12:
             break
@@ -507,7 +510,7 @@ def minimize_order(edges: DataFrame, points: DataFrame, feature: str, max_steps:
             F.when(own, -F.col("change")).otherwise(F.col("change") - 2 * F.coalesce("__w", F.lit(0.0)) * F.col("f") * best["f"]).alias("change"),
             "deg",
         )
-        if step % 8 == 7:
+        if step % 4 == 3:
             new_held = stored(at, "flips")
             release(held)
             at = held = new_held

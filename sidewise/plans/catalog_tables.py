@@ -345,13 +345,13 @@ def greedy_neighbourhood(spark, sf_dir):
 
 @query(
     "sparse_cosine",
-    "WITH e AS (SELECT o_custkey AS pid, o_orderpriority || o_orderstatus AS term, CAST(count(*) AS DOUBLE) AS x FROM orders GROUP BY ALL), n AS (SELECT pid, sqrt(sum(x * x)) AS n FROM e GROUP BY pid) "
+    "WITH e AS (SELECT l_orderkey AS pid, l_partkey AS term, sum(l_quantity) AS x FROM lineitem GROUP BY ALL), n AS (SELECT pid, sqrt(sum(x * x)) AS n FROM e GROUP BY pid) "
     "SELECT a.pid AS src, b.pid AS dst, round(sum(a.x * b.x) / any_value(p.n) / any_value(q.n), 6) AS w FROM e a JOIN e b ON a.term = b.term AND a.pid <> b.pid JOIN n p ON p.pid = a.pid JOIN n q ON q.pid = b.pid "
     "GROUP BY a.pid, b.pid HAVING sum(a.x * b.x) / any_value(p.n) / any_value(q.n) >= 0.87",
 )
 def sparse_cosine(spark, sf_dir):
-    o = read(spark, sf_dir, "orders")
-    entries = o.groupBy(F.col("o_custkey").alias("pid"), F.concat("o_orderpriority", "o_orderstatus").alias("term")).agg(F.count("*").cast("double").alias("x"))
+    """Orders by the parts they ask for."""
+    entries = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pid"), F.col("l_partkey").alias("term"), F.col("l_quantity").alias("x"))
     return graphs.sparse_cosine(entries, 0.87).select("src", "dst", F.round("w", 6).alias("w"))
 
 
