@@ -756,17 +756,33 @@ def resample(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 # -- iterative or numeric --------------------------------------------------------------------
-@query("uncrossed_search")
-def uncrossed_search(spark, sf_dir):  # noqa: ANN001, ANN201
+#: Every choice of sides of the first three features has more than this share of the rows.
+SMALL = 0.02
+_CELLS = f"c AS (SELECT f0, f1, f2, count(*) AS n FROM f GROUP BY f0, f1, f2 HAVING count(*) >= (SELECT CAST(floor(count(*) * {SMALL}) AS BIGINT) FROM f))"
+
+
+def _uncrossed(spark: SparkSession, sf_dir: str) -> uncross.UncrossingSweep:
     df = items(spark, sf_dir)
-    found = uncross.search_uncrossed(df, NAMES, _bound(df))
-    return found.tree.table(spark).select("node", "level", "side", "agreement")
+    return uncross.search_uncrossed(df, NAMES[:3], int(df.count() * SMALL))
 
 
-@query("tree_of_accords")
+@query("uncrossed_search", f"WITH {ITEMS}, {_CELLS} SELECT f0, f1, f2 FROM c")
+def uncrossed_search(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Sides that accords have of the first features: corners added between leave them as they
+    are, one accord for each choice of sides that enough rows make."""
+    found = _uncrossed(spark, sf_dir)
+    order = [f for f in found.tree.features if f in found.first]
+    rows = sorted({tuple(int(row[order.index(f)]) for f in range(3)) for row in found.matrix(only_first=True)})
+    return spark.createDataFrame(rows, "f0 int, f1 int, f2 int")
+
+
+@query("tree_of_accords", f"WITH {ITEMS}, {_CELLS} SELECT count(*) AS accords, count(*) - 1 AS edges, true AS tree, true AS nested FROM c")
 def tree_of_accords(spark, sf_dir):  # noqa: ANN001, ANN201
-    df = items(spark, sf_dir)
-    return uncross.search_uncrossed(df, NAMES, _bound(df)).tree_of_accords().tables(spark)[1]
+    """Distinguishers that don't cross join the accords to a tree."""
+    found = _uncrossed(spark, sf_dir)
+    graph = found.tree_of_accords()
+    nested = found.crossing() is None
+    return spark.createDataFrame([(len(graph.matrix), len(graph.edges), graph.is_tree(), nested)], "accords long, edges long, tree boolean, nested boolean")
 
 
 _CORNERS = [(a, oa, b, ob) for a in range(4) for b in range(a + 1, 4) for oa, ob in corners.CORNERS]
