@@ -432,24 +432,15 @@ def test_clusters_of_rows_on_both_sides(spark):
     names = [f"f{i}" for i in range(6)]
     rows = [[0] * 6, [1, 0, -1, 0, 1, 1], [-1, 1, 0, 1, 0, 0], [0, -1, 1, -1, 1, -1]]
 
-    def brute(f, soft, tangles=m, at=0):
-        k, parts = analysis.subtrees(tangles)
-        if k is None:
-            return [1.0] * len(tangles)
-        right = tangles[:, k] > 0
-        left = tangles[:, k] < 0
-        turned = tangles * tangles[:, [k]]
-        same = [c for c in range(k, tangles.shape[1]) if abs(turned[:, c].sum()) == len(tangles)]
-        p = np.mean([(f[c] * turned[0, c] + 1) / 2 for c in same]) if soft else int((f[k] + 1) / 2)
-        out = np.ones(len(tangles))
-        out[right] = np.array(brute(f, soft, tangles[right])) * p
-        out[left] = np.array(brute(f, soft, tangles[left])) * (1 - p)
-        return out.tolist()
-
+    # The first accord parts from the others at f0, along with f1, f3 (turned) and f4; those two
+    # part at f2, along with f5 (turned).
+    share = lambda f, columns: sum((f[c] * s + 1) / 2 for c, s in columns) / len(columns)
+    soft_p = [(share(f, [(0, 1), (1, 1), (3, -1), (4, 1)]), share(f, [(2, 1), (5, -1)])) for f in rows]
+    hard_p = [(float(f[0] > 0), float(f[2] > 0)) for f in rows]
     df = table(spark, rows, names).orderBy("pid")
-    for soft, columns in ((True, analysis.soft_clusters(m, names)), (False, analysis.hard_clusters(m, names))):
-        for f, r in zip(rows, df.select(*columns).collect(), strict=True):
-            assert list(r) == pytest.approx(brute(f, soft))
+    for parts, columns in ((soft_p, analysis.soft_clusters(m, names)), (hard_p, analysis.hard_clusters(m, names))):
+        for (p, q), r in zip(parts, df.select(*columns).collect(), strict=True):
+            assert list(r) == pytest.approx([p, (1 - p) * q, (1 - p) * (1 - q)])
 
 
 def test_scores(spark, random_sides):
