@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch.
@@ -69,3 +72,25 @@ def stored(df: DataFrame, label: str, options: dict[str, str] | None = None) ->
     out = spark.read.schema(df.schema).parquet(folder)
     out._stored_in = folder
     return out
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of a partition sorted by its first column, a number, cut such that no group of equal
+    numbers is parted. A table holds as many groups as a batch does, one at least."""
+    held: list[pa.Table] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t, keys = pa.Table.from_batches([batch]), batch.column(0).to_numpy()
+        if held and keys[0] != key:
+            yield pa.concat_tables(held)
+            held = []
+        key = keys[-1]
+        cut = int(np.searchsorted(keys, key))
+        if cut:
+            yield pa.concat_tables([*held, t.slice(0, cut)])
+            held = []
+        held.append(t.slice(cut))
+    if held:
+        yield pa.concat_tables(held)

@@ -794,3 +794,12 @@ def test_ratio_derivative_of_many_rows(spark):
     edges = graphs.both_ways(spark.createDataFrame([(0, 99_999, 1.0)], "src long, dst long, w double"))
     got = {r["pid"]: r["change"] for r in orders.discrete_derivative(edges, points, "f", kind="ratio").where("pid < 2").collect()}
     assert got[0] == pytest.approx(-1e5 / 5e4**2) and got[1] == pytest.approx(1e5 / (49_999 * 50_001) - 1e5 / 5e4**2)
+
+
+def test_determinant_of_a_large_block_of_small_parts(spark):
+    """A side of 20,000 rows, whose matrix as a whole would take 3.2 GB."""
+    points = spark.range(20_000).select(F.col("id").alias("pid"), F.lit(1).alias("f"))
+    own = points.select(F.col("pid").alias("src"), F.col("pid").alias("dst"), F.lit(2.0).alias("w"))
+    pair = points.where("pid < 2").select(F.col("pid").alias("src"), (1 - F.col("pid")).alias("dst"), F.lit(1.0).alias("w"))
+    got = orders.log_determinant_order(own.union(pair), points, ["f"]).collect()
+    assert [r["feature"] for r in got] == [0] and got[0]["value"] == pytest.approx(19_998 * math.log(2) + math.log(3))
