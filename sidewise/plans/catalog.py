@@ -428,8 +428,9 @@ def customer_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     points = c.select(
         F.col("c_custkey").alias("pid"), side(F.col("c_custkey") % 2 == 0).alias("n0"), side(F.col("c_acctbal") >= 4000).alias("n1"), side(F.col("c_mktsegment") < "FURN").alias("n2")
     )
-    # Numbers within reach are listed, so the join is one by equal keys.
-    near = c.select(F.col("c_custkey").alias("src"), F.col("c_nationkey").alias("n"), F.explode(F.sequence(F.col("c_custkey") + 1, F.col("c_custkey") + REACH)).alias("dst"))
+    # Numbers within reach are listed, so the join is one by equal keys. Rows are few and small
+    # before that, so all cores get their share first.
+    near = c.select("c_custkey", "c_nationkey").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey").select(F.col("c_custkey").alias("src"), F.col("c_nationkey").alias("n"), F.explode(F.sequence(F.col("c_custkey") + 1, F.col("c_custkey") + REACH)).alias("dst"))
     ends = near.join(c.select(F.col("c_custkey").alias("dst"), F.col("c_nationkey").alias("n")), ["dst", "n"])
     half = ends.select("src", "dst", (1 + (F.col("src") + F.col("dst")) % 3).cast("double").alias("w"))
     return graphs.both_ways(half), points

@@ -803,3 +803,11 @@ def test_determinant_of_a_large_block_of_small_parts(spark):
     pair = points.where("pid < 2").select(F.col("pid").alias("src"), (1 - F.col("pid")).alias("dst"), F.lit(1.0).alias("w"))
     got = orders.log_determinant_order(own.union(pair), points, ["f"]).collect()
     assert [r["feature"] for r in got] == [0] and got[0]["value"] == pytest.approx(19_998 * math.log(2) + math.log(3))
+
+
+def test_components_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "PART_EDGES", 4)
+    chain = [(i, i + 1, 1.0) for i in range(0, 40) if i != 20]
+    edges = spark.createDataFrame([*chain, *chain, (7, 7, 1.0), (50, 50, 1.0), (60, 61, 0.0)], "src long, dst long, w double")
+    want = {i: 0 if i <= 20 else 21 for i in range(41)} | {50: 50}
+    assert {r["node"]: r["component"] for r in graphs.connected_components(edges).collect()} == want
