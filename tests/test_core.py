@@ -837,3 +837,33 @@ def test_domains_make_the_graph_once(spark):
         made.value = 0
         got = {tuple(r) for r in graphs.nodal_domains(edges, values, kind).collect()}
         assert some <= got and made.value == 18
+
+
+def test_pairs_over_groups(spark, monkeypatch):
+    """Few partitions or one: the pairs are dealt to tasks all the same; ties and copies count."""
+    monkeypatch.setattr(graphs, "BLOCK", 8)
+    r = np.random.default_rng(7)
+    x = r.integers(-1, 2, (150, 3)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "pid long, v array<double>").coalesce(1)
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert graphs.distances(df, "v", max_dist=1.2).rdd.getNumPartitions() > 1
+    near = {(i, j) for i in range(150) for j in range(150) if i != j and far[i, j] < 1.2}
+    assert {(e["src"], e["dst"]) for e in graphs.distances(df, "v", max_dist=1.2).collect()} == near
+    for ties in (False, True):
+        want = set()
+        for i in range(150):
+            order = sorted((far[i, j], j) for j in range(150) if j != i)
+            want |= {(i, j) for d, j in (order if ties else order[:4]) if d <= order[3][0]}
+        assert {(e["src"], e["dst"]) for e in graphs.knn_graph(df, "v", 4, ties_all=ties).collect()} == want
+
+
+@pytest.mark.parametrize("least, strict", [(0, False), (1, True), (2, False), (2, True), (3, True)])
+def test_equal_coordinates_of_pairs(spark, least, strict):
+    r = np.random.default_rng(8)
+    x = r.integers(0, 3, (70, 3)).tolist()
+    cells = [[None if v == 0 else v for v in row] for row in x]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(cells)], "pid long, a int, b int, c int")
+    found = {(e["src"], e["dst"]): e["w"] for e in graphs.hamming_similarity(df, ["a", "b", "c"], least, strict).collect()}
+    same = {(i, j): float(sum(p == q for p, q in zip(x[i], x[j], strict=True))) for i in range(70) for j in range(70) if i != j}
+    assert found == {k: w for k, w in same.items() if (w > least if strict else w >= least)}
+    assert (least, strict) == (3, True) or graphs.hamming_similarity(df, ["a", "b", "c"], least, strict).rdd.getNumPartitions() > 1
