@@ -78,22 +78,27 @@ def lookup(df: DataFrame, known: Sequence[str], wanted: Sequence[str], id_col: s
 
 def all_corners(df: DataFrame, features: Sequence[Feature], others: Sequence[Feature] | None = None, id_col: str = "pid") -> list[Feature]:
     """Distinct corners of all pairs, within one list or between two, in order of appearance."""
-    pairs = combinations(features, 2) if others is None else product(features, others)
-    made = [c for a, b in pairs for c in corners(a, b)]
-    return _distinct(df, made, id_col)
+    pairs = list(combinations(range(len(features)), 2)) if others is None else [(i, len(features) + j) for i, j in product(range(len(features)), range(len(others)))]
+    return _distinct(df, [*features, *(others or [])], pairs, False)
 
 
-def _distinct(df: DataFrame, made: Sequence[Feature], id_col: str) -> list[Feature]:
+def _distinct(df: DataFrame, base: Sequence[Feature], pairs: Sequence[tuple[int, int]], with_base: bool) -> list[Feature]:
+    """Corners of pairs of features (``with_base``: after the features), each once up to negation.
+    Corners are functions of the features, so the distinct rows of those tell which are equal."""
+    made = [*(base if with_base else []), *[c for i, j in pairs for c in corners(base[i], base[j])]]
     if not made:
         return []
-    named = [f"c{i}" for i in range(len(made))]
-    table = df.select(id_col, *[f.column.alias(n) for f, n in zip(made, named, strict=True)])
-    return [made[i] for i in identify(table, named, id_col).kept()]
+    rows = df.select(*[f.column.alias(f"p{i}") for i, f in enumerate(base)]).distinct()
+    on = [Feature(f.name, F.col(f"p{i}")) for i, f in enumerate(base)]
+    same = [*(on if with_base else []), *[c for i, j in pairs for c in corners(on[i], on[j])]]
+    named = [f"c{i}" for i in range(len(same))]
+    table = rows.select(F.struct(*[F.col(f"p{i}") for i in range(len(base))]).alias("row"), *[f.column.alias(n) for f, n in zip(same, named, strict=True)])
+    return [made[i] for i in identify(table, named, "row").kept()]
 
 
 def with_corners(df: DataFrame, features: Sequence[Feature], id_col: str = "pid") -> list[Feature]:
     """Features and the corners of all pairs, each once up to negation."""
-    return _distinct(df, [*features, *[c for a, b in combinations(features, 2) for c in corners(a, b)]], id_col)
+    return _distinct(df, features, list(combinations(range(len(features)), 2)), True)
 
 
 def corner_features(
@@ -119,7 +124,7 @@ def corner_features(
     sizes = table.agg(F.count("*").alias("n"), *[F.least(F.count_if(F.col(c) > 0), F.count_if(F.col(c) < 0)).alias(c) for c in named.values()]).first()
     least = min_side_size * sizes["n"] if is_fraction else min_side_size
     new = [f for f in new if sizes[named[f.name]] >= least]
-    if order is None or not new:
+    if order is None or not new or (max_order_factor is None and global_max_order is None):
         return new
     columns = [*parents.values(), *[named[f.name] for f in new]]
     value = {columns[r["feature"]]: r["value"] for r in order(table, columns).collect()}

@@ -867,3 +867,11 @@ def test_equal_coordinates_of_pairs(spark, least, strict):
     same = {(i, j): float(sum(p == q for p, q in zip(x[i], x[j], strict=True))) for i in range(70) for j in range(70) if i != j}
     assert found == {k: w for k, w in same.items() if (w > least if strict else w >= least)}
     assert (least, strict) == (3, True) or graphs.hamming_similarity(df, ["a", "b", "c"], least, strict).rdd.getNumPartitions() > 1
+
+
+def test_corners_are_told_apart_by_distinct_rows(spark, monkeypatch):
+    seen, identify = [], corners.identify
+    monkeypatch.setattr(corners, "identify", lambda df, *a: seen.append(df.count()) or identify(df, *a))
+    df = spark.range(1000).select(F.col("id").alias("pid"), F.when(F.col("id") % 2 == 0, 1).otherwise(-1).alias("a"), F.when(F.col("id") % 3 == 0, 1).otherwise(-1).alias("b"))
+    found = corners.with_corners(df, [features.Feature(n, F.col(n)) for n in "ab"])
+    assert len(found) == 6 and seen == [4]
