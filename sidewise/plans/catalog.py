@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -750,10 +751,12 @@ def resample(spark, sf_dir):  # noqa: ANN001, ANN201
     known = s.df.select("pid", F.struct("o_orderstatus", "o_orderpriority", "o_totalprice").alias("row"))
     own = drawn.join(known, "pid").withColumn("same", F.struct("o_orderstatus", "o_orderpriority", "o_totalprice") == F.col("row"))
     mean = s.df.groupBy("o_orderstatus").agg(F.avg("o_totalprice").alias("mean"), F.stddev("o_totalprice").alias("dev"))
-    got = own.groupBy("o_orderstatus").agg(
-        F.count("*").cast("int").alias("n"), F.bool_and("same").alias("of_table"), F.avg("o_totalprice").alias("m"), F.count_distinct("pid").alias("d")
-    )
-    return got.join(mean, "o_orderstatus").select("o_orderstatus", "n", "of_table", (F.abs(F.col("m") - F.col("mean")) < 4 * F.col("dev") / 20).alias("spread"), (F.col("d") < 400).alias("repeated"))
+    got = own.groupBy("o_orderstatus").agg(F.count("*").cast("int").alias("n"), F.bool_and("same").alias("of_table"), F.avg("o_totalprice").alias("m"))
+    # Of N rows about n * n / 2N come twice: as many draws as make that 50 for the largest stratum.
+    rows = s.df.groupBy("o_orderstatus").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    many = max(400, ceil(10 * rows**0.5))
+    twice = s.resample("o_orderstatus", many).df.groupBy("o_orderstatus").agg(F.count_distinct("pid").alias("d"))
+    return got.join(mean, "o_orderstatus").join(twice, "o_orderstatus").select("o_orderstatus", "n", "of_table", (F.abs(F.col("m") - F.col("mean")) < 4 * F.col("dev") / 20).alias("spread"), (F.col("d") < many).alias("repeated"))
 
 
 # -- iterative or numeric --------------------------------------------------------------------

@@ -875,3 +875,10 @@ def test_corners_are_told_apart_by_distinct_rows(spark, monkeypatch):
     df = spark.range(1000).select(F.col("id").alias("pid"), F.when(F.col("id") % 2 == 0, 1).otherwise(-1).alias("a"), F.when(F.col("id") % 3 == 0, 1).otherwise(-1).alias("b"))
     found = corners.with_corners(df, [features.Feature(n, F.col(n)) for n in "ab"])
     assert len(found) == 6 and seen == [4]
+
+
+def test_resample_of_a_large_stratum(spark, tmp_path):
+    """400 draws of two million rows need not repeat one; that draws do is told by enough of them."""
+    rows = spark.range(2_000_000).select(F.col("id").alias("o_orderkey"), F.lit("F").alias("o_orderstatus"), F.lit("2-HIGH").alias("o_orderpriority"), (F.col("id") % 1000).cast("double").alias("o_totalprice"))
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    assert [tuple(r) for r in driver.queries()["resample"](spark, str(tmp_path)).collect()] == [("F", 400, True, True, True)]
